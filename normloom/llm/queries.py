@@ -5,12 +5,36 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from normloom.llm import near_dup
+from normloom.llm import leak, near_dup, spam, topn
 from normloom.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# --- 2: top N per group -----------------------------------------------------
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best chunks of every query."""
+    return p2_ranked(spark, folder, "query_id", "chunk_idx")
+
+
+def p2_ranked(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The ten best chunks of every query with their scores."""
+    found = topn.top_n(table(spark, folder, "retrieval_results"), "query_id", "chunk_idx", "scores", 10)
+    return found.select(*columns) if columns else found
+
+
+P2_SQL = """
+WITH best AS (
+  SELECT query_id, chunk_idx, max(scores + 0.0) AS scores FROM retrieval_results
+  WHERE scores IS NOT NULL AND NOT isnan(scores) AND query_id IS NOT NULL AND chunk_idx IS NOT NULL
+  GROUP BY query_id, chunk_idx)
+SELECT {columns} FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY scores DESC, chunk_idx) AS place FROM best)
+WHERE place <= 10"""
+
 # --- 6: near-duplicates -----------------------------------------------------
 
 
@@ -20,11 +44,48 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.all_links(members, pairs).toDF("chunk_idx_a", "chunk_idx_b")
 
 
+# --- 8: leaks of evaluation texts -------------------------------------------
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and items that share twelve consecutive words or more."""
+    return _leaks(spark, folder).where("run >= 12").select("doc_id", "item_id")
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with the items it gives away, wholly or partly: twelve words in
+    a row, or half the item with at most two substituted words."""
+    found = _leaks(spark, folder).where("run >= 12 or (overlap >= 12 and 2 * overlap >= item_words)")
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n_items"), F.max("run").alias("longest_run"), F.array_join(F.array_sort(F.collect_set(F.col("item_id").cast("string"))), " ").alias("items")
+    )
+
+
+# --- 10: keyword-stuffed and link-list pages ---------------------------------
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are no prose but made for search engines."""
+    return spam.keyword_spam(table(spark, folder, "documents"), "doc_id", "text").where("is_spam").select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
+        "p2_found": p2_found,
+        "p2_ranked": p2_ranked,
         "p6_found": p6_found,
+        "p8_found": p8_found,
+        "p8_report": p8_report,
+        "p10_found": p10_found,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": P2_SQL.format(columns="query_id, chunk_idx"),
+        "p2_ranked": P2_SQL.format(columns="query_id, chunk_idx, scores"),
+    }
