@@ -9,9 +9,10 @@ What keeps that from meeting every pair that shares a common phrase:
 
 * copies (equal sets) are one class and are compared once, through their
   smallest id;
-* a pair that reaches the threshold shares an n-gram within the rarest
-  ``n - ceil(t n) + 1`` of the larger and the rarest ``n - ceil(2t/(1+t) n) + 1``
-  of the smaller set, so only these are put into fragments;
+* only prefixes are put into fragments: the rarest ``n - ceil(t n) + 1`` n-grams
+  for a set's part as the larger of a pair, ``n - ceil(2t/(1+t) n) + 1`` for its
+  part as the smaller, both longer by ``EXTRA`` of the set.  A pair that reaches
+  the threshold then shares a number of them that follows from the sizes;
 * inside a fragment a shared n-gram counts only where the sizes, the places of
   the n-gram in both orders and a 256-bit parity signature still allow the
   threshold.  Each is a bound that no pair above the threshold fails;
@@ -55,6 +56,8 @@ SIGNATURE_BITS = 256
 #: Sets of one n-gram that one tile takes; pairs that are compared at once.
 TILE_SETS = 20_000
 PAIRS_AT_ONCE = 1_000_000
+#: Share of a set by which its prefixes are longer than they must be.
+EXTRA = 0.05
 
 
 def _sets(texts: list[str | None], n: int, clean: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -173,6 +176,15 @@ def _least(t: float, sizes: np.ndarray) -> np.ndarray:
     return np.ceil(t * sizes - 1e-9).astype(np.int64)
 
 
+def _prefixes(t: float, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix lengths of sets as the larger and as the smaller of a pair."""
+    extra = np.ceil(EXTRA * sizes).astype(np.int64) + 1
+    return (
+        np.minimum(sizes, sizes - _least(t, sizes) + extra),
+        np.minimum(sizes, sizes - _least(2 * t / (1 + t), sizes) + extra),
+    )
+
+
 def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Parity of the tokens that fall on each of 256 bits: two sets that differ in
     d tokens differ in at most d bits."""
@@ -185,6 +197,8 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def _segment_step(t: float, fragments: int, sketch):
     """One row per set and fragment: the prefix n-grams that lie in the fragment.
 
+    A set goes by its first key here.
+
     Fragments are intervals of the global order, cut so that they hold like
     shares of the sketch's weight.
     """
@@ -201,8 +215,7 @@ def _segment_step(t: float, fragments: int, sketch):
             tokens, counts = _unpack(b.column(1))
             sign = _signatures(tokens, counts)
             owner, place = spread(counts)
-            probe = counts - _least(t, counts) + 1
-            index = counts - _least(2 * t / (1 + t), counts) + 1
+            probe, index = _prefixes(t, counts)
             pick = place < probe[owner]
             tokens, owner, place = tokens[pick], owner[pick], place[pick]
             level = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
@@ -221,11 +234,11 @@ def _segment_step(t: float, fragments: int, sketch):
             group, owner, place, side, home = (x[order] for x in (group, owner, place, side, home))
             head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (home[1:] != home[:-1])))) if len(owner) else np.empty(0, dtype=np.int64)
             flags = side * 2 + (place < index[owner])
-            entry = np.empty((len(group), 10), dtype=np.uint8)
-            entry[:, :6] = group.view(np.uint8).reshape(-1, 8)[:, :6]
-            entry[:, 6:9] = place.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :3]
-            entry[:, 9] = flags
-            ends = np.concatenate((head, [len(group)])).astype(np.int32) * 10
+            # 32 bits tell n-grams apart within a fragment; a clash adds a count, it never hides one
+            entry = np.empty((len(group), 2), dtype=np.uint32)
+            entry[:, 0] = (mix(group) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            entry[:, 1] = place * 8 + flags
+            ends = np.concatenate((head, [len(group)])).astype(np.int32) * 8
             row = owner[head]
             yield pa.record_batch(
                 [
@@ -242,7 +255,10 @@ def _segment_step(t: float, fragments: int, sketch):
 
 
 def _overlap_step(t: float):
-    """Partial overlaps (a, b, shared) of the fragments of one partition."""
+    """Partial overlaps (a, b, shared, least) of the fragments of one partition.
+
+    a is the smaller set (by size, then id); ``least`` is the same in all fragments.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -253,15 +269,12 @@ def _overlap_step(t: float):
         size = rows["size"].to_numpy().astype(np.int64)
         sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
         segments = rows["segment"].to_pylist()
-        entry = np.frombuffer(b"".join(segments), dtype=np.uint8).reshape(-1, 10)
-        row = np.repeat(np.arange(len(ids)), [len(s) // 10 for s in segments])
-        wide = np.zeros((len(entry), 8), dtype=np.uint8)
-        wide[:, :6] = entry[:, :6]
-        group = wide.view(np.uint64).reshape(-1)
-        places = np.zeros((len(entry), 4), dtype=np.uint8)
-        places[:, :3] = entry[:, 6:9]
-        place = places.view(np.uint32).reshape(-1).astype(np.int64)
-        flags = entry[:, 9].astype(np.int64)
+        entry = np.frombuffer(b"".join(segments), dtype=np.uint32).reshape(-1, 2)
+        row = np.repeat(np.arange(len(ids)), [len(s) // 8 for s in segments])
+        group = (rows["fragment"].to_numpy().astype(np.uint64)[row] << np.uint64(32)) | entry[:, 0]
+        place, flags = entry[:, 1].astype(np.int64) >> 3, entry[:, 1].astype(np.int64) & 7
+        probe, index = _prefixes(t, size)
+        beyond_probe, beyond_index = size - probe, size - index
         order = np.lexsort((ids[row], size[row], group))
         row, group, place, flags = row[order], group[order], place[order], flags[order]
         new = np.concatenate(([True], group[1:] != group[:-1]))
@@ -272,7 +285,7 @@ def _overlap_step(t: float):
         reach = np.searchsorted(key, top, side="right") - np.arange(len(key)) - 1
         reach = np.where(flags & 1, np.maximum(reach, 0), 0)  # the smaller set's n-gram must be an index one
         done = np.concatenate(([0], np.cumsum(reach)))
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found = [(np.empty(0, dtype=np.int64),) * 3]
         at = 0
         while at < len(reach):
             to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, side="right")) - 1)
@@ -288,17 +301,22 @@ def _overlap_step(t: float):
             a, b, need = a[ok], b[ok], need[ok]
             apart = np.bitwise_count(sign[a] ^ sign[b]).sum(axis=1, dtype=np.int64)
             ok = apart <= size[a] + size[b] - 2 * need
-            x, y = ids[a[ok]], ids[b[ok]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
+            a, b, need = a[ok], b[ok], need[ok]
+            # what the pair can share outside these prefixes; the rest must show in the sum
+            least = need - np.maximum(beyond_index[a], beyond_probe[b])
+            found.append((ids[a], ids[b], least))
             at = to
-        x, y = (np.concatenate(z) for z in zip(*found))
+        x, y, least = (np.concatenate(z) for z in zip(*found))
         order = np.lexsort((y, x))
-        x, y = x[order], y[order]
+        x, y, least = x[order], y[order], least[order]
         head = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, dtype=np.int64)
         shared = np.diff(np.concatenate((head, [len(x)])))
         for lo in range(0, len(head), 50_000):
             h = head[lo : lo + 50_000]
-            yield pa.record_batch([pa.array(x[h]), pa.array(y[h]), pa.array(shared[lo : lo + 50_000].astype(np.int32))], names=["a", "b", "shared"])
+            yield pa.record_batch(
+                [pa.array(x[h]), pa.array(y[h]), pa.array(shared[lo : lo + 50_000].astype(np.int32)), pa.array(least[h].astype(np.int32))],
+                names=["a", "b", "shared", "least"],
+            )
 
     return step
 
@@ -317,8 +335,9 @@ def _verify(t: float):
             same = (both[1:] == both[:-1]) & (pair[1:] == pair[:-1])
             shared = np.bincount(pair[1:][same], minlength=b.num_rows)
             union = m + n - shared
-            ok = pa.array(shared >= t * union - 1e-9)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(shared / np.maximum(union, 1))], names=["a", "b", "similarity"]).filter(ok)
+            x, y = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            out = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(shared / np.maximum(union, 1))]
+            yield pa.record_batch(out, names=["a", "b", "similarity"]).filter(pa.array(shared >= t * union - 1e-9))
 
     return step
 
@@ -345,25 +364,28 @@ def near_duplicates(
     smallest = rows.groupBy(*keys).agg(F.min("id").alias("class_id"))
     members = rows.join(smallest, keys).select("id", "class_id").distinct()
 
+    partitions = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the sets are shuffled once, by k1; the fragments and both joins start from that
     classes = (
         texts.mapInArrow(_order_step(n, clean, sketch), "k1 bigint, k2 bigint, size int, id bigint, tokens binary")
+        .repartition(partitions, "k1")
         .groupBy(*keys)
         .agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("class_id"))
-        .select("class_id", "tokens")
+        .select("k1", "class_id", "tokens")
     )
-    partitions = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
     overlaps = (
-        classes.mapInArrow(_segment_step(threshold, 8 * partitions, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
-        .repartition(partitions, "fragment")
-        .mapInArrow(_overlap_step(threshold), "a bigint, b bigint, shared int")
+        classes.select("k1", "tokens")
+        .mapInArrow(_segment_step(threshold, partitions, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
+        .repartitionById(partitions, F.col("fragment"))
+        .mapInArrow(_overlap_step(threshold), "a bigint, b bigint, shared int, least int")
     )
-    candidates = overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where("shared >= 1")
-    left = classes.select(F.col("class_id").alias("a"), F.col("tokens").alias("left"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("tokens").alias("right"))
+    candidates = overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    left = classes.select(F.col("k1").alias("a"), F.col("class_id").alias("id_a"), F.col("tokens").alias("left"))
+    right = classes.select(F.col("k1").alias("b"), F.col("class_id").alias("id_b"), F.col("tokens").alias("right"))
     pairs = (
         candidates.join(left, "a")
         .join(right, "b")
-        .select("a", "b", "left", "right")
+        .select("id_a", "id_b", "left", "right")
         .mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
     )
     return members, pairs
