@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 # White space as Python and Unicode see it, and amendment marks.
 WS = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]"
 MARK = r"[▼►◄▲][\p{Lu}\p{Nd}]+(?![\p{L}\p{N}])"
-MARKS = re.compile(r"[▼►◄▲](?:[A-Z0-9]|(?![a-z_])[^\W_])+(?![^\W_])")
+MARKS = re.compile(r"[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+(?![^\W_])")
 
 
 def as_column(c: Column | str) -> Column:
