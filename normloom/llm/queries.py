@@ -7,11 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from normloom.llm import leak, near_dup, spam, topn
-from normloom.tables import table
+from normloom.llm import fold_dedup, leak, mix, near_dup, page_body, pair_defects, spam, split_tree, topn
+from normloom.tables import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# --- 1: splitting oversized values -------------------------------------------
+
+PIECE_LIMIT, PIECE_OVERLAP = 2400, 320
+
+
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split_tree.split_oversized(table(spark, folder, "chunks"), "chunk_idx", ["text", "article_text", "paragraph"], PIECE_LIMIT, PIECE_OVERLAP)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The values of chunks that are over the budget."""
+    return _pieces(spark, folder).where("piece_no = 1").select(F.col("id").alias("chunk_idx"), "field")
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces themselves."""
+    return _pieces(spark, folder).withColumnRenamed("id", "chunk_idx")
+
+
+P1_SQL = """
+WITH v AS (
+  SELECT chunk_idx, 'text' AS field, text AS value FROM chunks
+  UNION ALL SELECT chunk_idx, 'article_text', article_text FROM chunks
+  UNION ALL SELECT chunk_idx, 'paragraph', paragraph FROM chunks),
+m AS (SELECT chunk_idx, field, regexp_replace(regexp_replace(value, '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g'), '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g') AS value
+  FROM v WHERE length(value) > 2400)
+SELECT chunk_idx, field FROM m
+WHERE length(trim(regexp_replace(value, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}\\x{0b}\\x{0c}]+', ' ', 'g'))) > 2400"""
+
 # --- 2: top N per group -----------------------------------------------------
 
 
@@ -35,6 +64,29 @@ SELECT {columns} FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY scores DESC, chunk_idx) AS place FROM best)
 WHERE place <= 10"""
 
+# --- 4: broken pairs -----------------------------------------------------------
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Judge answers that are unusable, each with its defect."""
+    languages = pair_defects.fit_languages(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    found = pair_defects.pair_defects(table(spark, folder, "judge_results"), "judge_id", "prompt", "raw_response", languages)
+    return found.where("defect is not null").select(F.col("id").alias("judge_id"), "defect")
+
+
+# --- 5: page boilerplate ---------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of each page that belong to the site's frame."""
+    return page_body.page_lines(table(spark, folder, "web_chunks"), "chunk_idx", "text").where("is_frame").select("chunk_idx", "line_no")
+
+
+def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """The body of each page."""
+    return page_body.page_bodies(table(spark, folder, "web_chunks"), "chunk_idx", "text")
+
+
 # --- 6: near-duplicates -----------------------------------------------------
 
 
@@ -44,6 +96,31 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.all_links(members, pairs).toDF("chunk_idx_a", "chunk_idx_b")
 
 
+# --- 7: copies hidden by formatting ----------------------------------------------
+
+
+def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return fold_dedup.folded_copies(table(spark, folder, "gold"), "gold_id", "recommendation_text", "source_snippet_original")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each annotation that is a copy, with the one that is kept."""
+    members, _ = _copies(spark, folder)
+    return members.where("id <> keep_id").select("keep_id", F.col("id").alias("gold_id"))
+
+
+def p7_records(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per distinct annotation with its number of copies."""
+    return _copies(spark, folder)[1]
+
+
+P7_SQL = """
+WITH f AS (
+  SELECT gold_id, regexp_replace(lower(coalesce(recommendation_text, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS a,
+         regexp_replace(lower(coalesce(source_snippet_original, '')), '[^\\p{L}\\p{N}]+', '', 'g') AS b FROM gold WHERE gold_id IS NOT NULL),
+g AS (SELECT gold_id, min(gold_id) OVER (PARTITION BY least(a, b), greatest(a, b)) AS keep_id FROM f)
+"""
+
 # --- 8: leaks of evaluation texts -------------------------------------------
 
 
@@ -65,6 +142,37 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- 9: mixing sources -------------------------------------------------------------
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that stay below their target, sizes in pieces between white space."""
+    sizes = mix.sized(table(spark, folder, "documents"), "doc_id", "source", "text")
+    plan = mix.plan_mix(sizes, table(spark, folder, "mix_targets"))
+    return spark.createDataFrame([(q.source,) for q in plan.quotas if q.below], "source string")
+
+
+def _mix(spark: SparkSession, folder: str, tokenizer: str = mix.TOKENIZER) -> tuple:
+    return mix.mix(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"), tokenizer, prepare=cut)
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each source, sizes in tokens of a public tokenizer."""
+    return _mix(spark, folder)[2]
+
+
+def p9_selected(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix and how often each is taken."""
+    return _mix(spark, folder)[1].select(F.col("id").alias("doc_id"), "source", "tokens", "repeats")
+
+
+P9_SQL = """
+WITH s AS (SELECT source, coalesce(length(regexp_replace(regexp_replace(text, '[^\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}\\x{0b}]+', 'x', 'g'), '[^x]+', '', 'g')), 0) AS n FROM documents),
+z AS (SELECT source, sum(n) AS size FROM s WHERE source IS NOT NULL GROUP BY source),
+t AS (SELECT source, sum(coalesce(target_share, 0)) AS share, max(coalesce(max_repeats, 1)) AS cap FROM mix_targets WHERE source IS NOT NULL GROUP BY source)
+SELECT t.source FROM t LEFT JOIN z USING (source)
+WHERE t.cap * coalesce(z.size, 0) < t.share * (SELECT sum(n) FROM s)"""
+
 # --- 10: keyword-stuffed and link-list pages ---------------------------------
 
 
@@ -74,18 +182,19 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p2_found": p2_found,
-        "p2_ranked": p2_ranked,
-        "p6_found": p6_found,
-        "p8_found": p8_found,
-        "p8_report": p8_report,
-        "p10_found": p10_found,
-    }
+    names = (
+        p1_found, p1_pieces, p2_found, p2_ranked, p4_found, p5_found, p5_bodies, p6_found,
+        p7_found, p7_records, p8_found, p8_report, p9_found, p9_report, p9_selected, p10_found,
+    )
+    return {q.__name__: q for q in names}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_SQL,
         "p2_found": P2_SQL.format(columns="query_id, chunk_idx"),
         "p2_ranked": P2_SQL.format(columns="query_id, chunk_idx, scores"),
+        "p7_found": P7_SQL + "SELECT keep_id, gold_id FROM g WHERE gold_id <> keep_id",
+        "p7_records": P7_SQL + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+        "p9_found": P9_SQL,
     }
