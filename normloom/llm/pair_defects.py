@@ -30,6 +30,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,10 @@ REFUSALS = (
     r"\bno (?:puedo|podré|debo|estoy autorizad[oa]|me es posible|me está permitido)\b.{0,60}(?:evaluar|juzgar|valorar|responder|dar|calificar|ayudar|opinar)",
     r"\b(?:tut mir leid|désolée?|lo siento|i'm sorry|i am sorry|apologies|regrettably|unfortunately|leider)\b.{0,12}(?:,| –| -)? ?(?:but|aber|mais|pero)? ?(?:i (?:can|won|am (?:un|not)|must|do not)|ich|je|no puedo|this request)\b.{0,60}(?:assess|rate|judge|score|evaluat|provide|comply|beurteil|bewert|évaluer|juger|répondre|evaluar|guidelines)",
 )
+#: Every pattern needs one of these words.
+_REFUSAL_WORDS = frozenset(
+    "cannot t not won unable able wish prefer would must have need will decline refuse guidelines policy policies rules instructions principles possible outside permission authority ability right allowed permitted nicht kein keine keinen mir lage ablehnen ab peux puis suis dois préfère souhaite saurais n m impossible mes puedo podré debo no sorry apologies regrettably unfortunately leid désolé désolée siento leider".split()
+)
 _REFUSAL = re.compile("|".join(REFUSALS), re.S)
 _THINK = re.compile(r"<think>.*?</think>", re.S)
 _FENCE = re.compile(r"```[A-Za-z]*")
@@ -142,10 +147,20 @@ def common_words(a: list[str], b: list[str]) -> int:
 # --- language: character n-gram naive Bayes ----------------------------------
 
 
+@cache
+def _alphabetic() -> np.ndarray:
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
 def _grams(text: str) -> np.ndarray:
     """Hashes of the character one- to three-grams inside words, digits left out."""
     low = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
-    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    c = _codes(low).astype(np.uint64)
     if len(c) < 3:
         return np.empty(0, dtype=np.int64)
     two = c[:-1] * np.uint64(0x1F123BB5) + c[1:] * np.uint64(0x9E3779B1)
@@ -162,17 +177,21 @@ class Languages:
         size = 1 << LANGUAGE_BITS
         counts = np.array([np.bincount(np.concatenate([_grams(t) for t in texts[n]] or [np.empty(0, np.int64)]), minlength=size) for n in self.names], dtype=np.float64).reshape(len(self.names), size)
         self.weights = np.log((counts + 0.1) / (counts.sum(axis=1, keepdims=True) + 0.1 * size)) if len(self.names) else counts
-        self.letters = {c for n in self.names for t in texts[n] for c in t.lower() if c.isalpha()}
+        self.known = np.zeros(0x110000, dtype=bool)
+        for n in self.names:
+            for t in texts[n]:
+                self.known[_codes(t.lower())] = True
 
     def of(self, text: str) -> tuple[str | None, float]:
         """The likeliest language and by how many nats it leads; None if too short to tell."""
-        letters = [c for c in text.lower() if c.isalpha()]
-        strange = sum(c not in self.letters for c in letters)
-        if strange * 2 > len(letters):
+        codes = _codes(text.lower())
+        codes = codes[_alphabetic()[codes]]
+        strange = len(codes) - int(np.count_nonzero(self.known[codes]))
+        if strange * 2 > len(codes):
             return "other script", float(strange)
-        grams = _grams(text)
-        if len(letters) < 20 or not len(self.names):
+        if len(codes) < 20 or not len(self.names):
             return None, 0.0
+        grams = _grams(text)
         total = self.weights[:, grams].sum(axis=1)
         order = np.argsort(total)
         return self.names[order[-1]], float(total[order[-1]] - total[order[-2]]) if len(order) > 1 else float("inf")
@@ -194,11 +213,14 @@ def fit_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, sam
 # --- end of text: n-gram likelihood -------------------------------------------
 
 
-def _contexts(text: str, order: int) -> np.ndarray:
-    """Hashes of the ``order`` characters before each place from the first letter on; the
-    last one is the text's end.  Digits count as one, white space as one blank."""
-    low = " " * order + re.sub(r"\d", "0", re.sub(r"\s+", " ", text.strip()))
-    c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+def _normal(text: str) -> str:
+    """Digits count as one, white space as one blank; room for the longest context in front."""
+    return " " * ORDERS[-1] + re.sub(r"\d", "0", " ".join(text.split()))
+
+
+def _contexts(codes: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of the ``order`` characters that end at each place from ``order`` - 1 on."""
+    c = codes.astype(np.uint64)
     n = len(c) - order + 1
     total = np.full(n, order, dtype=np.uint64)
     for k in range(order):
@@ -210,14 +232,18 @@ def _end_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of the counts [order, seen or ended, context] of one partition."""
     counts = np.zeros((len(ORDERS), 2, 1 << END_BITS), dtype=np.uint32)
     for b in batches:
-        for raw in b.column(0).to_pylist():
-            state, text = answer(raw)
-            if state != "closed" or is_placeholder(text):
-                continue
-            for k, order in enumerate(ORDERS):
-                at = _contexts(text, order)
-                counts[k, 0] += np.bincount(at, minlength=1 << END_BITS).astype(np.uint32)
-                counts[k, 1, at[-1]] += 1
+        texts = [_normal(t) for state, t in map(answer, b.column(0).to_pylist()) if state == "closed" and not is_placeholder(t)]
+        if not texts:
+            continue
+        codes = _codes("".join(texts))
+        ends = np.cumsum([len(t) for t in texts]) - 1
+        inside = np.ones(len(codes), dtype=bool)  # places whose context lies in one text
+        starts = np.concatenate(([0], ends[:-1] + 1))
+        inside[(starts[:, None] + np.arange(ORDERS[-1])).reshape(-1)] = False
+        for k, order in enumerate(ORDERS):
+            at = _contexts(codes, order)
+            counts[k, 0] += np.bincount(at[inside[order - 1 :]], minlength=1 << END_BITS).astype(np.uint32)
+            counts[k, 1] += np.bincount(at[ends - order + 1], minlength=1 << END_BITS).astype(np.uint32)
     if counts.any():
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(counts.reshape(-1), END_BLOCKS)]
         yield pa.record_batch([pa.array(np.arange(END_BLOCKS, dtype=np.int32)), pa.array(parts, pa.binary())], names=["block", "counts"])
@@ -243,12 +269,13 @@ def fit_ends(responses: DataFrame) -> np.ndarray:
     return parts.reshape(len(ORDERS), 2, 1 << END_BITS)
 
 
-def end_likelihood(counts: np.ndarray, text: str, prior: float = 4.0) -> float:
-    """P(text stops | its last characters), the longer context resting on the shorter one."""
-    seen, ended = counts[0].sum(axis=1)
-    p = float(ended) / max(1.0, float(seen))
+def end_likelihood(counts: np.ndarray, text: str, base: float = 0.01, prior: float = 4.0) -> float:
+    """P(text stops | its last characters), the longer context resting on the shorter one
+    and the shortest on ``base``."""
+    tail = _codes(_normal(text[-4 * ORDERS[-1] :])[-ORDERS[-1] :])
+    p = base
     for k, order in enumerate(ORDERS):
-        at = _contexts(text, order)[-1]
+        at = _contexts(tail[len(tail) - order :], order)[0]
         p = (float(counts[k, 1, at]) + prior * p) / (float(counts[k, 0, at]) + prior)
     return p
 
@@ -270,7 +297,7 @@ def _defect(prompt: str | None, raw: str | None, languages: Languages, ends: np.
     if state == "none" or is_placeholder(text):
         return "empty"
     low = re.sub(r"\s+", " ", text.lower().replace("’", "'"))
-    if _REFUSAL.search(_QUOTED.sub(" ", low)):
+    if not _REFUSAL_WORDS.isdisjoint(_WORD.findall(low)) and _REFUSAL.search(_QUOTED.sub(" ", low)):
         return "refusal"
     prompt = prompt or ""
     if copied_share(prompt, text) >= copied:
