@@ -103,7 +103,32 @@ TEASER_HEADS = frozenset("related articles|related pages|related content|related
 TEASER = (r"(?:–|-|—|…|\.\.\.)\s*(?:read|learn|see|find out|show) more\W*$|\b(?:read more|mehr lesen|weiterlesen|lire la suite)\s*[»>›→]?$", r"\((?:subscribers|members) only\)\W*$")
 
 _I = re.IGNORECASE
-_CONSENT, _FOOTER, _PROMPT, _SYSTEM, _TEASER = (re.compile("|".join(p), _I) for p in (CONSENT, FOOTER, PROMPT, SYSTEM, TEASER))
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """A pattern's alternatives at the outer level."""
+    out, depth, klass, i = [""], 0, False, 0
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        klass = c == "[" or (klass and c != "]")
+        depth += {"(": 1, ")": -1}.get(c, 0) if not klass else 0
+        if c == "|" and not depth and not klass:
+            out.append("")
+        else:
+            out[-1] += c
+        i += len(c)
+    return out
+
+
+_FRAME = [a for p in (*CONSENT, *FOOTER, *PROMPT, *SYSTEM) for a in _alternatives(p)]
+#: All frame patterns, over lower-case text: those that begin a line, and the others, which
+#: need one of the words below.
+_BEGINS = re.compile("|".join(a[1:] for a in _FRAME if a[0] == "^"))
+_HOLDS = re.compile("|".join(a for a in _FRAME if a[0] != "^"))
+_HOLDS_WORDS = re.compile(
+    "cookie|tracking|local storage|text files|technolog|consent|traceur|privacy|©|rights reserved|editorial system|responsible for|legal advice|postbox|box|postfach|boîte postale|b\\.?p\\.?|enter your|register now|listen to this| min|more about how"
+)
+_TEASER = re.compile("|".join(TEASER))
 _MARKER = re.compile(r"^\s*(?:[*•·▪◦‣–—-]\s+|[☰≡]\s*|\(?(?:\d{1,2}|[a-z])\)\s+)", _I)
 _TEASER_MARKER = re.compile(r"^\s*(?:[>»›→]\s+|\d{1,2}\.\s+)")
 _DATED = re.compile(r"\(\d{1,2}\.? [^\W\d_]{3,}(?: \d{4})?\)\s*$")
@@ -145,9 +170,10 @@ def classify(text: str) -> str:
         return "crumb"
     if _labels_only(bare):
         return "label" if bare.lower() in LABELS else "labels"
-    if _PROMPT.search(bare) or _SYSTEM.search(bare) or _FOOTER.search(bare) or _CONSENT.search(bare):
+    low = bare.lower()
+    if _BEGINS.match(low) or (_HOLDS_WORDS.search(low) and _HOLDS.search(low)):
         return "frame"
-    if _TEASER.search(text):
+    if _TEASER.search(text.lower()):
         return "teaser"
     words = len(text.split())
     if (_SENTENCE_END.search(text) and words >= 5) or len(text) > 110:
