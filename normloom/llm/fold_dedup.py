@@ -25,7 +25,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PRIMES = (2_147_483_647, 2_147_483_629)
@@ -144,8 +144,9 @@ def folded_copies(df: DataFrame, id_col: str, first_col: str, second_col: str) -
     compared = (
         rows.join(shared, "id").join(keepers, "keep_id").select("id", "keep_id", "a", "b", "ka", "kb").mapInArrow(_compare_step, "id bigint, keep_id bigint, other string")
     )
-    equal = compared.where("other is null").select("id", "keep_id")
-    apart = compared.where("other is not null")
-    regrouped = apart.groupBy("other").agg(F.min("id").alias("keep_id"))
-    members = single.unionByName(equal).unionByName(apart.select("id", "other").join(regrouped, "other").select("id", "keep_id")).distinct()
+    # rows equal to their keeper stand alone in this window; the others meet those of the
+    # same canonical text, which only an accident of hashing leaves to be many
+    own = Window.partitionBy(F.coalesce("other", F.concat(F.lit("="), F.col("id").cast("string"))))
+    kept = F.when(F.col("other").isNull(), F.col("keep_id")).otherwise(F.min("id").over(own))
+    members = single.unionByName(compared.select("id", kept.alias("keep_id")))
     return members, members.groupBy("keep_id").agg(F.count("*").alias("copies"))
