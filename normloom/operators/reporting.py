@@ -150,7 +150,7 @@ def complete_systems(metrics: DataFrame, expected: Sequence[int] = vocab.K_VALUE
 def text_report(metrics: DataFrame) -> DataFrame:
     """One aligned line per row, numbers with three digits."""
     return metrics.select(
-        *KEYS, F.format_string("%-14s %-14s k=%-3d hit=%.3f mrr=%.3f ndcg=%.3f", "model_key", "method", F.col("k").cast("int"), "hit_rate", "mrr", "ndcg").alias("line")
+        *KEYS, F.format_string("%-14s %-14s k=%-3d hit=%.3f mrr=%.3f ndcg=%.3f", "model_key", "method", F.col("k").cast("int"), *(F.round(F.round(c, 9), 3) for c in ("hit_rate", "mrr", "ndcg"))).alias("line")
     )
 
 

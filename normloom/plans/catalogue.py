@@ -214,7 +214,7 @@ def postings(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {BM25_CTE} SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM hits WHERE rank <= {K}")
 def bm25_topk(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship: ten best documents of every held-out passage."""
-    return _bm25(spark, folder, K).select("item_id", F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    return _bm25(spark, folder, K).select("item_id", F.col("doc").alias("doc_id"), "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
 SPARSE_CTE = f"""
@@ -233,7 +233,7 @@ def _sparse(spark: SparkSession, folder: str, k: int) -> DataFrame:
 
 @query(f"WITH {SPARSE_CTE} SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM shits WHERE rank <= {K}")
 def sparse_dot_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return _sparse(spark, folder, K).select("item_id", F.col("doc").alias("doc_id"), "rank", F.round("score", 6).alias("score"))
+    return _sparse(spark, folder, K).select("item_id", F.col("doc").alias("doc_id"), "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
 RRF_CTE = f"""{BM25_CTE},
@@ -475,7 +475,7 @@ SELECT query, doc, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM
 def _dense(spark: SparkSession, folder: str, metric: str) -> DataFrame:
     e = table(spark, folder, "embeddings")
     found = vectors.dense_topk(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", "embedding", K, metric)
-    return found.select("query", "doc", "rank", F.round("score", 6).alias("score"))
+    return found.select("query", "doc", "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
 @query(VECTORS_SQL.format(score="list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i]))", order="DESC"))
@@ -504,7 +504,7 @@ def maxsim_topk(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").groupBy(F.expr(MULTI).alias("g")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("m"))
     e = e.select("g", F.transform("m", lambda x: x["embedding"]).alias("v"))
     found = vectors.maxsim_topk(e, "g", "v", e.where("g % 100 = 0"), "g", "v", K)
-    return found.select("query", "doc", "rank", F.round("score", 6).alias("score"))
+    return found.select("query", "doc", "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
 @query("WITH v AS (SELECT count(*) AS n_vectors, min(len(embedding)) AS a, max(len(embedding)) AS b FROM embeddings) SELECT n_vectors, CAST(a AS INTEGER) AS min_dim, CAST(b AS INTEGER) AS max_dim, n_vectors AS n_docs, n_vectors > 0 AND a > 0 AND a = b AS ok FROM v")
@@ -604,10 +604,9 @@ def complete_systems(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.complete_systems(_metrics(spark, folder))
 
 
-@query(f"WITH {METRICS_CTE} SELECT dataset, level, model_key, method, k, printf('%-14s %-14s k=%-3d hit=%.3f mrr=%.3f ndcg=%.3f', model_key, method, k, round(hit_rate, 9), round(mrr, 9), round(ndcg, 9)) AS line FROM metrics")
+@query(f"WITH {METRICS_CTE} SELECT dataset, level, model_key, method, k, printf('%-14s %-14s k=%-3d hit=%.3f mrr=%.3f ndcg=%.3f', model_key, method, k, round(round(hit_rate, 9), 3), round(round(mrr, 9), 3), round(round(ndcg, 9), 3)) AS line FROM metrics")
 def text_report(spark: SparkSession, folder: str) -> DataFrame:
-    m = _metrics(spark, folder)
-    return reporting.text_report(m.withColumns({c: F.round(c, 9) for c in ("hit_rate", "mrr", "ndcg")}))
+    return reporting.text_report(_metrics(spark, folder))
 
 
 @query("SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
@@ -665,7 +664,7 @@ def permutation_p(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT source, round(quantile_cont(n_chars, 0.025), 6) AS low, round(quantile_cont(n_chars, 0.975), 6) AS high FROM documents WHERE source IS NOT NULL GROUP BY source")
 def percentile_ci(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("source is not null")
-    return d.groupBy("source").agg(F.round(F.percentile("n_chars", 0.025), 6).alias("low"), F.round(F.percentile("n_chars", 0.975), 6).alias("high"))
+    return d.groupBy("source").agg(F.round(F.round(F.percentile("n_chars", 0.025), 9), 6).alias("low"), F.round(F.round(F.percentile("n_chars", 0.975), 9), 6).alias("high"))
 
 
 # --- classification: predicted labels against those of gold ----------------------------------------------
