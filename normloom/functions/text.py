@@ -33,10 +33,14 @@ def clean_text(c: Column | str) -> Column:
 
 def tokens(c: Column | str) -> Column:
     """Tokens for lexical retrieval: lower case, cut at white space, punctuation stripped
-    from both ends, two characters or more.  Null gives an empty array."""
-    parts = F.split(F.lower(F.coalesce(as_column(c), F.lit(""))), f"{WS}+")
-    stripped = F.transform(parts, lambda x: F.regexp_replace(x, f"^{EDGE}+|{EDGE}+$", ""))
-    return F.filter(stripped, lambda x: F.length(x) >= 2)
+    from both ends, two characters or more.  Null gives an empty array.
+
+    Two passes of one pattern each over the whole text, none per token.
+    """
+    low = F.lower(F.coalesce(as_column(c), F.lit("")))
+    inner = WS.replace("[", "[^", 1)
+    bare = F.regexp_replace(low, f"(?<!{inner}){EDGE}+|{EDGE}+(?!{inner})", "")
+    return F.regexp_extract_all(bare, F.lit(f"({inner}{{2,}})"), F.lit(1))
 
 
 def sentences(c: Column | str) -> Column:

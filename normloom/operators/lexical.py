@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from normloom.functions import vocab
+from normloom.functions.arrays import first_of_groups, spread
 from normloom.functions.text import tokens
 from normloom.operators.ranking import topk
 
@@ -55,23 +59,118 @@ def bm25_scores(
     return found.join(asked, "term").groupBy(*groups, "query", "doc").agg(F.sum(F.col("part") * F.col("times")).alias("score"))
 
 
-def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, fill: bool = True, groups: Sequence[str] = ()) -> DataFrame:
-    """(groups, query, doc, score, rank): the k best documents of each query.
+#: Query and term pairs that one broadcast may hold (some 100 MB); more go in passes.
+BROADCAST_PAIRS = 4_000_000
+#: Scores (documents times queries) that a task holds at once.
+BLOCK_SCORES = 2_000_000
+
+Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def bm25_weight(avgdl: float, k1: float = vocab.BM25_K1, b: float = vocab.BM25_B) -> Weigh:
+    """Weight of a term that stands ``tf`` times in a document of ``dl`` tokens, idf left out."""
+    return lambda tf, dl: tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / max(avgdl, 1e-12)))
+
+
+def log_weight() -> Weigh:
+    return lambda tf, dl: np.log1p(tf)
+
+
+def _score_step(held, k: int, weigh: Weigh):
+    """The k best documents a query of one partition, as a running list.
+
+    Terms of a batch are looked up among the queries'; each (document, term) meets the
+    queries that have the term; products are summed in a block of documents by queries.
+    """
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vocabulary, bounds, owner_query, owner_weight = held.value
+        terms = pa.array(vocabulary, pa.string())
+        m = len(ids)
+        rows_at_once = max(1, BLOCK_SCORES // max(1, m))
+        best_q, best_d, best_s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for b in batches:
+            for lo in range(0, b.num_rows, rows_at_once):
+                part = b.slice(lo, rows_at_once)
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                lists = part.column(1)
+                length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                found = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(keys)), length)[found >= 0]
+                cell, tf = np.unique(row * len(vocabulary) + found[found >= 0], return_counts=True)
+                row, term = cell // len(vocabulary), cell % len(vocabulary)
+                weight = weigh(tf.astype(np.float64), length[row].astype(np.float64))
+                e, place = spread(bounds[term + 1] - bounds[term])
+                at = bounds[term[e]] + place
+                slot = owner_query[at] * len(keys) + row[e]
+                score = np.bincount(slot, weights=weight[e] * owner_weight[at], minlength=m * len(keys)).reshape(m, len(keys))
+                hit = np.bincount(slot, minlength=m * len(keys)).reshape(m, len(keys)) > 0
+                score = np.where(hit, score, -np.inf)
+                if len(keys) > k:
+                    hit &= score >= np.partition(score, len(keys) - k, axis=1)[:, len(keys) - k, None] - 1e-8
+                q, d = np.nonzero(hit)
+                best_q, best_d, best_s = np.concatenate((best_q, q)), np.concatenate((best_d, keys[d])), np.concatenate((best_s, score[q, d]))
+                keep = first_of_groups(best_q, (-np.round(best_s, 9), -best_d), k)
+                best_q, best_d, best_s = best_q[keep], best_d[keep], best_s[keep]
+        yield pa.record_batch([pa.array(ids[best_q]), pa.array(best_d), pa.array(best_s)], names=["query", "doc", "score"])
+
+    return step
+
+
+def block_topk(docs: DataFrame, weights: DataFrame, k: int, weigh: Weigh) -> DataFrame:
+    """(query, doc, score, rank): the k best of ``docs(doc, terms)`` for ``weights(query, term, w)``.
+
+    The queries are the stated side: their terms go to every task, in passes of at most
+    ``BROADCAST_PAIRS``; a task sends on k rows a query, so neither postings nor scores of
+    all pairs are ever shuffled.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc").cast("bigint"), "terms")
+    n = weights.count()
+    passes = max(1, -(-n // BROADCAST_PAIRS))
+    found = spark.createDataFrame([], "query bigint, doc bigint, score double")
+    for p in range(passes):
+        part = weights if passes == 1 else weights.where(F.pmod(F.hash("query"), F.lit(passes)) == p)
+        got = part.select(F.col("query").cast("bigint"), "term", F.col("w").cast("double")).toPandas()
+        if got.empty:
+            continue
+        ids, q = np.unique(got["query"].to_numpy(), return_inverse=True)
+        vocabulary, t = np.unique(got["term"].to_numpy().astype(str), return_inverse=True)
+        order = np.argsort(t, kind="stable")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=len(vocabulary)))))
+        held = spark.sparkContext.broadcast((ids.astype(np.int64), list(vocabulary), bounds, q[order].astype(np.int64), got["w"].to_numpy()[order]))
+        found = found.unionByName(rows.mapInArrow(_score_step(held, k, weigh), "query bigint, doc bigint, score double"))
+    return topk(found, ["query"], "score", "doc", k)
+
+
+def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, term, times) of queries."""
+    return queries.select(F.col(query).alias("query"), F.explode(tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+
+
+def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, fill: bool = True) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query.
 
     With ``fill`` documents without a shared term follow with score 0, those with the
     largest key first, until there are k.  A query with h < k hits needs at most the
-    k + h largest keys for that, so only 2 k keys of each group are looked at.
+    k + h largest keys for that, so only 2 k keys are looked at.
     """
-    hits = topk(bm25_scores(docs, doc, text, queries, query, query_text, groups), [*groups, "query"], "score", "doc", k)
+    rows = docs.select(F.col(doc).alias("doc"), tokens(text).alias("terms"))
+    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl")).first()
+    raw = df.withColumn("raw_idf", F.log(F.lit(float(stats.n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
+    idf = F.when(F.col("raw_idf") < 0, F.lit(vocab.BM25_EPSILON * mean)).otherwise(F.col("raw_idf"))
+    asked = query_terms(queries, query, query_text)
+    weights = asked.join(raw.select("term", idf.alias("idf")), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w"))
+    hits = block_topk(rows, weights, k, bm25_weight(stats.avgdl or 0.0))
     if not fill:
         return hits
-    w = Window.partitionBy(*groups).orderBy(F.col("doc").desc())
-    last = docs.select(*groups, F.col(doc).alias("doc"))
-    last = last.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 2 * k).drop("n") if groups else last.orderBy(F.col("doc").desc()).limit(2 * k)
-    asked = queries.select(F.col(query).alias("query")).distinct()
-    # a bounded list of keys against the queries: 2 k rows a query and group
-    spare = asked.crossJoin(F.broadcast(last)).join(hits.select(*groups, "query", "doc"), [*groups, "query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    return topk(hits.drop("rank").unionByName(spare), [*groups, "query"], "score", "doc", k)
+    last = docs.select(F.col(doc).alias("doc")).orderBy(F.col("doc").desc()).limit(2 * k)
+    asked_ids = queries.select(F.col(query).alias("query")).distinct()
+    # a bounded list of keys against the queries: 2 k rows a query
+    spare = asked_ids.crossJoin(F.broadcast(last)).join(hits.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    return topk(hits.drop("rank").unionByName(spare), ["query"], "score", "doc", k)
 
 
 def sparse_dot(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -226,9 +226,9 @@ shits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 def _sparse(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    d = lexical.postings(table(spark, folder, "documents"), "doc_id", "text").select("doc", "term", F.log(F.col("tf") + 1.0).alias("w"))
-    q = table(spark, folder, "test_items").select(F.col("item_id").alias("query"), F.explode(T.tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").cast("double").alias("w"))
-    return ranking.topk(lexical.sparse_dot(q, d), ["query"], "score", "doc", k).withColumnRenamed("query", "item_id")
+    d = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), T.tokens("text").alias("terms"))
+    q = lexical.query_terms(table(spark, folder, "test_items"), "item_id", "text").withColumnRenamed("times", "w")
+    return lexical.block_topk(d, q, k, lexical.log_weight()).withColumnRenamed("query", "item_id")
 
 
 @query(f"WITH {SPARSE_CTE} SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM shits WHERE rank <= {K}")
