@@ -14,6 +14,7 @@ from normloom.functions import vocab
 from normloom.functions.arrays import first_of_groups, spread
 from normloom.functions.text import tokens
 from normloom.operators.ranking import topk
+from normloom.tables import cut
 
 
 def postings(docs: DataFrame, doc: str, text: str, groups: Sequence[str] = ()) -> DataFrame:
@@ -156,14 +157,18 @@ def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: s
     k + h largest keys for that, so only 2 k keys are looked at.
     """
     rows = docs.select(F.col(doc).alias("doc"), tokens(text).alias("terms"))
-    df = rows.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    stats = rows.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avgdl")).first()
-    raw = df.withColumn("raw_idf", F.log(F.lit(float(stats.n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    # one pass for document frequencies and, under a null term, number and length of documents
+    marked = F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))
+    df = rows.select(F.size("terms").alias("n"), F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    df = cut(df)
+    stats = df.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.col("df")).alias("avgdl")).first()
+    n_docs, avgdl = (stats.n_docs, stats.avgdl) if stats else (0, 0.0)
+    raw = df.where("term is not null").withColumn("raw_idf", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
     idf = F.when(F.col("raw_idf") < 0, F.lit(vocab.BM25_EPSILON * mean)).otherwise(F.col("raw_idf"))
     asked = query_terms(queries, query, query_text)
     weights = asked.join(raw.select("term", idf.alias("idf")), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w"))
-    hits = block_topk(rows, weights, k, bm25_weight(stats.avgdl or 0.0))
+    hits = block_topk(rows, weights, k, bm25_weight(avgdl))
     if not fill:
         return hits
     last = docs.select(F.col(doc).alias("doc")).orderBy(F.col("doc").desc()).limit(2 * k)

@@ -17,7 +17,7 @@ from normloom.functions import vocab
 from normloom.operators import chunking, classification, ir_metrics, judging, lexical, ranking, reporting, statistics, vectors
 from normloom.sources import csv_records, csv_sources, stores
 from normloom.streaming import events as streams
-from normloom.tables import table
+from normloom.tables import parallel, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -162,13 +162,13 @@ def chunk_defaults(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Gold records that can't be read, each with its first reason."""
-    return csv_records.parse_records(table(spark, folder, "gold_raw")).where("reason is not null").select("record_id", "reason")
+    return csv_records.parse_records(parallel(table(spark, folder, "gold_raw"))).where("reason is not null").select("record_id", "reason")
 
 
 @query()
 def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The records that can be read, as typed rows."""
-    return csv_records.parse_records(table(spark, folder, "gold_raw")).where("reason is null").drop("reason")
+    return csv_records.parse_records(parallel(table(spark, folder, "gold_raw"))).where("reason is null").drop("reason")
 
 
 @query("SELECT 'doc_' || doc_id AS corpus_id, trim(text) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
@@ -194,7 +194,7 @@ hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 def _bm25(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    found = lexical.bm25_topk(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text", k, fill=False)
+    found = lexical.bm25_topk(parallel(table(spark, folder, "documents")), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text", k, fill=False)
     return found.withColumnRenamed("query", "item_id")
 
 
@@ -226,7 +226,7 @@ shits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER
 
 
 def _sparse(spark: SparkSession, folder: str, k: int) -> DataFrame:
-    d = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), T.tokens("text").alias("terms"))
+    d = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), T.tokens("text").alias("terms"))
     q = lexical.query_terms(table(spark, folder, "test_items"), "item_id", "text").withColumnRenamed("times", "w")
     return lexical.block_topk(d, q, k, lexical.log_weight()).withColumnRenamed("query", "item_id")
 
@@ -257,7 +257,7 @@ def _passage_relevance(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a passage verbatim: candidates by BM25's terms would be a guess, so
     the fixed query set goes against all documents."""
     items = table(spark, folder, "test_items").where("text <> ''").select(F.col("item_id").alias("query"), F.col("text").alias("t"))
-    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), "text")
     return docs.join(items, F.col("text").contains(F.col("t"))).select("query", "doc").distinct()
 
 
@@ -727,7 +727,7 @@ def judge_bands(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def judge_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Scores and reasoning read from raw answers by four strategies."""
-    j = table(spark, folder, "judge_results").select("judge_id", judging.judge_fields("raw_response").alias("f"))
+    j = parallel(table(spark, folder, "judge_results")).select("judge_id", judging.judge_fields("raw_response").alias("f"))
     return j.select("judge_id", "f.*").withColumn("reasoning", judging.english_reasoning("reasoning"))
 
 
@@ -820,7 +820,7 @@ def rerank_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def budget_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    p = chunking.split_for_budget(table(spark, folder, "documents"), "doc_id", "text")
+    p = chunking.split_for_budget(parallel(table(spark, folder, "documents")), "doc_id", "text")
     return p.select(F.col("id").alias("doc_id"), "part_no", F.length("part").alias("part_len"), F.md5("part").alias("part_md5"))
 
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,13 +40,11 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def map_arrow(
-    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str
-) -> DataFrame:
-    """``mapInArrow`` whose output batches are cast to ``schema``'s Arrow form."""
-    return df.mapInArrow(fn, schema)
+def parallel(df: DataFrame) -> DataFrame:
+    """Rows of a few input splits spread over all cores, for steps that are long per row.
 
-
-def arrow_parallelism(df: DataFrame) -> int:
-    """Partitions to use for a Python stage after a shuffle."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Only where at most half of the cores would have work, as with one small file; larger
+    inputs have splits enough and are left where they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
