@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normloom.llm import fold_dedup, leak, mix, near_dup, page_body, pair_defects, spam, split_tree, topn
-from normloom.tables import cut, table
+from normloom.tables import cut, parallel, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,7 +18,7 @@ PIECE_LIMIT, PIECE_OVERLAP = 2400, 320
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    return split_tree.split_oversized(table(spark, folder, "chunks"), "chunk_idx", ["text", "article_text", "paragraph"], PIECE_LIMIT, PIECE_OVERLAP)
+    return split_tree.split_oversized(parallel(table(spark, folder, "chunks")), "chunk_idx", ["text", "article_text", "paragraph"], PIECE_LIMIT, PIECE_OVERLAP)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +51,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_ranked(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """The ten best chunks of every query with their scores."""
-    found = topn.top_n(table(spark, folder, "retrieval_results"), "query_id", "chunk_idx", "scores", 10)
+    found = topn.top_n(parallel(table(spark, folder, "retrieval_results")), "query_id", "chunk_idx", "scores", 10)
     return found.select(*columns) if columns else found
 
 
@@ -70,7 +70,7 @@ WHERE place <= 10"""
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Judge answers that are unusable, each with its defect."""
     languages = pair_defects.fit_languages(table(spark, folder, "documents"), "doc_id", "text", "lang")
-    found = pair_defects.pair_defects(table(spark, folder, "judge_results"), "judge_id", "prompt", "raw_response", languages)
+    found = pair_defects.pair_defects(parallel(table(spark, folder, "judge_results")), "judge_id", "prompt", "raw_response", languages)
     return found.where("defect is not null").select(F.col("id").alias("judge_id"), "defect")
 
 
@@ -79,12 +79,12 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of each page that belong to the site's frame."""
-    return page_body.page_lines(table(spark, folder, "web_chunks"), "chunk_idx", "text").where("is_frame").select("chunk_idx", "line_no")
+    return page_body.page_lines(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text").where("is_frame").select("chunk_idx", "line_no")
 
 
 def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The body of each page."""
-    return page_body.page_bodies(table(spark, folder, "web_chunks"), "chunk_idx", "text")
+    return page_body.page_bodies(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text")
 
 
 # --- 6: near-duplicates -----------------------------------------------------
@@ -92,7 +92,7 @@ def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks with similarity 0.7 or more on runs of three words."""
-    members, pairs = near_dup.near_duplicates(table(spark, folder, "chunks"), "chunk_idx", "text", 0.7, 3, clean=True)
+    members, pairs = near_dup.near_duplicates(parallel(table(spark, folder, "chunks")), "chunk_idx", "text", 0.7, 3, clean=True)
     return near_dup.all_links(members, pairs).toDF("chunk_idx_a", "chunk_idx_b")
 
 
@@ -100,7 +100,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return fold_dedup.folded_copies(table(spark, folder, "gold"), "gold_id", "recommendation_text", "source_snippet_original")
+    return fold_dedup.folded_copies(parallel(table(spark, folder, "gold")), "gold_id", "recommendation_text", "source_snippet_original")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -125,7 +125,7 @@ g AS (SELECT gold_id, min(gold_id) OVER (PARTITION BY least(a, b), greatest(a, b
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leak.leaks(table(spark, folder, "documents"), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text")
+    return leak.leaks(parallel(table(spark, folder, "documents")), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text")
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,13 +147,13 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that stay below their target, sizes in pieces between white space."""
-    sizes = mix.sized(table(spark, folder, "documents"), "doc_id", "source", "text")
+    sizes = mix.sized(parallel(table(spark, folder, "documents")), "doc_id", "source", "text")
     plan = mix.plan_mix(sizes, table(spark, folder, "mix_targets"))
     return spark.createDataFrame([(q.source,) for q in plan.quotas if q.below], "source string")
 
 
 def _mix(spark: SparkSession, folder: str, tokenizer: str = mix.TOKENIZER) -> tuple:
-    return mix.mix(table(spark, folder, "documents"), "doc_id", "source", "text", table(spark, folder, "mix_targets"), tokenizer, prepare=cut)
+    return mix.mix(parallel(table(spark, folder, "documents")), "doc_id", "source", "text", table(spark, folder, "mix_targets"), tokenizer, prepare=cut)
 
 
 def p9_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -178,7 +178,7 @@ WHERE t.cap * coalesce(z.size, 0) < t.share * (SELECT sum(n) FROM s)"""
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that are no prose but made for search engines."""
-    return spam.keyword_spam(table(spark, folder, "documents"), "doc_id", "text").where("is_spam").select("doc_id")
+    return spam.keyword_spam(parallel(table(spark, folder, "documents")), "doc_id", "text").where("is_spam").select("doc_id")
 
 
 def queries() -> dict[str, Query]:

@@ -14,6 +14,8 @@ from typing import NamedTuple
 
 import numpy as np
 
+from normloom.functions.arrays import spread as spread
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,10 +113,3 @@ def window_hashes(words: Words, positions: Sequence[int]) -> tuple[np.ndarray, n
     start = np.arange(n, dtype=np.int64)
     inside = start + span <= offsets[owner + 1]
     return mix(total[inside]), owner[inside], start[inside]
-
-
-def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For counts (2, 0, 3): the owners 0 0 2 2 2 and the places 0 1 0 1 2."""
-    owner = np.repeat(np.arange(len(counts)), counts)
-    first = np.cumsum(counts) - counts
-    return owner, np.arange(len(owner)) - np.repeat(first, counts)
