@@ -69,14 +69,14 @@ def retrievers(chunks: DataFrame, embedder: Callable[[], judging.Embed] | None =
 def split_retrieve(chunks: DataFrame, queries: DataFrame, k: int, max_per_document: int = 0, suppress_near_duplicates: bool = True) -> DataFrame:
     """Split evidence mode: candidates of each evidence group by its own statistics, merged
     and chosen under constraints: (query_id, chunk_idx, rank)."""
-    c = chunks.withColumn("evidence_group", T.evidence_group("document"))
-    scored = lexical.bm25_scores(c, "chunk_idx", "text", queries, "query_id", "query", ["evidence_group"])
-    # as in the flat mode, chunks without a shared term fill up a group's candidates
-    keys = c.select("evidence_group", F.col("chunk_idx").alias("doc"), F.lit(0.0).alias("score"))
-    last = ranking.topk(keys, ["evidence_group"], "score", "doc", 4 * k).drop("rank")
-    spare = queries.select(F.col("query_id").alias("query")).distinct().crossJoin(F.broadcast(last)).join(scored, ["query", "evidence_group", "doc"], "left_anti")
-    top = ranking.topk(scored.unionByName(spare), ["query", "evidence_group"], "score", "doc", 2 * k, rank="group_rank")
-    top = top.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_idx"), "evidence_group", "score")
+    # names are few: their groups are worked out once and joined, not per chunk
+    groups = cut(chunks.select("document").distinct().withColumn("evidence_group", T.evidence_group("document")))
+    c = chunks.select("chunk_idx", "document", "text").join(groups, "document")
+    top = None
+    for g in vocab.GROUPS:  # two groups, each with its own statistics
+        one = lexical.bm25_topk(c.where(F.col("evidence_group") == g), "chunk_idx", "text", queries, "query_id", "query", 2 * k)
+        one = one.select(F.col("query").alias("query_id"), F.col("doc").alias("chunk_idx"), F.lit(g).alias("evidence_group"), "score")
+        top = one if top is None else top.unionByName(one)
     merged = ranking.ranked(top, ["query_id"], [F.round("score", 9).desc(), F.col("chunk_idx").desc()])
     named = merged.join(chunks.select("chunk_idx", "document", T.fingerprint("text").alias("fingerprint")), "chunk_idx")
     return ranking.select_constrained(named, "query_id", "chunk_idx", k, max_per_document, suppress_near_duplicates)

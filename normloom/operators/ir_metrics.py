@@ -7,7 +7,9 @@ the run without hits has an infinite first rank.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +31,9 @@ def judged(runs: DataFrame, qrels: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _ideal(hits: Column, most: int) -> Column:
-    """Sum of 1 / log2(i + 1) for i up to ``hits`` (at most ``most``), summed in order."""
-    terms = F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.when(i <= hits, 1.0 / F.log2(i + 1.0)).otherwise(0.0))
-    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
+    """Sum of 1 / log2(i + 1) for i up to ``hits``, from a table of the first ``most`` sums."""
+    sums = list(accumulate(1.0 / math.log2(i + 1.0) for i in range(1, most + 1)))
+    return F.element_at(F.array(*map(F.lit, sums)), hits.cast("int"))
 
 
 def per_query(runs: DataFrame, qrels: DataFrame, by: Sequence[str] = (), ks: Sequence[int] = vocab.K_VALUES) -> DataFrame:
@@ -63,7 +65,7 @@ def per_query(runs: DataFrame, qrels: DataFrame, by: Sequence[str] = (), ks: Seq
         (F.col("h") / F.col("k")).alias("precision"),
         F.when(found, 1.0 / F.col("first")).otherwise(0.0).alias("mrr"),
         F.coalesce(F.col("a") / safe, F.lit(0.0)).alias("ap"),
-        F.when(F.col("h") > 0, F.col("d") / _ideal(F.col("h"), max(ks))).otherwise(0.0).alias("ndcg"),
+        F.when(F.col("h") > 0, F.col("d") / _ideal(F.greatest(F.col("h"), F.lit(1)), max(ks))).otherwise(0.0).alias("ndcg"),
         F.when(found, F.col("first").cast("double")).otherwise(F.lit(INFINITY)).alias("first_rank"),
     )
 

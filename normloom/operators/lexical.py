@@ -171,6 +171,7 @@ def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: s
     hits = block_topk(rows, weights, k, bm25_weight(avgdl))
     if not fill:
         return hits
+    hits = cut(hits)  # k rows a query, needed twice
     last = docs.select(F.col(doc).alias("doc")).orderBy(F.col("doc").desc()).limit(2 * k)
     asked_ids = queries.select(F.col(query).alias("query")).distinct()
     # a bounded list of keys against the queries: 2 k rows a query

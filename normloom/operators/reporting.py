@@ -107,6 +107,20 @@ def ablation_deltas(scores: DataFrame, by: Sequence[str], values: Sequence[str]
     return joined.select(*by, "ablation", "base", "variant", *((F.col(f"v_{v}") - F.col(f"b_{v}")).alias(f"delta_{v}") for v in values))
 
 
+def starred(means: DataFrame, tests: DataFrame, value: str, baseline: str = "bm25") -> DataFrame:
+    """(model_key, method, cell): each mean with the stars of its test against the baseline.
+
+    ``means`` has model_key, method and value; ``tests`` has model_key, method_a, method_b
+    and p_value of pairs, in either order.
+    """
+    from normloom.operators.statistics import stars
+
+    other = F.when(F.col("method_a") == baseline, F.col("method_b")).when(F.col("method_b") == baseline, F.col("method_a"))
+    p = tests.select("model_key", other.alias("method"), "p_value").where("method is not null")
+    number = F.format_string("%.3f", F.round(F.round(F.col(value), 9), 3))
+    return means.join(p, ["model_key", "method"], "left").select("model_key", "method", F.concat(number, F.coalesce(stars(F.col("p_value")), F.lit(""))).alias("cell"))
+
+
 def old_new_deltas(old: DataFrame, new: DataFrame, values: Sequence[str] = ("hit_rate", "mrr", "ndcg"), keys: Sequence[str] = KEYS) -> DataFrame:
     """Rows that both tables have, with the differences new minus old."""
     o = old.select(*keys, *(F.col(v).alias(f"{v}_old") for v in values))

@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from normloom import jobs
+from normloom.functions import stem, vocab
 from normloom.functions import text as T
-from normloom.functions import vocab
 from normloom.operators import chunking, classification, ir_metrics, judging, lexical, ranking, reporting, statistics, vectors
 from normloom.sources import csv_records, csv_sources, stores
 from normloom.streaming import events as streams
@@ -311,7 +312,9 @@ def _runs(spark: SparkSession, folder: str, k: int = 60) -> DataFrame:
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "chunks").where("document is not null").select("chunk_idx", T.document_name("document").alias("doc"))
+    c = table(spark, folder, "chunks", ["chunk_idx", "document"]).where("document is not null")
+    known = c.select("document").distinct().withColumn("doc", T.document_name("document"))
+    return c.join(known, "document").select("chunk_idx", "doc")
 
 
 def _document_runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -661,6 +664,15 @@ def permutation_p(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(statistics.holm(p, ["model_key"], "p_value", ["method_a", "method_b"]))
 
 
+@query()
+def significance_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean NDCG of each system with the stars of its permutation test against BM25."""
+    s = _scores(spark, folder).where("k = 10")
+    pairs = statistics.method_pairs(s, ["model_key"], "method", "query", "ndcg").where("method_a = 'bm25' or method_b = 'bm25'")
+    tests = statistics.permutation_test(pairs, PAIR, "a", "b", "query", 1000)
+    return reporting.starred(s.groupBy(*SYSTEM).agg(F.avg("ndcg").alias("ndcg")), tests, "ndcg")
+
+
 @query("SELECT source, round(quantile_cont(n_chars, 0.025), 6) AS low, round(quantile_cont(n_chars, 0.975), 6) AS high FROM documents WHERE source IS NOT NULL GROUP BY source")
 def percentile_ci(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents").where("source is not null")
@@ -831,6 +843,34 @@ def heading_carry_forward(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("document", "version", "article", "chunk_idx", F.last("article_subtitle", ignorenulls=True).over(w).alias("heading"))
 
 
+@query()
+def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages marked up line by line and cut into chunks by the HTML reader."""
+    line = F.concat(F.lit("<p>"), F.array_join(F.split(F.coalesce("text", F.lit("")), "\n"), "</p><p>"), F.lit("</p>"))
+    pages = parallel(table(spark, folder, "web_chunks")).select(F.coalesce("source_file", F.lit("page.html")).alias("path"), F.concat(F.lit("<html><body><main>"), line, F.lit("</main></body></html>")).alias("content"))
+    return chunking.chunk_html(pages).select("document", "source_file", "article", "paragraph", F.md5("text").alias("text_md5"))
+
+
+@query()
+def split_retrieval(spark: SparkSession, folder: str) -> DataFrame:
+    """BM25 per evidence group with its own statistics, merged and chosen under constraints."""
+    chunks = parallel(table(spark, folder, "chunks")).where("document is not null").select("chunk_idx", "document", F.coalesce("text", F.lit("")).alias("text"))
+    items = table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return jobs.split_retrieve(chunks, items, K, 2)
+
+
+@query()
+def stemmed_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens without stop words, stemmed."""
+    d = parallel(table(spark, folder, "documents")).select("doc_id", stem.stemmed_tokens("text").alias("t"))
+    return d.select("doc_id", F.size("t").alias("n_stems"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query()
+def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    return streams.sessions(table(spark, folder, "events"))
+
+
 # --- event tables: the streaming forms run as batches here --------------------------------------------------------------
 
 
