@@ -3,25 +3,32 @@
 Two measures of a page, a title and a leading sentence set aside:
 
 * ``missing``: the share of its words that stand in no clause.  A clause is a
-  piece between sentence ends or line breaks with at least four words, of which
-  two, and one in ten, are function words (articles, prepositions, pronouns,
-  conjunctions, auxiliaries).  A link counts as one word in no clause of its own.
+  piece between sentence ends, line breaks, bars, bullets or asterisks with at
+  least four words, of which two, and one in ten, are function words (articles,
+  prepositions, pronouns, conjunctions, auxiliaries) of one language.  Commas part
+  pieces too where they part four entries or more of ``ENTRY`` words or less on
+  average; those of an ordinary sentence do not.  In no clause are words inside runs
+  of two words or more that occur again before the next sentence end or line break
+  (pairs of function words do not count), and sentences that the page has ``SLOGAN``
+  times or more.  A link counts as one word in no clause of its own, a hyphenated
+  word as one.
 * ``coverage``: the share of the page's characters that lie in maximal substrings
   of two words or more that occur at least twice, read off the suffix automaton
   of the page's words.
 
 A page is spam where ``missing + COVERAGE_WEIGHT * coverage`` reaches
-``THRESHOLD``.  Coverage is at most one, so the automaton is built only where it
-can still decide; elsewhere coverage is null and the decision the same.
+``THRESHOLD``.  Both are measured on every page that is long enough.
 
 Null and empty texts, and pages with fewer than ``least_words`` words after the
-title and leading sentence, are no spam (score 0).  Whole pages are read, of any
-length.  One row comes out per row with an id; extra columns are ignored.
+title and leading sentence, are no spam (score 0, coverage null).  Whole pages are
+read, of any length.  One row comes out per row with an id; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +37,8 @@ from pyspark.sql import functions as F
 
 COVERAGE_WEIGHT = 0.35
 THRESHOLD = 0.7
+SLOGAN = 3
+ENTRY = 4
 RESULT = "doc_id bigint, words int, missing double, coverage double, score double, is_spam boolean"
 
 # Closed-class words of the languages expected in a European crawl.
@@ -43,37 +52,87 @@ FUNCTION_WORDS = {
     "pl": "w z na do od przez dla pod nad się nie jest są oraz lub ale jeśli gdy który która które że to być może mogą musi",
     "pt": "os um uma do da dos das quando não é são foi ser pode podem deve devem em com sem ao aos na nas no nos pelo pela",
 }
-_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+_LANGUAGES = {w: tuple(k for k, words in enumerate(FUNCTION_WORDS.values()) if w in words.split()) for all_words in FUNCTION_WORDS.values() for w in all_words.split()}
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?")
-_BREAK = re.compile(r"(?<=[.!?;])\s+")
+_LINK_MARK = re.compile(r"\.[\w-]|://|www\.")
+_BREAK = re.compile(r"[.!?;]\s|\n")
+_SEPARATOR = re.compile(r"[|•▪◦‣]|(?<!\S)[*·](?!\S)")
+_SEPARATOR_MARK = re.compile(r"[|•▪◦‣*·]")
+_COMMA = re.compile(r",(?!\d)")
 _WORD = re.compile(r"[^\W_]+")
 _LINK_SIGN = "\x01"
+_WHOLE = re.compile(rf"[^\W_]+(?:[-‐‑][^\W_]+)*|{_LINK_SIGN}")
 
 
-def pieces(text: str) -> list[tuple[int, bool]]:
-    """(words, is a clause) of each piece between sentence ends and line breaks."""
+def _is_clause(words: list[str]) -> bool:
+    """Whether a piece has the function words of a clause, all of one language."""
+    n = len(words) - words.count(_LINK_SIGN)
+    if n < 4:
+        return False
+    found = [k for w in words if w in _LANGUAGES for k in _LANGUAGES[w]]
+    most = max(map(found.count, set(found)), default=0)
+    return most >= 2 and 10 * most >= n
+
+
+def _repeats(words: list[str]) -> list[bool] | None:
+    """For each word whether it lies in a run of two or more that the words have again.
+
+    Such runs are unions of pairs that occur twice, so pairs are enough.
+    """
+    pairs = list(zip(words, words[1:]))
+    if len(set(pairs)) == len(pairs):
+        return None
+    times = Counter(pairs)
+    inside = [False] * len(words)
+    for i, pair in enumerate(pairs):
+        if times[pair] > 1 and not (pair[0] in _LANGUAGES and pair[1] in _LANGUAGES):
+            inside[i] = inside[i + 1] = True
+    return inside
+
+
+def _parts(sentence: str, parted: bool) -> list[list[str]]:
+    """The words of each piece of a sentence or line."""
+    out = []
+    for piece in _SEPARATOR.split(sentence) if parted else (sentence,):
+        words = _WHOLE.findall(piece)
+        if piece.count(",") >= 3 and len(words) <= ENTRY * len(entries := _COMMA.split(piece)) and len(entries) > 3:
+            out += map(_WHOLE.findall, entries)
+        else:
+            out.append(words)
+    return out
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(words, words in clauses) of each piece between sentence ends and line breaks."""
+    low = text.lower()
+    if _LINK_MARK.search(low):
+        low = _LINK.sub(f" {_LINK_SIGN} ", low)
+    parted = bool(_SEPARATOR_MARK.search(low))
+    lists = [_parts(s, parted) for s in _BREAK.split(low) if s and not s.isspace()]
+    joined = [parts[0] if len(parts) == 1 else [w for part in parts for w in part] for parts in lists]
+    times = Counter(map(tuple, joined))
     out = []
-    find, function = _WORD.findall, _FUNCTION.__contains__
-    for line in _LINK.sub(f" {_LINK_SIGN} ", text.lower()).split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        for piece in _BREAK.split(line):
-            words = find(piece)
-            n = len(words)
-            k = sum(map(function, words)) if n >= 4 else 0
-            out.append((n + piece.count(_LINK_SIGN), k >= 2 and 10 * k >= n))
+    for parts, words in zip(lists, joined):
+        held = 0
+        if len(words) >= 4 and times[tuple(words)] < SLOGAN and any(clauses := list(map(_is_clause, parts))):
+            inside = _repeats(words)
+            at = 0
+            for part, clause in zip(parts, clauses):
+                if clause:
+                    held += len(part) - (sum(inside[at : at + len(part)]) if inside else 0)
+                at += len(part)
+        out.append((len(words), held))
     return out
 
 
 def missing_clauses(text: str) -> tuple[int, float]:
     """Words after a title and a leading sentence, and their share in no clause."""
-    found = pieces(text)
+    found = sentences(text)
     rest = found[1:] if len(found) > 1 else found
-    if len(rest) > 1 and found[0][0] <= 12 and not found[0][1] and rest[0][1]:
+    if len(rest) > 1 and found[0][0] <= 12 and not found[0][1] and 2 * rest[0][1] > rest[0][0]:
         rest = rest[1:]
     total = sum(n for n, _ in rest)
-    return total, sum(n for n, clause in rest if not clause) / total if total else 0.0
+    return total, 1 - sum(held for _, held in rest) / total if total else 0.0
 
 
 def repeat_coverage(text: str, least: int = 2) -> float:
@@ -87,50 +146,48 @@ def repeat_coverage(text: str, least: int = 2) -> float:
     if not words:
         return 0.0
     moves: list[dict[str, int]] = [{}]
-    link, length, times = [-1], [0], [0]
+    link, length = [-1], [0]
     prefix = []
     last = 0
     for word in words:
         new = len(moves)
         moves.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        times.append(1)
+        size = length[last] + 1
+        length.append(size)
         p = last
-        while p >= 0 and word not in moves[p]:
-            moves[p][word] = new
+        while p >= 0 and word not in (move := moves[p]):
+            move[word] = new
             p = link[p]
-        if p >= 0:
+        if p < 0:
+            link.append(0)
+        else:
             q = moves[p][word]
             if length[p] + 1 == length[q]:
-                link[new] = q
+                link.append(q)
             else:
-                copy = len(moves)
-                moves.append(dict(moves[q]))
-                link.append(link[q])
+                copy = new + 1
+                moves.append(moves[q].copy())
                 length.append(length[p] + 1)
-                times.append(0)
-                link[q] = link[new] = copy
+                link += (copy, link[q])
+                link[q] = copy
                 while p >= 0 and moves[p].get(word) == q:
                     moves[p][word] = copy
                     p = link[p]
         last = new
         prefix.append(new)
-    for state in sorted(range(1, len(moves)), key=length.__getitem__, reverse=True):
-        times[link[state]] += times[state]
-    covered = total = 0
+    often = set(link)  # a state occurs twice or more if another one's link leads to it
+    covered = 0
     reach = len(words)  # words from here on are covered already
     for i in range(len(words) - 1, -1, -1):
         state = prefix[i]
-        run = length[state] if times[state] > 1 else length[link[state]]
-        if run >= least:
-            reach = min(reach, i - run + 1)
-        total += len(words[i])
+        run = length[state] if state in often else length[link[state]]
+        if run >= least and i - run + 1 < reach:
+            reach = i - run + 1
         if reach <= i:
             covered += len(words[i])
-        if reach > i:
+        else:
             reach = i
-    return covered / total
+    return covered / sum(map(len, words))
 
 
 def judge(text: str | None, least_words: int = 12) -> tuple[int, float, float | None, float, bool]:
@@ -138,8 +195,8 @@ def judge(text: str | None, least_words: int = 12) -> tuple[int, float, float |
     words, missing = missing_clauses(text) if text else (0, 0.0)
     if words < least_words:
         return words, missing, None, 0.0, False
-    coverage = repeat_coverage(text) if missing + COVERAGE_WEIGHT >= THRESHOLD else None
-    score = missing + COVERAGE_WEIGHT * (coverage or 0.0)
+    coverage = repeat_coverage(text)
+    score = missing + COVERAGE_WEIGHT * coverage
     return words, missing, coverage, score, score >= THRESHOLD
 
 

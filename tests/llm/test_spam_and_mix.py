@@ -53,6 +53,38 @@ def test_pages(spark):
     assert spam.judge("cheap steel " * 20_000)[4]  # a very long page, whole
 
 
+KEYWORDS = [  # with articles or prepositions, as documents 3, 163, 2727, 4322 and 8126 of sf0.1 have them
+    "las importaciones de neumáticos las importaciones de neumáticos Pumpenmeldungen " * 8,
+    "Möbelkennzeichnungen * los contratos de cemento * los flujos de madera * Möbelkennzeichnungen * los flujos de madera * " * 6,
+    "los flujos de textiles, Flaschengenehmigungen, les délais de moquette, les délais de moquette, los flujos de textiles, " * 6,
+    "secondary refrigerant | non-conforming textile | non-conforming textile | " * 10,
+    "Industrial toy labels under review\n\n" + "les composants de plastique, Magnetabfälle, los controles de colchones, les permis de textiles, " * 5,
+    "You can buy all of the pumps here and they are cheap. " * 8,
+]
+SENTENCES = [
+    "Costs per unit vary widely: second-hand cement guidelines take 8 units, cross-border mattress targets about 35 litres, and registered mattress streams even more.",
+    "Sans les contrats d'emballage, il est difficile de vérifier les contrats de bois, ce que les exploitants confirment. Sans les contrats de verre, il est difficile de trier les contrats de pneus, ce que les ateliers confirment.",
+    " ".join(f"No obstante el artículo {i}, apartado 2, los talleres pueden documentar los lotes de plástico antes del {i} de marzo." for i in range(1, 29)),
+    PROSE[0] + "\n" + PROSE[0],  # a text that stands twice on its page
+]
+
+
+@pytest.mark.parametrize("text", KEYWORDS)
+def test_keyword_lists_with_function_words(text):
+    assert spam.judge(text)[4]
+
+
+@pytest.mark.parametrize("text", SENTENCES)
+def test_sentences_with_commas_and_repeated_turns(text):
+    words, missing, coverage, _, found = spam.judge(text)
+    assert not found and missing < 0.5 and coverage == spam.repeat_coverage(text)
+
+
+def test_coverage_is_measured_on_every_long_page():
+    assert all(spam.judge(t)[2] == spam.repeat_coverage(t) for t in PROSE[:4])
+    assert spam.judge("A title only")[2] is None
+
+
 def _sainte_lague(shares, blocks, caps):
     seats = [0] * len(shares)
     for _ in range(blocks):
