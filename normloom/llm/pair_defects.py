@@ -271,12 +271,17 @@ def fit_ends(responses: DataFrame) -> np.ndarray:
 
 def end_likelihood(counts: np.ndarray, text: str, base: float = 0.01, prior: float = 4.0) -> float:
     """P(text stops | its last characters), the longer context resting on the shorter one
-    and the shortest on ``base``."""
+    and the shortest on ``base``.
+
+    The text is one of those counted: its own end is taken off, so that an end which
+    nothing else has does not speak for itself.
+    """
     tail = _codes(_normal(text[-4 * ORDERS[-1] :])[-ORDERS[-1] :])
     p = base
     for k, order in enumerate(ORDERS):
         at = _contexts(tail[len(tail) - order :], order)[0]
-        p = (float(counts[k, 1, at]) + prior * p) / (float(counts[k, 0, at]) + prior)
+        seen, ended = (max(float(counts[k, i, at]) - 1, 0.0) for i in (0, 1))
+        p = (ended + prior * p) / (seen + prior)
     return p
 
 

@@ -43,6 +43,19 @@ def test_defects(spark, languages):
     assert pair_defects.pair_defects(df.limit(0), "id", "prompt", "raw", languages).count() == 0
 
 
+def test_an_end_found_nowhere_else_does_not_speak_for_itself(spark, languages):
+    cut = _json(ENGLISH[3] + " As was said by Ms Wojciechowska-Przybysz")
+    rows = [(i, PROMPT, _json(t)) for i, t in enumerate(ENGLISH * 20)] + [(1000, PROMPT, cut)]
+    df = spark.createDataFrame(rows, "id bigint, prompt string, raw string")
+    got = {r.id: r.defect for r in pair_defects.pair_defects(df, "id", "prompt", "raw", languages).collect()}
+    assert got.pop(1000) == "truncated" and set(got.values()) == {None}
+
+
+def test_own_end_is_taken_off_the_counts(spark):
+    alone = pair_defects.fit_ends(spark.createDataFrame([(_json("Seen by Ms Wojcie"),)], "raw string"))
+    assert pair_defects.end_likelihood(alone, "Seen by Ms Wojcie") == pytest.approx(0.01)
+
+
 def test_held_out_language_accuracy(languages):
     held = {"en": ["Operators may not sell the goods before the test has been done.", "He asked whether they would come back in the spring."], "de": ["Die Betreiber dürfen die Waren vor der Prüfung nicht verkaufen.", "Er fragte, ob sie im Frühjahr wiederkommen würden."]}
     assert all(languages.of(t)[0] == name for name, texts in held.items() for t in texts)
