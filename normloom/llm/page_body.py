@@ -126,7 +126,7 @@ _FRAME = [a for p in (*CONSENT, *FOOTER, *PROMPT, *SYSTEM) for a in _alternative
 _BEGINS = re.compile("|".join(a[1:] for a in _FRAME if a[0] == "^"))
 _HOLDS = re.compile("|".join(a for a in _FRAME if a[0] != "^"))
 _HOLDS_WORDS = re.compile(
-    "cookie|tracking|local storage|text files|technolog|consent|traceur|privacy|©|rights reserved|editorial system|responsible for|legal advice|postbox|box|postfach|boîte postale|b\\.?p\\.?|enter your|register now|listen to this| min|more about how"
+    "cookie|tracking|local storage|text files|technolog|consent|traceur|privacy|©|rights reserved|editorial system|responsible for|legal advice|postbox|box|postfach|boîte postale|b\\.?p\\.?|enter your|register now|listen to this| min|how we"
 )
 _TEASER = re.compile("|".join(TEASER))
 _MARKER = re.compile(r"^\s*(?:[*•·▪◦‣–—-]\s+|[☰≡]\s*|\(?(?:\d{1,2}|[a-z])\)\s+)", _I)
@@ -134,8 +134,6 @@ _TEASER_MARKER = re.compile(r"^\s*(?:[>»›→]\s+|\d{1,2}\.\s+)")
 _DATED = re.compile(r"\(\d{1,2}\.? [^\W\d_]{3,}(?: \d{4})?\)\s*$")
 _SEPARATOR = re.compile(r"\s*[|·•/›»>]\s*|\s{2,}")
 _CRUMB = re.compile(r"\s+[>›»/]\s+")
-#: Without one of these a line of over 110 characters matches no pattern of a frame but a row of labels.
-_LONG_TRIGGER = re.compile(r"cookie|consent|tracking|storage|text files|technolog|privacy|traceur|choice|this (?:page|site)|reserved|réservés|vorbehalten|©|copyright|e-?mail|digest|newsletter|subscribe|sign up|share|register now|responsible|you |your |updated|reviewed|read|views|tags|also|mehr lesen|lire|[|·›»>•]| / |  ", _I)
 _SENTENCE_END = re.compile(r"[.!?:;][\"”’»)]?\s*$")
 
 
@@ -160,8 +158,6 @@ def _labels_only(text: str) -> bool:
 @lru_cache(maxsize=200_000)
 def classify(text: str) -> str:
     """The class of one line by itself; ``text`` is stripped."""
-    if len(text) > 110 and not _LONG_TRIGGER.search(text) and not text.isupper():
-        return "prose"
     bare = _MARKER.sub("", text).strip()
     low = bare.lower().rstrip(":").strip()
     if low in TEASER_HEADS:

@@ -95,6 +95,21 @@ def test_frame_lines(spark):
     assert page_body.page_lines(df.limit(0), "k", "text").count() == 0
 
 
+REST = " of the pages on machines, pumps, steel, tyres and glass that the firms in the towns of the north place on the market"
+
+
+@pytest.mark.parametrize("line", [
+    "Powered by the tools" + REST, "Run with the editorial system" + REST, "The firm" + REST + ", Postbox 81", "Join us for the talks" + REST, "Stay informed on the rules" + REST,
+    "Article continues below the notes" + REST, "Advertisement: the shop" + REST, "Call our helpdesk for the list" + REST, "The notes" + REST + " (members only)", "See the how we work part" + REST,
+])
+def test_frame_lines_of_any_length(line):
+    assert len(line) > 110 and page_body.classify(line) in page_body.FRAME
+
+
+def test_long_sentences_are_prose():
+    assert page_body.classify("The firms keep a register" + REST + ".") == "prose"
+
+
 def test_long_page():
     lines, frame = page_body.frame_of_page("\n".join([PAGE] + ["The firm shall keep its register for ten years after the sale."] * 20_000))
     assert len(lines) > 20_000 and len(frame) < 20
