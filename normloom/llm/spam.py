@@ -14,15 +14,16 @@ Two measures of a page, a title and a leading sentence set aside:
   word as one.
 * ``coverage``: the share of the page's characters that lie in maximal substrings
   of two words or more that occur at least twice, read off the suffix automaton
-  of the page's words.
+  of the page's words.  Stretches between pairs of words that the page has once
+  only are put into it one after the other: no repeated substring spans such a pair.
 
 A page is spam where ``missing + COVERAGE_WEIGHT * coverage`` reaches
-``THRESHOLD``.  Both are measured on every page that is long enough.
+``THRESHOLD`` and there is something it is stuffed with: ``PIECES`` pieces without
+a clause, or repetition over half of its characters.  Both measures are taken on
+every page, of any length; a bare title or a stub has nothing to be stuffed with.
 
-Null and empty texts, and pages with fewer than ``least_words`` words after the
-title and leading sentence, are no spam (score 0, coverage null).  Whole pages are
-read, of any length.  One row comes out per row with an id; extra columns are
-ignored.
+Null and empty texts are no spam (score 0).  Whole pages are read, of any length.
+One row comes out per row with an id; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ COVERAGE_WEIGHT = 0.35
 THRESHOLD = 0.7
 SLOGAN = 3
 ENTRY = 4
+PIECES = 3
 RESULT = "doc_id bigint, words int, missing double, coverage double, score double, is_spam boolean"
 
 # Closed-class words of the languages expected in a European crawl.
@@ -55,9 +57,12 @@ FUNCTION_WORDS = {
 _LANGUAGES = {w: tuple(k for k, words in enumerate(FUNCTION_WORDS.values()) if w in words.split()) for all_words in FUNCTION_WORDS.values() for w in all_words.split()}
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+(?:/\S*)?")
 _LINK_MARK = re.compile(r"\.[\w-]|://|www\.")
-_BREAK = re.compile(r"[.!?;]\s|\n")
+#: Sentence ends and line breaks; a full stop after one or two digits is an ordinal's or a list's.
+_BREAK = re.compile(r"[.!?;\n](?:(?<=\n)|(?<!\b[0-9]\.)(?<!\b[0-9]{2}\.)\s)")
 _SEPARATOR = re.compile(r"[|•▪◦‣]|(?<!\S)[*·](?!\S)")
 _SEPARATOR_MARK = re.compile(r"[|•▪◦‣*·]")
+#: What parts the entries of a line without a clause.
+_ENTRIES = re.compile(r"[|•▪◦‣*·/,;:»›>#–—]|\s-\s")
 _COMMA = re.compile(r",(?!\d)")
 _WORD = re.compile(r"[^\W_]+")
 _LINK_SIGN = "\x01"
@@ -102,37 +107,44 @@ def _parts(sentence: str, parted: bool) -> list[list[str]]:
     return out
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(words, words in clauses) of each piece between sentence ends and line breaks."""
+def sentences(text: str) -> list[tuple[int, int, int]]:
+    """(words, words in clauses, pieces in no clause) between sentence ends and line breaks."""
     low = text.lower()
     if _LINK_MARK.search(low):
         low = _LINK.sub(f" {_LINK_SIGN} ", low)
     parted = bool(_SEPARATOR_MARK.search(low))
-    lists = [_parts(s, parted) for s in _BREAK.split(low) if s and not s.isspace()]
+    pieces = [s for s in _BREAK.split(low) if s and not s.isspace()]
+    lists = [_parts(s, parted) for s in pieces]
     joined = [parts[0] if len(parts) == 1 else [w for part in parts for w in part] for parts in lists]
     times = Counter(map(tuple, joined))
     out = []
-    for parts, words in zip(lists, joined):
-        held = 0
+    for sentence, parts, words in zip(pieces, lists, joined):
+        held = loose = 0
         if len(words) >= 4 and times[tuple(words)] < SLOGAN and any(clauses := list(map(_is_clause, parts))):
             inside = _repeats(words)
             at = 0
             for part, clause in zip(parts, clauses):
                 if clause:
                     held += len(part) - (sum(inside[at : at + len(part)]) if inside else 0)
+                elif part:
+                    loose += 1
                 at += len(part)
-        out.append((len(words), held))
+        else:
+            loose = max(sum(1 for x in _ENTRIES.split(sentence) if _WHOLE.search(x)), words.count(_LINK_SIGN))
+        out.append((len(words), held, loose))
     return out
 
 
-def missing_clauses(text: str) -> tuple[int, float]:
-    """Words after a title and a leading sentence, and their share in no clause."""
+def missing_clauses(text: str) -> tuple[int, float, int]:
+    """Words after a title and a leading sentence, their share in no clause, and pieces in none."""
     found = sentences(text)
-    rest = found[1:] if len(found) > 1 else found
-    if len(rest) > 1 and found[0][0] <= 12 and not found[0][1] and 2 * rest[0][1] > rest[0][0]:
-        rest = rest[1:]
-    total = sum(n for n, _ in rest)
-    return total, 1 - sum(held for _, held in rest) / total if total else 0.0
+    rest = found
+    if len(rest) > 1 and rest[0][0] <= 12 and not rest[0][1] and rest[0][2] == 1:
+        rest = rest[1:]  # a title
+    if len(rest) > 1 and 2 * rest[0][1] > rest[0][0]:
+        rest = rest[1:]  # a leading sentence
+    total = sum(n for n, _, _ in rest)
+    return total, 1 - sum(held for _, held, _ in rest) / total if total else 0.0, sum(loose for _, _, loose in rest)
 
 
 def repeat_coverage(text: str, least: int = 2) -> float:
@@ -143,25 +155,55 @@ def repeat_coverage(text: str, least: int = 2) -> float:
     suffix link, whose end positions are more by definition.
     """
     words = _WORD.findall(text.lower())
-    if not words:
+    pairs = list(zip(words, words[1:]))
+    times = Counter(pairs)
+    if len(times) == len(pairs):
         return 0.0
-    moves: list[dict[str, int]] = [{}]
+    # stretches of repeated pairs, parted by signs that occur once each
+    letters: list[str | int] = []
+    places: list[int] = []
+    for i, pair in enumerate(pairs):
+        if times[pair] > 1:
+            if not places or places[-1] != i:
+                letters += (-i, words[i])
+                places += (-1, i)
+            letters.append(words[i + 1])
+            places.append(i + 1)
+    link, length, prefix = _automaton(letters)
+    often = set(link)  # a state occurs twice or more if another one's link leads to it
+    covered = 0
+    reach = len(letters)  # letters from here on are covered already
+    for i in range(len(letters) - 1, -1, -1):
+        state = prefix[i]
+        run = length[state] if state in often else length[link[state]]
+        if run >= least and i - run + 1 < reach:
+            reach = i - run + 1
+        if reach <= i:
+            covered += len(words[places[i]])
+        else:
+            reach = i
+    return covered / sum(map(len, words))
+
+
+def _automaton(letters: list) -> tuple[list[int], list[int], list[int]]:
+    """Suffix links and lengths of the states, and the state of each prefix."""
+    moves: list[dict] = [{}]
     link, length = [-1], [0]
     prefix = []
     last = 0
-    for word in words:
+    for letter in letters:
         new = len(moves)
         moves.append({})
         size = length[last] + 1
         length.append(size)
         p = last
-        while p >= 0 and word not in (move := moves[p]):
-            move[word] = new
+        while p >= 0 and letter not in (move := moves[p]):
+            move[letter] = new
             p = link[p]
         if p < 0:
             link.append(0)
         else:
-            q = moves[p][word]
+            q = moves[p][letter]
             if length[p] + 1 == length[q]:
                 link.append(q)
             else:
@@ -170,50 +212,35 @@ def repeat_coverage(text: str, least: int = 2) -> float:
                 length.append(length[p] + 1)
                 link += (copy, link[q])
                 link[q] = copy
-                while p >= 0 and moves[p].get(word) == q:
-                    moves[p][word] = copy
+                while p >= 0 and moves[p].get(letter) == q:
+                    moves[p][letter] = copy
                     p = link[p]
         last = new
         prefix.append(new)
-    often = set(link)  # a state occurs twice or more if another one's link leads to it
-    covered = 0
-    reach = len(words)  # words from here on are covered already
-    for i in range(len(words) - 1, -1, -1):
-        state = prefix[i]
-        run = length[state] if state in often else length[link[state]]
-        if run >= least and i - run + 1 < reach:
-            reach = i - run + 1
-        if reach <= i:
-            covered += len(words[i])
-        else:
-            reach = i
-    return covered / sum(map(len, words))
+    return link, length, prefix
 
 
-def judge(text: str | None, least_words: int = 12) -> tuple[int, float, float | None, float, bool]:
+def judge(text: str | None) -> tuple[int, float, float, float, bool]:
     """(words, missing, coverage, score, is_spam) of one page."""
-    words, missing = missing_clauses(text) if text else (0, 0.0)
-    if words < least_words:
-        return words, missing, None, 0.0, False
+    if not text:
+        return 0, 0.0, 0.0, 0.0, False
+    words, missing, loose = missing_clauses(text)
     coverage = repeat_coverage(text)
     score = missing + COVERAGE_WEIGHT * coverage
-    return words, missing, coverage, score, score >= THRESHOLD
-
+    return words, missing, coverage, score, score >= THRESHOLD and (loose >= PIECES or coverage >= 0.5)
 
-def _step(least_words: int):
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [judge(t, least_words) for t in b.column(1).to_pylist()]
-            words, missing, coverage, score, spam = zip(*rows) if rows else ((),) * 5
-            yield pa.record_batch(
-                [b.column(0), pa.array(words, pa.int32()), pa.array(missing, pa.float64()), pa.array(coverage, pa.float64()), pa.array(score, pa.float64()), pa.array(spam, pa.bool_())],
-                names=["doc_id", "words", "missing", "coverage", "score", "is_spam"],
-            )
 
-    return step
+def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [judge(t) for t in b.column(1).to_pylist()]
+        words, missing, coverage, score, spam = zip(*rows) if rows else ((),) * 5
+        yield pa.record_batch(
+            [b.column(0), pa.array(words, pa.int32()), pa.array(missing, pa.float64()), pa.array(coverage, pa.float64()), pa.array(score, pa.float64()), pa.array(spam, pa.bool_())],
+            names=["doc_id", "words", "missing", "coverage", "score", "is_spam"],
+        )
 
 
-def keyword_spam(df: DataFrame, id_col: str, text_col: str, least_words: int = 12) -> DataFrame:
+def keyword_spam(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, words, missing, coverage, score, is_spam) of every row; no shuffle."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(_step(least_words), RESULT)
+    return rows.mapInArrow(_step, RESULT)

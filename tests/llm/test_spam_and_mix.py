@@ -80,9 +80,41 @@ def test_sentences_with_commas_and_repeated_turns(text):
     assert not found and missing < 0.5 and coverage == spam.repeat_coverage(text)
 
 
-def test_coverage_is_measured_on_every_long_page():
-    assert all(spam.judge(t)[2] == spam.repeat_coverage(t) for t in PROSE[:4])
-    assert spam.judge("A title only")[2] is None
+def test_coverage_is_measured_on_every_page():
+    assert all(spam.judge(t)[2] == spam.repeat_coverage(t) for t in [*PROSE[:4], "A title only"])
+    assert spam.judge("A title only")[2:] == (0.0, 1.0, False)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "\n".join(f"https://shop{i}.example/a" for i in range(5)),  # fewer words than any sentence has
+        "#cheapsteel #solarpump #bestprices",
+        "Topics\npump / cable / cheap steel / tyres / waste",
+    ],
+)
+def test_short_lists(text):
+    assert spam.judge(text)[4]
+
+
+def _plain_coverage(text):
+    """Characters of words in some run of two or more that occurs twice, by trying all runs."""
+    words = text.lower().split()
+    inside = set()
+    for i in range(len(words)):
+        for j in range(i + 2, len(words) + 1):
+            run = words[i:j]
+            if sum(words[k : k + len(run)] == run for k in range(len(words))) > 1:
+                inside.update(range(i, j))
+    return sum(len(words[i]) for i in inside) / sum(map(len, words))
+
+
+def test_coverage_against_all_runs():
+    rng = random.Random(5)
+    for size in (2, 3, 6):
+        for _ in range(40):
+            text = " ".join(rng.choice(["a", "bb", "ccc", "dd", "e", "ffff"][:size]) for _ in range(rng.randint(1, 40)))
+            assert spam.repeat_coverage(text) == pytest.approx(_plain_coverage(text))
 
 
 def _sainte_lague(shares, blocks, caps):
