@@ -2,8 +2,8 @@
 
 Two fields make a record; they may also be exchanged.  A lookup table over all
 code points gives each character its folded form or says to skip it.  A field's
-code points are looked up and go straight into two rolling polynomial hashes (mod
-two primes); no canonical string is made, kept or shuffled.  The record's key is
+code points are looked up, window by window, and go straight into two rolling
+polynomial hashes (mod two primes); no canonical string is made, kept or shuffled.  The record's key is
 the unordered pair of its fields' hashes and lengths.
 
 Rows are grouped by key through partial aggregation (a count and the smallest id;
@@ -22,15 +22,22 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normloom.tables import cut
+
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_000_003, 69_069_069)
 KEYS = ["k1", "k2", "k3", "k4", "size"]
+#: Code points that are folded at once.
+WINDOW = 1 << 18
+#: Rows of two identifiers that may be broadcast (some 100 MB at most).
+BROADCAST_ROWS = 4_000_000
 
 
 @cache
@@ -57,24 +64,38 @@ def _powers(k: int, n: int) -> np.ndarray:
     return _POWERS[k]
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts laid end to end, and where each ends."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64) if texts else np.zeros(0, dtype=np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), ends
+
+
 def field_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The two hashes and the folded length of each text."""
-    joined = [t or "" for t in texts]
-    codes = np.frombuffer("".join(joined).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    folded = fold_table()[codes]
-    kept = folded != 0
-    ends = np.cumsum([len(t) for t in joined]) if joined else np.zeros(0, dtype=np.int64)
-    rank = np.concatenate(([0], np.cumsum(kept)))
-    bounds = rank[np.concatenate(([0], ends)).astype(np.int64)]
-    size = np.diff(bounds)
-    values = folded[kept].astype(np.uint64)
-    place = np.arange(len(values)) - np.repeat(bounds[:-1], size)
-    out = []
-    for k in range(2):
-        terms = values * _powers(k, int(size.max(initial=0)) + 1)[place] % np.uint64(PRIMES[k])
-        total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(terms)))
-        out.append(((total[bounds[1:]] - total[bounds[:-1]]) % np.uint64(PRIMES[k])).astype(np.int64))
-    return out[0], out[1], size
+    """The two hashes and the folded length of each text.
+
+    The code points stream through the table in windows of ``WINDOW``; what is carried
+    from one to the next is the open text's hashes and its number of kept characters.
+    """
+    codes, ends = _codes([t or "" for t in texts])
+    n = len(texts)
+    size = np.zeros(n, dtype=np.int64)
+    totals = np.zeros((2, n), dtype=np.uint64)
+    for lo in range(0, len(codes), WINDOW):
+        hi = min(len(codes), lo + WINDOW)
+        folded = fold_table()[codes[lo:hi]]
+        kept = np.cumsum(folded != 0)  # a skipped character has value 0 and moves no place
+        first, last = (int(np.searchsorted(ends, x, side="right")) for x in (lo, hi - 1))
+        bounds = np.concatenate(([0], ends[first:last] - lo))  # where the window's texts begin
+        before = np.concatenate(([0], kept))[bounds]
+        owner = np.repeat(np.arange(first, last + 1), np.diff(np.concatenate((bounds, [hi - lo]))))
+        place = np.maximum(kept - 1 - before[owner - first] + size[owner], 0)
+        filled = np.flatnonzero(np.diff(np.concatenate((bounds, [hi - lo]))))
+        for k in range(2):
+            terms = folded.astype(np.uint64) * _powers(k, int(place.max(initial=0)) + 1)[place] % np.uint64(PRIMES[k])
+            rows = first + filled
+            totals[k, rows] = (totals[k, rows] + np.add.reduceat(terms, bounds[filled])) % np.uint64(PRIMES[k])
+        size[first : last + 1] += np.diff(np.concatenate((before, [kept[-1]])))
+    return totals[0].astype(np.int64), totals[1].astype(np.int64), size
 
 
 def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,26 +111,26 @@ def _key_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(low), pa.array(high), pa.array(low_n), pa.array(high_n), pa.array(n + m)], names=["id", *KEYS])
 
 
-def same_folded(a: str, b: str) -> bool:
-    """Whether two texts are equal after folding: two pointers, each skipping."""
-    table = fold_table()
-    i = j = 0
-    m, n = len(a), len(b)
-    while True:
-        while i < m and not table[ord(a[i])]:
-            i += 1
-        while j < n and not table[ord(b[j])]:
-            j += 1
-        if i >= m or j >= n:
-            return i >= m and j >= n
-        if a[i] != b[j] and table[ord(a[i])] != table[ord(b[j])]:
-            return False
-        i += 1
-        j += 1
-
+def same_folded(left: list[str], right: list[str]) -> np.ndarray:
+    """For each pair of texts whether they are equal after folding.
 
-def same_record(a: tuple[str, str], b: tuple[str, str]) -> bool:
-    return (same_folded(a[0], b[0]) and same_folded(a[1], b[1])) or (same_folded(a[0], b[1]) and same_folded(a[1], b[0]))
+    Two pointers, each skipping: for all pairs at once, as the places where either
+    text is not skipped; the characters there are compared one by one.
+    """
+    table = fold_table()
+    found = []
+    for texts in (left, right):
+        codes, ends = _codes(texts)
+        at = np.flatnonzero(table[codes])
+        found.append((codes, at, np.searchsorted(at, ends)))
+    (a, i, m), (b, j, n) = found
+    sizes, others = np.diff(m, prepend=0), np.diff(n, prepend=0)
+    same = sizes == others
+    if not same.all():
+        i, j = i[np.repeat(same, sizes)], j[np.repeat(same, others)]
+    equal = table[a[i]] == table[b[j]]
+    wrong = np.bincount(np.repeat(np.flatnonzero(same), sizes[same]), weights=~equal, minlength=len(left))
+    return same & (wrong == 0)
 
 
 def _digest(fields: tuple[str, str]) -> str:
@@ -121,32 +142,41 @@ def _digest(fields: tuple[str, str]) -> str:
 def _compare_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, keep_id, other): other is null for true copies, else the row's own digest."""
     for b in batches:
-        ids, keeps, a, s, ka, ks = (b.column(k).to_pylist() for k in range(6))
-        other = []
-        for x, y, u, v in zip(a, s, ka, ks):
-            row, keeper = (x or "", y or ""), (u or "", v or "")
-            other.append(None if row == keeper or same_record(row, keeper) else _digest(row))
+        a, s, ka, ks = ([x or "" for x in b.column(k).to_pylist()] for k in range(2, 6))
+        copies = same_folded(a, ka) & same_folded(s, ks)
+        rest = np.flatnonzero(~copies)
+        take = lambda texts: [texts[i] for i in rest]
+        copies[rest] = same_folded(take(a), take(ks)) & same_folded(take(s), take(ka))
+        other = [None if c else _digest(pair) for c, pair in zip(copies, zip(a, s))]
         yield pa.record_batch([b.column(0), b.column(1), pa.array(other, pa.string())], names=["id", "keep_id", "other"])
 
 
-def folded_copies(df: DataFrame, id_col: str, first_col: str, second_col: str) -> tuple[DataFrame, DataFrame]:
-    """(members, records): ``members(id, keep_id)`` of every row, keepers included, and
-    ``records(keep_id, copies)``."""
+class Copies(NamedTuple):
+    """members(id, keep_id): every row, keepers included; groups(id, keep_id): those rows
+    that have copies; records(keep_id, copies)."""
+
+    members: DataFrame
+    groups: DataFrame
+    records: DataFrame
+
+
+def folded_copies(df: DataFrame, id_col: str, first_col: str, second_col: str) -> Copies:
+    """The rows' groups.  Each row is hashed once; texts are read again, and travel, only
+    for rows that share a key with another id."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(first_col).alias("a"), F.col(second_col).alias("b")).where("id is not null")
-    keyed = rows.mapInArrow(_key_step, "id bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, size bigint")
-    groups = keyed.groupBy(*KEYS).agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
-    placed = keyed.join(groups, KEYS).select("id", "keep_id", "n").distinct()
-    single = placed.where("n = 1").select("id", "keep_id")
-    shared = placed.where("n > 1").select("id", "keep_id")
-    # texts travel only for rows that share a key; the keepers' side of a large group is
-    # one row, which adaptive execution sends to each split of the members' side
-    keepers = rows.join(shared.select(F.col("keep_id").alias("id")).distinct(), "id").select(F.col("id").alias("keep_id"), F.col("a").alias("ka"), F.col("b").alias("kb"))
-    compared = (
-        rows.join(shared, "id").join(keepers, "keep_id").select("id", "keep_id", "a", "b", "ka", "kb").mapInArrow(_compare_step, "id bigint, keep_id bigint, other string")
-    )
-    # rows equal to their keeper stand alone in this window; the others meet those of the
-    # same canonical text, which only an accident of hashing leaves to be many
-    own = Window.partitionBy(F.coalesce("other", F.concat(F.lit("="), F.col("id").cast("string"))))
-    kept = F.when(F.col("other").isNull(), F.col("keep_id")).otherwise(F.min("id").over(own))
-    members = single.unionByName(compared.select("id", kept.alias("keep_id")))
-    return members, members.groupBy("keep_id").agg(F.count("*").alias("copies"))
+    keyed = cut(rows.mapInArrow(_key_step, "id bigint, k1 bigint, k2 bigint, k3 bigint, k4 bigint, size bigint"))
+    several = keyed.groupBy(*KEYS).agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id <> last").drop("last")
+    shared = cut(keyed.join(several, KEYS).select("id", "keep_id").distinct())
+    few = shared.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(shared) if few else shared, "id")
+    # the keepers' side of a large group is one row, which adaptive execution sends to
+    # each split of the members' side
+    keepers = texts.where("id = keep_id").groupBy("keep_id").agg(F.first("a").alias("ka"), F.first("b").alias("kb"))
+    compared = cut(texts.join(keepers, "keep_id").select("id", "keep_id", "a", "b", "ka", "kb").mapInArrow(_compare_step, "id bigint, keep_id bigint, other string"))
+    # rows whose key agrees with the keeper's by accident meet those of the same canonical text
+    odd = compared.where("other is not null")
+    own = odd.join(odd.groupBy("other").agg(F.min("id").alias("least")), "other").select("id", F.col("least").alias("keep_id"))
+    groups = compared.where("other is null").select("id", "keep_id").unionByName(own).distinct()
+    single = keyed.select("id").distinct().join(shared.select("id"), "id", "left_anti").select("id", F.col("id").alias("keep_id"))
+    members = single.unionByName(groups)
+    return Copies(members, groups, members.groupBy("keep_id").agg(F.count("*").alias("copies")))

@@ -99,19 +99,18 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 # --- 7: copies hidden by formatting ----------------------------------------------
 
 
-def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def _copies(spark: SparkSession, folder: str) -> fold_dedup.Copies:
     return fold_dedup.folded_copies(parallel(table(spark, folder, "gold")), "gold_id", "recommendation_text", "source_snippet_original")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each annotation that is a copy, with the one that is kept."""
-    members, _ = _copies(spark, folder)
-    return members.where("id <> keep_id").select("keep_id", F.col("id").alias("gold_id"))
+    return _copies(spark, folder).groups.where("id <> keep_id").select("keep_id", F.col("id").alias("gold_id"))
 
 
 def p7_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per distinct annotation with its number of copies."""
-    return _copies(spark, folder)[1]
+    return _copies(spark, folder).records
 
 
 P7_SQL = """
