@@ -56,6 +56,10 @@ SIGNATURE_BITS = 256
 #: Sets of one n-gram that one tile takes; pairs that are compared at once.
 TILE_SETS = 20_000
 PAIRS_AT_ONCE = 1_000_000
+#: Keys of sets that a task remembers to leave out copies.
+SEEN = 1_000_000
+#: Prefix n-grams that a fragment should hold, from which the number of fragments follows.
+FRAGMENT_ENTRIES = 2_000_000
 #: Share of a set by which its prefixes are longer than they must be.
 EXTRA = 0.05
 
@@ -141,13 +145,28 @@ def _levels(blocks: DataFrame) -> np.ndarray:
 
 
 def _order_step(n: int, clean: bool, sketch):
-    """Rows (k1, k2, size, id, tokens): the set in the global order, six bytes a token."""
+    """Rows (k1, k2, size, id, tokens): the set in the global order, six bytes a token.
+
+    Of equal sets a task sends on the first (and any that has a smaller id), so copies of
+    one text cost a row a task; the keys it remembers are bounded by ``SEEN``.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketch.value, dtype=np.uint8)
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
-            tokens, counts = _sets(b.column(1).to_pylist(), n, clean)
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            tokens, counts = _sets(texts, n, clean)
             k1, k2 = _class_keys(tokens, counts)
+            fresh = np.zeros(len(counts), dtype=bool)
+            for i in np.flatnonzero(counts).tolist():
+                key = (int(k1[i]), int(k2[i]))
+                if seen.get(key, ids[i] + 1) > ids[i]:
+                    fresh[i] = True
+                    seen[key] = ids[i]
+            if len(seen) > SEEN:
+                seen = {}
+            tokens, counts = tokens[np.repeat(fresh, counts)], np.where(fresh, counts, 0)
             owner, _ = spread(counts)
             rank = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
             tokens = tokens[np.lexsort((rank, owner))] if len(tokens) else tokens
@@ -212,7 +231,7 @@ def _segment_step(t: float, fragments: int, sketch):
         often = np.exp2(np.arange(256) / 8.0)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens, counts = _unpack(b.column(1))
+            tokens, counts = _unpack(b.column(2))  # the class id goes along unused, see near_duplicates
             sign = _signatures(tokens, counts)
             owner, place = spread(counts)
             probe, index = _prefixes(t, counts)
@@ -285,7 +304,6 @@ def _overlap_step(t: float):
         reach = np.searchsorted(key, top, side="right") - np.arange(len(key)) - 1
         reach = np.where(flags & 1, np.maximum(reach, 0), 0)  # the smaller set's n-gram must be an index one
         done = np.concatenate(([0], np.cumsum(reach)))
-        found = [(np.empty(0, dtype=np.int64),) * 3]
         at = 0
         while at < len(reach):
             to = max(at + 1, int(np.searchsorted(done, done[at] + PAIRS_AT_ONCE, side="right")) - 1)
@@ -304,19 +322,19 @@ def _overlap_step(t: float):
             a, b, need = a[ok], b[ok], need[ok]
             # what the pair can share outside these prefixes; the rest must show in the sum
             least = need - np.maximum(beyond_index[a], beyond_probe[b])
-            found.append((ids[a], ids[b], least))
             at = to
-        x, y, least = (np.concatenate(z) for z in zip(*found))
-        order = np.lexsort((y, x))
-        x, y, least = x[order], y[order], least[order]
-        head = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, dtype=np.int64)
-        shared = np.diff(np.concatenate((head, [len(x)])))
-        for lo in range(0, len(head), 50_000):
-            h = head[lo : lo + 50_000]
-            yield pa.record_batch(
-                [pa.array(x[h]), pa.array(y[h]), pa.array(shared[lo : lo + 50_000].astype(np.int32)), pa.array(least[h].astype(np.int32))],
-                names=["a", "b", "shared", "least"],
-            )
+            # a block's pairs go on at once; Spark adds up what several blocks and fragments say
+            x, y = ids[a], ids[b]
+            order = np.lexsort((y, x))
+            x, y, least = x[order], y[order], least[order]
+            head = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))) if len(x) else np.empty(0, dtype=np.int64)
+            shared = np.diff(np.concatenate((head, [len(x)])))
+            for lo in range(0, len(head), 50_000):
+                h = head[lo : lo + 50_000]
+                yield pa.record_batch(
+                    [pa.array(x[h]), pa.array(y[h]), pa.array(shared[lo : lo + 50_000].astype(np.int32)), pa.array(least[h].astype(np.int32))],
+                    names=["a", "b", "shared", "least"],
+                )
 
     return step
 
@@ -364,19 +382,22 @@ def near_duplicates(
     smallest = rows.groupBy(*keys).agg(F.min("id").alias("class_id"))
     members = rows.join(smallest, keys).select("id", "class_id").distinct()
 
-    partitions = fragments or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the sets are shuffled once, by k1; the fragments and both joins start from that
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if fragments is None:  # by the measured number of n-grams
+        entries = rows.agg(F.sum("size")).first()[0] or 0
+        fragments = max(partitions, -(-int(entries * min(1.0, 1 - threshold + EXTRA)) // FRAGMENT_ENTRIES))
+    # the sets are shuffled once, by k1; the fragments and both sides of the check read the
+    # same columns of it, so that the exchange is reused
     classes = (
         texts.mapInArrow(_order_step(n, clean, sketch), "k1 bigint, k2 bigint, size int, id bigint, tokens binary")
-        .repartition(partitions, "k1")
+        .repartition(max(partitions, fragments), "k1")
         .groupBy(*keys)
         .agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("class_id"))
         .select("k1", "class_id", "tokens")
     )
     overlaps = (
-        classes.select("k1", "tokens")
-        .mapInArrow(_segment_step(threshold, partitions, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
-        .repartitionById(partitions, F.col("fragment"))
+        classes.mapInArrow(_segment_step(threshold, fragments, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
+        .repartitionById(fragments, F.col("fragment"))
         .mapInArrow(_overlap_step(threshold), "a bigint, b bigint, shared int, least int")
     )
     candidates = overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
@@ -391,6 +412,14 @@ def near_duplicates(
     return members, pairs
 
 
+def linked_classes(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, links) of every row with a set: its class of equal sets and the number
+    of other classes that one is linked to.  With the pairs of classes it holds every link
+    without writing out the pairs within a class."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def all_links(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Every pair of rows (id_a < id_b) at the threshold, copies included."""
     left = members.select(F.col("id").alias("x"), F.col("class_id").alias("a"))

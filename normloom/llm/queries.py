@@ -90,10 +90,40 @@ def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
 # --- 6: near-duplicates -----------------------------------------------------
 
 
+def _near(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return near_dup.near_duplicates(parallel(table(spark, folder, "chunks")), "chunk_idx", "text", 0.7, 3, clean=True)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of chunks with similarity 0.7 or more on runs of three words."""
-    members, pairs = near_dup.near_duplicates(parallel(table(spark, folder, "chunks")), "chunk_idx", "text", 0.7, 3, clean=True)
-    return near_dup.all_links(members, pairs).toDF("chunk_idx_a", "chunk_idx_b")
+    return near_dup.all_links(*_near(spark, folder)).toDF("chunk_idx_a", "chunk_idx_b")
+
+
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each chunk's class of equal sets and that class's number of links; no pairs within a class."""
+    return near_dup.linked_classes(*_near(spark, folder)).withColumnRenamed("id", "chunk_idx")
+
+
+def p6_class_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The linked pairs of classes with their similarity."""
+    return _near(spark, folder)[1].select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("similarity", 6).alias("similarity"))
+
+
+# the sets as SQL: words of the lower-cased text without marks, runs of three
+P6_CTE = """
+w AS (SELECT chunk_idx, regexp_extract_all(lower(regexp_replace(regexp_replace(coalesce(text, ''), '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g'), '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g')), '[\\p{L}\\p{N}]+') AS w FROM chunks WHERE chunk_idx IS NOT NULL),
+s AS (SELECT chunk_idx, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS s FROM w WHERE len(w) >= 3),
+c AS (SELECT s, min(chunk_idx) AS class_id, len(s) AS n FROM s GROUP BY s),
+g AS (SELECT class_id, n, unnest(s) AS g FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS shared, any_value(a.n) AS m, any_value(b.n) AS n FROM g a JOIN g b ON a.g = b.g AND a.class_id < b.class_id GROUP BY 1, 2),
+l AS (SELECT a, b, shared / (m + n - shared) AS similarity FROM p WHERE shared >= 0.7 * (m + n - shared) - 1e-9),
+m AS (SELECT s.chunk_idx, c.class_id FROM s JOIN c USING (s))"""
+P6_SQL = {
+    "p6_found": "SELECT least(x.chunk_idx, y.chunk_idx) AS chunk_idx_a, greatest(x.chunk_idx, y.chunk_idx) AS chunk_idx_b FROM l JOIN m x ON x.class_id = l.a JOIN m y ON y.class_id = l.b "
+    "UNION ALL SELECT x.chunk_idx, y.chunk_idx FROM m x JOIN m y ON x.class_id = y.class_id AND x.chunk_idx < y.chunk_idx",
+    "p6_classes": "SELECT chunk_idx, class_id, (SELECT count(*) FROM l WHERE l.a = m.class_id OR l.b = m.class_id) AS links FROM m",
+    "p6_class_pairs": "SELECT a AS class_a, b AS class_b, round(similarity, 6) AS similarity FROM l",
+}
 
 
 # --- 7: copies hidden by formatting ----------------------------------------------
@@ -182,7 +212,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     names = (
-        p1_found, p1_pieces, p2_found, p2_ranked, p4_found, p5_found, p5_bodies, p6_found,
+        p1_found, p1_pieces, p2_found, p2_ranked, p4_found, p5_found, p5_bodies, p6_found, p6_classes, p6_class_pairs,
         p7_found, p7_records, p8_found, p8_report, p9_found, p9_report, p9_selected, p10_found,
     )
     return {q.__name__: q for q in names}
@@ -193,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_SQL,
         "p2_found": P2_SQL.format(columns="query_id, chunk_idx"),
         "p2_ranked": P2_SQL.format(columns="query_id, chunk_idx, scores"),
+        **{name: f"WITH {P6_CTE} {sql}" for name, sql in P6_SQL.items()},
         "p7_found": P7_SQL + "SELECT keep_id, gold_id FROM g WHERE gold_id <> keep_id",
         "p7_records": P7_SQL + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
         "p9_found": P9_SQL,

@@ -64,7 +64,7 @@ def test_hot_phrases_go_through_tiles(spark, monkeypatch):
 
     tokens = np.arange(1, 40, dtype=np.uint64)
     packed = tokens.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    batch = pa.record_batch([pa.array(range(30), pa.int64()), pa.array([packed] * 30, pa.binary())], names=["id", "tokens"])
+    batch = pa.record_batch([pa.array(range(30), pa.int64()), pa.array(range(30), pa.int64()), pa.array([packed] * 30, pa.binary())], names=["id", "class_id", "tokens"])
     segments = list(tiled(0.7, 4, Sketch)(iter([batch])))
     found = list(near_dup._overlap_step(0.7)(iter(segments)))
     pairs = {(a, b) for x in found for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())}
@@ -80,3 +80,37 @@ def test_empty_table(spark):
     assert members.count() == 0 and pairs.count() == 0
     with pytest.raises(ValueError):
         near_dup.near_duplicates(df, "k", "text", 0.0)
+
+
+def test_classes_and_their_links(spark):
+    rows = _corpus(3)
+    df = spark.createDataFrame(rows, "k bigint, text string").repartition(3)
+    members, pairs = near_dup.near_duplicates(df, "k", "text", 0.7, 3)
+    sets = _sets(rows, 3, False)
+    first = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    linked = {tuple(sorted((first[a], first[b]))) for a, b in _brute(rows, 0.7, 3) if first[a] != first[b]}
+    want = {(i, first[i], sum(first[i] in p for p in linked)) for i in sets}
+    assert {tuple(r) for r in near_dup.linked_classes(members, pairs).collect()} == want
+
+
+def test_many_copies_of_one_text(spark):
+    """One text a hundred thousand times: a row a task is shuffled with its set, no pairs."""
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.range(100_000).selectExpr("id as k", f"'{text}' as text").unionByName(spark.createDataFrame([(200_000, text + " more")], "k bigint, text string"))
+    members, pairs = near_dup.near_duplicates(df, "k", "text", 0.7, 3)
+    assert [tuple(r)[:2] for r in pairs.collect()] == [(0, 200_000)]
+    found = near_dup.linked_classes(members, pairs).groupBy("class_id", "links").count().collect()
+    assert sorted(tuple(r) for r in found) == [(0, 1, 100_000), (200_000, 1, 1)]
+    step = near_dup._order_step(3, False, type("Sketch", (), {"value": bytes(1 << near_dup.SKETCH_BITS)}))
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(5, 2000), pa.int64()), pa.array([text] * 1995)], names=["id", "text"])
+    assert sum(b.num_rows for b in step(iter([batch, batch]))) == 1
+
+
+def test_streamed_blocks_give_the_same_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "PAIRS_AT_ONCE", 50)
+    monkeypatch.setattr(near_dup, "FRAGMENT_ENTRIES", 100)
+    rows = _corpus(8, 60)
+    df = spark.createDataFrame(rows, "k bigint, text string")
+    assert {tuple(r) for r in near_dup.all_links(*near_dup.near_duplicates(df, "k", "text", 0.7, 3)).collect()} == _brute(rows, 0.7, 3)
