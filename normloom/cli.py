@@ -52,8 +52,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         jobs.build(spark, a.html, a.out)
     elif a.command == "retrieve":
         chunks = stores.load_index(spark, a.index)["chunks"]
-        recs = csv_sources.load_recommendations(csv_sources.read_csv(spark, a.recommendations))
-        queries = jobs.numbered(recs.where("text <> ''")).select(F.col("chunk_idx").alias("query_id"), F.col("text").alias("query"))
+        recs = csv_sources.load_recommendations(csv_sources.read_csv(spark, a.recommendations, places=True))
+        queries = jobs.numbered(recs.where("text <> ''"), ["_file", "_row"], "query_id").select("query_id", F.col("text").alias("query"))
         if a.mode == "flat_baseline":
             runs = jobs.retrievers(chunks)["bm25"](queries, a.top_k)
         else:

@@ -16,17 +16,27 @@ from normloom.tables import cut
 Retrieve = Callable[[DataFrame, int], DataFrame]
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Chunks with chunk_idx, their place by file, article and paragraph."""
-    if "chunk_idx" in chunks.columns:
-        return chunks
-    rows = cut(chunks.withColumn("_at", F.monotonically_increasing_id()))
-    return rows.withColumn("chunk_idx", F.col("_at")).drop("_at")
+def numbered(rows: DataFrame, by: Sequence[str], name: str = "chunk_idx") -> DataFrame:
+    """Rows with their number from 0 in the order of ``by``; a table that has it is left alone.
+
+    The rows are sorted in ranges over all tasks and written; a number is a row's place in
+    its range after all rows of the ranges before, of which one count each is collected.
+    """
+    if name in rows.columns:
+        return rows
+    placed = cut(rows.orderBy(*by).withColumns({"_range": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}))
+    sizes = {r["_range"]: r["n"] for r in placed.groupBy("_range").agg(F.count("*").alias("n")).collect()}
+    first, starts = 0, []
+    for k in sorted(sizes):
+        starts.append((k, first))
+        first += sizes[k]
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_range int, _first bigint"))  # a row a range
+    return placed.join(offsets, "_range").withColumn(name, F.col("_first") + F.col("_at")).drop("_range", "_at", "_first")
 
 
 def build(spark: SparkSession, html_folder: str, out: str) -> DataFrame:
     """HTML files to chunks, evidence CSV and lexical index."""
-    chunks = numbered(chunking.chunk_html(csv_sources.read_files(spark, html_folder, "*.html")))
+    chunks = numbered(chunking.chunk_html(csv_sources.read_files(spark, html_folder, "*.html")), ["path", "place"]).drop("path", "place")
     stores.write_csv(chunks.select(*chunking.CHUNK_FIELDS), f"{out}/evidence_csv")
     stores.save_index(chunks, "chunk_idx", "text", f"{out}/index")
     return spark.read.parquet(f"{out}/index/chunks")

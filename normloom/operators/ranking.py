@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,14 +49,6 @@ def fuse_topk(lists: Sequence[DataFrame], by: Sequence[str], key: str, n: int, k
     return ranked(rrf(lists, by, key, k), by, order).where(F.col("rank") <= n)
 
 
-def merge_best(lists: Sequence[DataFrame], by: Sequence[str], key: str, score: str) -> DataFrame:
-    """Union of lists, one row per key with its best score."""
-    every = lists[0]
-    for df in lists[1:]:
-        every = every.unionByName(df)
-    return every.groupBy(*by, key).agg(F.max(score).alias(score))
-
-
 def document_ranking(runs: DataFrame, by: Sequence[str], document: str) -> DataFrame:
     """Ranked documents of ranked chunks: each at the place of its first chunk."""
     first = runs.groupBy(*by, document).agg(F.min("rank").alias("first_rank"))
@@ -78,39 +69,33 @@ def select_constrained(
     under a cap a document and without near-duplicates within a document.
 
     ``candidates`` needs query, key, rank, evidence_group, document, fingerprint and comes
-    from a top-k, so that a query's rows are bounded by it.  The choice depends on what was
-    chosen before, hence a function per query.  Result: query, key, rank (order of choice).
+    from a top-k, so that a query's rows are bounded by it.  The choice is a fold over the
+    query's ranked array: a row joins the chosen ones if they admit it.  Result: query, key,
+    rank (order of choice).
     """
-    q_type, k_type = candidates.schema[query].dataType.simpleString(), candidates.schema[key].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        rows = list(pdf[[key, "evidence_group", "document", "fingerprint"]].itertuples(index=False, name=None))
-        chosen: list[int] = []
-        used: set[int] = set()
-        per_document: dict[str, int] = {}
-        prints: set[tuple[str, str]] = set()
-
-        def take(i: int) -> bool:
-            _, _, document, mark = rows[i]
-            if max_per_document and per_document.get(document, 0) >= max_per_document:
-                return False
-            if suppress_near_duplicates and (document, mark) in prints:
-                return False
-            used.add(i)
-            chosen.append(i)
-            per_document[document] = per_document.get(document, 0) + 1
-            prints.add((document, mark))
-            return True
-
-        for g in groups:
-            if len(chosen) < k:
-                any(take(i) for i in range(len(rows)) if rows[i][1] == g and i not in used)
-        for i in range(len(rows)):
-            if len(chosen) >= k:
-                break
-            if i not in used:
-                take(i)
-        return pd.DataFrame({query: pdf[query].iloc[0], key: [rows[i][0] for i in chosen], "rank": range(1, len(chosen) + 1)})
-
-    return candidates.select(query, key, "rank", "evidence_group", "document", "fingerprint").groupBy(query).applyInPandas(choose, f"{query} {q_type}, {key} {k_type}, rank int")
+    fields = ("rank", key, "evidence_group", "document", "fingerprint")
+    ranked_rows = candidates.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("rows"))
+
+    def admitted(chosen: Column, row: Column) -> Column:
+        beside = F.filter(chosen, lambda c: c["document"].eqNullSafe(row["document"]))
+        ok = (F.size(chosen) < k) & ~F.exists(chosen, lambda c: c["rank"] == row["rank"])
+        if max_per_document:
+            ok = ok & (F.size(beside) < max_per_document)
+        if suppress_near_duplicates:
+            ok = ok & ~F.exists(beside, lambda c: c["fingerprint"].eqNullSafe(row["fingerprint"]))
+        return ok
+
+    def join(chosen: Column, row: Column, condition: Column) -> Column:
+        return F.when(condition, F.concat(chosen, F.array(row))).otherwise(chosen)
+
+    def first_of(group: str, so_far: Column) -> Column:
+        had = F.size(so_far)
+        of_group = F.filter("rows", lambda r: r["evidence_group"] == group)
+        return F.aggregate(of_group, so_far, lambda c, r: join(c, r, (F.size(c) == had) & admitted(c, r)))
+
+    chosen = F.filter("rows", lambda _: F.lit(False))
+    for g in groups:  # a group's first candidate that the choice so far admits
+        ranked_rows = ranked_rows.withColumn("chosen", first_of(g, chosen))
+        chosen = F.col("chosen")
+    picked = ranked_rows.select(query, F.posexplode(F.aggregate("rows", chosen, lambda c, r: join(c, r, admitted(c, r)))).alias("at", "row"))
+    return picked.select(query, F.col("row")[key].alias(key), (F.col("at") + 1).alias("rank"))

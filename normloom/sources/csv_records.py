@@ -15,6 +15,9 @@ time, of any length.
 A null or empty record is one empty field, so it fails by its column count; the
 records of a file without a header are read with the candidate delimiter that
 gives the right number of fields, else the comma.  Nulls in other columns pass.
+A page or line of digits only is valid at any length; one over ``LARGEST`` has no
+bigint, so its field is null and ``beyond`` names it.  Whatever else a record raises is
+its own failure (``invalid_value``), never the job's.
 Rows with a null id are kept (id null).  Repeated records give repeated results;
 several headers of one file: the one with the smallest id.  Extra columns are
 ignored.
@@ -47,6 +50,8 @@ NUMBERS = ("source_page", "source_line")
 TEXTS = ("recommendation_text", "doc_short_name")
 
 _DIGITS = re.compile(r"[0-9]*\Z")
+#: What a page or line number may be at most as a bigint.
+LARGEST = 2**63 - 1
 
 
 class Unreadable(ValueError):
@@ -114,24 +119,34 @@ def check_fields(fields: Sequence[str]) -> None:
             raise Unreadable("invalid_value")
 
 
-TYPED = "record_id bigint, reason string, " + ", ".join(f"{c} {'bigint' if c in NUMBERS else 'string'}" for c in COLUMNS)
-_ARROW = [pa.int64(), pa.string(), *(pa.int64() if c in NUMBERS else pa.string() for c in COLUMNS)]
+TYPED = "record_id bigint, reason string, beyond string, " + ", ".join(f"{c} {'bigint' if c in NUMBERS else 'string'}" for c in COLUMNS)
+_ARROW = [pa.int64(), pa.string(), pa.string(), *(pa.int64() if c in NUMBERS else pa.string() for c in COLUMNS)]
+
+
+def _number(text: str) -> int | None:
+    """The number of a row of digits, null if it is over ``LARGEST``; never converts more than 19."""
+    digits = text.strip().lstrip("0") or "0"
+    number = int(digits) if len(digits) <= 19 else LARGEST + 1
+    return number if number <= LARGEST else None
 
 
 def _typed(fields: Sequence[str]) -> list:
+    """``beyond`` and the fields."""
     out: list = []
+    beyond: list[str] = []
     for name, value in zip(COLUMNS, fields):
         text = value.strip()
         if name in NUMBERS:
-            number = int(text) if text else None
-            out.append(number if number is None or number < 2**63 else None)
+            out.append(_number(text) if text else None)
+            if text and out[-1] is None:
+                beyond.append(name)
         else:
             out.append(text.lower() if name in ("recommendation_or_statement", "reference_basis", "needs_review") else value)
-    return out
+    return [" ".join(beyond) or None, *out]
 
 
 def _parse_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    nothing = [None] * len(COLUMNS)
+    nothing = [None] * (len(COLUMNS) + 1)
     for b in batches:
         rows = []
         for key, raw, header in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -142,12 +157,14 @@ def _parse_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.append([key, None, *_typed(fields)])
             except Unreadable as error:
                 rows.append([key, error.args[0], *nothing])
+            except ValueError:
+                rows.append([key, "invalid_value", *nothing])
         columns = list(zip(*rows)) or [()] * len(_ARROW)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ARROW)], names=["record_id", "reason", *COLUMNS])
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _ARROW)], names=["record_id", "reason", "beyond", *COLUMNS])
 
 
 def parse_records(df: DataFrame, id_col: str = "record_id", file_col: str = "file_name", number_col: str = "record_no", raw_col: str = "raw") -> DataFrame:
-    """Every record but the headers: record_id, reason (null if it was read) and the typed fields."""
+    """Every record but the headers: record_id, reason (null if it was read), beyond and the typed fields."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(file_col).alias("f"), F.col(number_col).alias("no"), F.col(raw_col).alias("raw"))
     headers = rows.where("no = 1").groupBy("f").agg(F.min_by("raw", "id").alias("header"))
     records = rows.where("no is null or no <> 1").join(headers, rows.f.eqNullSafe(headers.f), "left").select("id", "raw", "header")

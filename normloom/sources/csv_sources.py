@@ -1,12 +1,14 @@
 """Delivered CSV, HTML and text files as DataFrames.
 
-Schemas are declared, never inferred; a missing column becomes its default.  Only the
-header line of a file is read on the driver.
+Schemas are declared, never inferred; a missing column becomes its default.  Files are
+decoded and parsed by the tasks; the driver sees column names only.
 """
 
 from __future__ import annotations
 
-import codecs
+import csv
+import io
+import sys
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions.text import chunk_id, first_filled
 from normloom.operators.chunking import CHUNK_FIELDS
+from normloom.tables import cut
 
 # Encodings tried in order; the last one reads anything.
 ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
@@ -46,9 +49,9 @@ def decode(content: bytes) -> str:
     return content.decode(ENCODINGS[-1])
 
 
-def sniff(head: str, candidates: Sequence[str] = (",", ";")) -> str:
-    """The candidate that is most frequent outside quotes in the first lines."""
-    plain = "".join(head.split('"')[::2])
+def sniff(header: str, candidates: Sequence[str] = (",", ";")) -> str:
+    """The candidate that is most frequent outside quotes in a file's header."""
+    plain = "".join(header.split('"')[::2])
     return max(candidates, key=lambda d: (plain.count(d), -candidates.index(d)))
 
 
@@ -64,31 +67,50 @@ def records_of(text: str) -> Iterator[str]:
         yield held
 
 
-def _head(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(first 4096 characters, encoding) of the first file under ``path``."""
-    row = spark.read.format("binaryFile").load(path).orderBy("path").select(F.substring("content", 1, 16384).alias("c")).first()
-    if row is None:
-        raise FileNotFoundError(path)
-    content = bytes(row.c)
-    encoding = next((e for e in ENCODINGS[:-1] if _decodes(content, e)), ENCODINGS[-1])
-    return content.decode(encoding, "ignore")[:4096], encoding
+def _csv_step(separator: str | None):
+    """(path, row, fields) of each file's records; row 0 has the columns and their places."""
 
-
-def _decodes(content: bytes, encoding: str) -> bool:
-    try:
-        codecs.getincrementaldecoder(encoding)().decode(content)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def read_csv(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
-    """A CSV with a header, all columns strings, quotes doubled inside quoted values, values
-    over several lines; separator and encoding from the file's head unless given."""
-    head, encoding = _head(spark, path)
-    sep = separator or sniff(head)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-    return reader.option("encoding", {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]).csv(path)
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        csv.field_size_limit(sys.maxsize)
+        schema = pa.schema([("path", pa.string()), ("row", pa.int64()), ("fields", pa.map_(pa.string(), pa.string()))])
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = decode(content or b"")
+                lines = csv.reader(io.StringIO(text, newline=""), delimiter=separator or sniff(next(records_of(text), "")))
+                header: list[str] | None = None
+                rows: list[list[tuple[str, str | None]]] = []
+                at = 0
+                for values in filter(None, lines):
+                    if header is None:
+                        header = [name.strip() for name in values]
+                        rows.append([(name, str(i)) for i, name in enumerate(header) if name not in header[:i]])
+                    else:
+                        rows.append([(name, value or None) for i, (name, value) in enumerate(zip(header, values)) if name not in header[:i]])
+                    if len(rows) == 10_000:
+                        yield pa.record_batch([[path] * len(rows), range(at, at + len(rows)), rows], schema=schema)
+                        at, rows = at + len(rows), []
+                if rows:
+                    yield pa.record_batch([[path] * len(rows), range(at, at + len(rows)), rows], schema=schema)
+
+    return step
+
+
+def read_csv(spark: SparkSession, path: str, separator: str | None = None, places: bool = False) -> DataFrame:
+    """CSV files with headers as one table of strings: quotes doubled inside quoted values,
+    values over several lines, empty values null.
+
+    Each file is read whole and has its own encoding (the first of ``ENCODINGS`` that reads
+    all of it), separator (by its header unless given) and columns; a column that a file
+    lacks is null.  With ``places`` the columns _file and _row say where a row stood.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = cut(files.mapInArrow(_csv_step(separator), "path string, row bigint, fields map<string,string>"))
+    heads = rows.where("row = 0").select(F.explode("fields").alias("name", "at")).groupBy("name").agg(F.min(F.col("at").cast("int")).alias("at"))
+    names = [r.name for r in heads.orderBy("at", "name").collect()]
+    if not names:
+        raise FileNotFoundError(f"no CSV with a header in {path}")
+    columns = [F.col("fields")[n].alias(n) for n in names]
+    return rows.where("row > 0").select(*columns, *([F.col("path").alias("_file"), F.col("row").alias("_row")] if places else []))
 
 
 def pick(df: DataFrame, names: Sequence[str], default: str = "") -> Column:
@@ -106,7 +128,7 @@ def load_chunks(df: DataFrame) -> DataFrame:
 
 
 def merge_chunks(frames: Sequence[DataFrame], order: str) -> DataFrame:
-    """Union of chunk tables; of equal ids the first row of the first table stays."""
+    """Union of chunk tables; of equal ids the first row (by ``order``) of the first table stays."""
     every = None
     for i, df in enumerate(frames):
         part = df.withColumn("_file", F.lit(i))
@@ -119,7 +141,13 @@ def load_recommendations(df: DataFrame) -> DataFrame:
     """section, subsection, title, text; a missing text falls back to the headings."""
     part = {c: pick(df, [c]) for c in ("section", "subsection", "title")}
     heading = F.trim(F.concat_ws(" ", *part.values()))
-    return df.select(*(v.alias(k) for k, v in part.items()), first_filled(pick(df, ["recommendation"]), pick(df, ["text"]), heading).alias("text"))
+    places = [c for c in ("_file", "_row") if c in df.columns]
+    return df.select(*places, *(v.alias(k) for k, v in part.items()), first_filled(pick(df, ["recommendation"]), pick(df, ["text"]), heading).alias("text"))
+
+
+def read_whitepaper(spark: SparkSession, path: str) -> DataFrame:
+    """section, subsection, title, text of a whitepaper's recommendations, a CSV parted by semicolons."""
+    return load_recommendations(read_csv(spark, path, ";"))
 
 
 def load_gold(df: DataFrame) -> DataFrame:
@@ -130,9 +158,10 @@ def load_gold(df: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*.html") -> DataFrame:
-    """(path, content) of the files in a folder; an empty folder is an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "content")
-    if files.isEmpty():
+    """(path, content) of the files of a folder, not of folders below it; none is an error.
+    Rows have no order; ``jobs.numbered`` orders what is made of them by path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    if files.select("path").isEmpty():  # no content is read for that
         raise FileNotFoundError(f"no {pattern} in {path}")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

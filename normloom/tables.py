@@ -14,19 +14,42 @@ def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] |
     return df.select(*columns) if columns else df
 
 
+def is_local(master: str) -> bool:
+    """Whether all executors run on the driver's machine."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local runs and tests) a temporary folder is made
-    and set.
+    Only a local session may leave it unset; a temporary folder is then made and set.  On a
+    cluster that is an error, as each machine would write to a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="normloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_folders: set[tuple[str, str]] = set()
+
+
+def _cut_folder(spark: SparkSession) -> str:
+    """The application's own folder for cut tables; removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    folder = f"{shared_folder(spark)}/normloom-{app}"
+    if (app, folder) not in _folders:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add((app, folder))
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written rows.
 
@@ -34,7 +57,7 @@ def cut(df: DataFrame) -> DataFrame:
     and nothing before the cut runs twice.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{_cut_folder(spark)}/cut-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

@@ -141,6 +141,29 @@ def test_delivered_files(spark, tmp_path):
         csv_sources.read_files(spark, str(tmp_path), "*.html")
 
 
+def test_each_file_has_its_own_encoding_and_separator(spark, tmp_path):
+    long = "x" * 30_000  # what decides stands far behind any head
+    (tmp_path / "a.csv").write_bytes(f"section;title;recommendation\n1;a;{long}, one, two\n2;b;Stück\n".encode("cp1252"))
+    (tmp_path / "b.csv").write_text("title,recommendation,extra\nc,\"déjà; vu\",\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("", encoding="utf-8")
+    df = csv_sources.read_csv(spark, str(tmp_path), places=True)
+    assert set(df.columns) == {"section", "title", "recommendation", "extra", "_file", "_row"}
+    got = {r.title: (r.section, r.recommendation, r.extra, r._row) for r in df.collect()}
+    assert got == {"a": ("1", long + ", one, two", None, 1), "b": ("2", "Stück", None, 2), "c": (None, "déjà; vu", None, 1)}
+    with pytest.raises(FileNotFoundError):
+        csv_sources.read_csv(spark, str(tmp_path / "c.csv"))
+    (tmp_path / "w.csv").write_text("section;recommendation\n1,1;a, b\n", encoding="utf-8")
+    assert csv_sources.read_whitepaper(spark, str(tmp_path / "w.csv")).first().text == "a, b"
+
+
+def test_poison_records(spark):
+    """Numbers that no bigint holds, one of more digits than int() takes."""
+    big = ["9" * 5_000, str(2**63), str(2**63 - 1), "0" * 5_000 + "7"]
+    rows = [(0, "f", 1, HEADER)] + [(i, "f", i + 1, _raw(_with(source_page=x))) for i, x in enumerate(big, 1)]
+    out = {r.record_id: (r.reason, r.source_page, r.beyond) for r in csv_records.parse_records(spark.createDataFrame(rows, "record_id bigint, file_name string, record_no int, raw string")).collect()}
+    assert out == {1: (None, None, "source_page"), 2: (None, None, "source_page"), 3: (None, 2**63 - 1, None), 4: (None, 7, None)}
+
+
 def test_chunk_and_recommendation_loading(spark):
     c = csv_sources.load_chunks(spark.createDataFrame([("", "t", None), ("i", None, "7"), ("j", "u", "x")], "id string, text string, char_offset string")).orderBy("id").collect()
     assert [r.char_offset for r in c] == [0, 7, 0] and c[0].id.startswith("i") is False or c[0].article_text == ""

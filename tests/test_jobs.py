@@ -30,6 +30,35 @@ def test_build_and_retrieve(spark, built):
         assert len(rows) == 8 and {r.evidence_group for r in rows} == {"binding_law", "policy_or_recommendation_docs"} or mode == "flat_baseline"
 
 
+def test_numbers_follow_the_order_of_files(spark, built):
+    chunks = spark.read.parquet(f"{built}/out/index/chunks").orderBy("chunk_idx").collect()
+    assert [(r.chunk_idx, r.source_file) for r in chunks] == [(i, "CEAP-2.html" if i < 6 else "REACH-1.html") for i in range(12)]
+    assert all(f"number {i % 6} must" in r.text for i, r in enumerate(chunks))
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("x")).repartition(7)
+    assert {r.x - r.chunk_idx for r in jobs.numbered(df, ["x"]).collect()} == {0}
+    assert jobs.numbered(df.limit(0), ["x"]).count() == 0
+
+
+def test_cut_tables_need_a_shared_folder_on_a_cluster():
+    from normloom import tables
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        tables.shared_folder(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert tables.shared_folder(Session()) == "hdfs://shared"
+    assert [tables.is_local(m) for m in ("local", "local[4]", "local[*]", "local-cluster[2,1,1024]", "yarn", "k8s://x")] == [True, True, True, False, False, False]
+
+
 def test_methods_prompt_and_evaluation(spark, built):
     chunks = spark.read.parquet(f"{built}/out/index/chunks")
     queries = spark.createDataFrame([(1, "steel pump number 3"), (2, "ceap says"), (3, "reac plan")], "query_id bigint, query string")
