@@ -390,6 +390,7 @@ def near_duplicates(
     # same columns of it, so that the exchange is reused
     classes = (
         texts.mapInArrow(_order_step(n, clean, sketch), "k1 bigint, k2 bigint, size int, id bigint, tokens binary")
+        .where("k1 is not null")  # never so; the joins ask for it, and plans must be equal to share the exchange
         .repartition(max(partitions, fragments), "k1")
         .groupBy(*keys)
         .agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("class_id"))
