@@ -146,3 +146,16 @@ def semicolon_values(c: Column | str) -> Column:
 def safe_file_name(c: Column | str) -> Column:
     """Everything but letters, digits, dot, hyphen and underscore becomes an underscore."""
     return F.regexp_replace(as_column(c), "[^A-Za-z0-9._-]+", "_")
+
+
+def utc_text(c: Column | str | None = None) -> Column:
+    """A UTC timestamp as ISO text with microseconds; the present one by default.  The
+    session's time zone must be UTC."""
+    return F.date_format(F.current_timestamp() if c is None else as_column(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def truncated(c: Column | str, limit: int, reserve: int = 8) -> Column:
+    """The text's first ``limit`` - ``reserve`` words, where a model takes no more; else as it is."""
+    text, words = as_column(c), f"(?:[^\\s]+\\s+){{{limit - reserve}}}"
+    head = F.regexp_extract(text, f"^(\\s*{words})", 1)
+    return F.when(head != "", F.regexp_replace(head, r"\s+$", "")).otherwise(text)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from normloom.functions import vocab
 from normloom.functions.text import as_column
+from normloom.tables import cut
 
 # --- reading answers ------------------------------------------------------------------------
 
@@ -210,6 +210,67 @@ def overlap_scorer(pairs: list[tuple[str, str]]) -> list[float]:
     return out
 
 
+def word_sparse_encoder(texts: list[str]) -> list[dict[str, float]]:
+    """A deterministic stand-in for a learned sparse encoder: log1p of word counts."""
+    out = []
+    for t in texts:
+        counts: dict[str, float] = {}
+        for w in re.findall(r"[^\W_]+", t.lower()):
+            counts[w] = counts.get(w, 0.0) + 1.0
+        out.append({w: float(np.log1p(n)) for w, n in counts.items()})
+    return out
+
+
+def word_multi_encoder(width: int = 16, most: int = 200) -> Callable[[list[str]], list[np.ndarray]]:
+    """A deterministic stand-in for a late-interaction encoder: a vector a word, ``most`` at most."""
+    single = hashing_embedder(width)
+    return lambda texts: [single(re.findall(r"[^\W_]+", t.lower())[:most] or [""]) for t in texts]
+
+
+def _in_batches(model: Callable[[list[str]], object], texts: list[str], size: int) -> list:
+    """The model's results, batches halved down to single texts where one does not fit into memory."""
+    out: list = []
+    for i in range(0, len(texts), size):
+        part = texts[i : i + size]
+        try:
+            out.extend(model(part))
+        except MemoryError:
+            if size == 1:
+                raise
+            out.extend(_in_batches(model, part, max(1, size // 2)))
+    return out
+
+
+SparseEncode = Callable[[list[str]], list[dict[str, float]]]
+MultiEncode = Callable[[list[str]], list[np.ndarray]]
+
+
+def sparse_encode(df: DataFrame, id_col: str, text_col: str, make: Callable[[], SparseEncode], prefix: str = "", batch: int = 32) -> DataFrame:
+    """(id, terms, weights) by a sparse encoder, each text after ``prefix``."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in batches:
+            found = _in_batches(model, [prefix + (t or "") for t in b.column(1).to_pylist()], batch)
+            yield pa.record_batch([b.column(0), pa.array([list(x) for x in found], pa.list_(pa.string())), pa.array([list(x.values()) for x in found], pa.list_(pa.float64()))], names=["id", "terms", "weights"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(step, f"id {kind}, terms array<string>, weights array<double>")
+
+
+def multi_encode(df: DataFrame, id_col: str, text_col: str, make: Callable[[], MultiEncode], batch: int = 32) -> DataFrame:
+    """(id, vector): one array of vectors a text."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in batches:
+            found = _in_batches(model, [t or "" for t in b.column(1).to_pylist()], batch)
+            yield pa.record_batch([b.column(0), pa.array([np.asarray(x, dtype=np.float32).tolist() for x in found], pa.list_(pa.list_(pa.float32())))], names=["id", "vector"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(step, f"id {kind}, vector array<array<float>>")
+
+
 def embed(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embed], batch: int = 32) -> DataFrame:
     """(id, vector); the model is made once a task and fed batches, halved down to single
     texts where one does not fit into memory."""
@@ -217,20 +278,8 @@ def embed(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Embed],
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
 
-        def run(texts: list[str], size: int) -> list:
-            out: list = []
-            for i in range(0, len(texts), size):
-                part = texts[i : i + size]
-                try:
-                    out.extend(model(part))
-                except MemoryError:
-                    if size == 1:
-                        raise
-                    out.extend(run(part, max(1, size // 2)))
-            return out
-
         for b in batches:
-            vectors = run([t or "" for t in b.column(1).to_pylist()], batch)
+            vectors = _in_batches(model, [t or "" for t in b.column(1).to_pylist()], batch)
             yield pa.record_batch([b.column(0), pa.array([np.asarray(v, dtype=np.float32) for v in vectors], pa.list_(pa.float32()))], names=["id", "vector"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -254,27 +303,23 @@ def rerank(candidates: DataFrame, by: list[str], key: str, query_text: str, text
     return topk(scored, by, "score", key, k)
 
 
-def generate(prompts: DataFrame, id_col: str, prompt_col: str, make: Callable[[], Generate], readable: Callable[[str], bool] | None = None, retry_col: str | None = None) -> DataFrame:
-    """(id, answer); an answer that is not ``readable`` is asked once more with ``retry_col``."""
+def generate(prompts: DataFrame, id_col: str, prompt_col: str, make: Callable[[], Generate]) -> DataFrame:
+    """(id, answer); the model is made once a task and asked a batch at a time."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
         for b in batches:
-            answers = model([p or "" for p in b.column(1).to_pylist()])
-            if readable and retry_col:
-                again = [i for i, a in enumerate(answers) if not readable(a)]
-                retries = b.column(2).to_pylist()
-                for i, a in zip(again, model([retries[i] or "" for i in again]) if again else []):
-                    answers[i] = a
-            yield pa.record_batch([b.column(0), pa.array(answers, pa.string())], names=["id", "answer"])
+            yield pa.record_batch([b.column(0), pa.array(model([p or "" for p in b.column(1).to_pylist()]), pa.string())], names=["id", "answer"])
 
     kind = prompts.schema[id_col].dataType.simpleString()
-    columns = [F.col(id_col).alias("id"), F.col(prompt_col)] + ([F.col(retry_col)] if retry_col else [])
-    return prompts.select(*columns).mapInArrow(step, f"id {kind}, answer string")
+    return prompts.select(F.col(id_col).alias("id"), F.col(prompt_col)).mapInArrow(step, f"id {kind}, answer string")
 
 
-def is_json_object(text: str) -> bool:
-    try:
-        return isinstance(json.loads(text), dict)
-    except ValueError:
-        return False
+def judged(prompts: DataFrame, id_col: str, prompt_col: str, retry_col: str, make: Callable[[], Generate]) -> DataFrame:
+    """(id, answer, j): each prompt's answer with the judge's fields; where nothing could be
+    read from it, the answer to ``retry_col``, asked once."""
+    first = cut(generate(prompts, id_col, prompt_col, make).withColumn("j", judge_fields("answer")))
+    unread = first["j.reasoning"].startswith("PARSE_ERROR")
+    again = prompts.join(first.where(unread).select(F.col("id").alias(id_col)), id_col, "left_semi")
+    second = generate(again, id_col, retry_col, make).withColumn("j", judge_fields("answer"))
+    return first.where(~unread).unionByName(second)

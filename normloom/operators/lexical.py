@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from normloom.functions import vocab
@@ -66,6 +66,7 @@ BROADCAST_PAIRS = 4_000_000
 BLOCK_SCORES = 2_000_000
 
 Weigh = Callable[[np.ndarray, np.ndarray], np.ndarray]
+Tokenize = Callable[[Column | str], Column]
 
 
 def bm25_weight(avgdl: float, k1: float = vocab.BM25_K1, b: float = vocab.BM25_B) -> Weigh:
@@ -98,9 +99,12 @@ def _score_step(held, k: int, weigh: Weigh):
                 length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
                 found = pc.fill_null(pc.index_in(lists.flatten(), value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(keys)), length)[found >= 0]
-                cell, tf = np.unique(row * len(vocabulary) + found[found >= 0], return_counts=True)
+                cell, inverse, tf = np.unique(row * len(vocabulary) + found[found >= 0], return_inverse=True, return_counts=True)
                 row, term = cell // len(vocabulary), cell % len(vocabulary)
-                weight = weigh(tf.astype(np.float64), length[row].astype(np.float64))
+                if part.num_columns > 2:  # weights are given
+                    weight = np.bincount(inverse, weights=part.column(2).flatten().to_numpy(zero_copy_only=False)[found >= 0], minlength=len(cell))
+                else:
+                    weight = weigh(tf.astype(np.float64), length[row].astype(np.float64))
                 e, place = spread(bounds[term + 1] - bounds[term])
                 at = bounds[term[e]] + place
                 slot = owner_query[at] * len(keys) + row[e]
@@ -118,15 +122,17 @@ def _score_step(held, k: int, weigh: Weigh):
     return step
 
 
-def block_topk(docs: DataFrame, weights: DataFrame, k: int, weigh: Weigh) -> DataFrame:
+def block_topk(docs: DataFrame, weights: DataFrame, k: int, weigh: Weigh | None = None) -> DataFrame:
     """(query, doc, score, rank): the k best of ``docs(doc, terms)`` for ``weights(query, term, w)``.
 
+    Without ``weigh`` the documents' weights are given: ``docs(doc, terms, weights)``.
+
     The queries are the stated side: their terms go to every task, in passes of at most
     ``BROADCAST_PAIRS``; a task sends on k rows a query, so neither postings nor scores of
     all pairs are ever shuffled.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc").cast("bigint"), "terms")
+    rows = docs.select(F.col("doc").cast("bigint"), "terms", *([] if weigh else [F.col("weights").cast("array<double>")]))
     n = weights.count()
     passes = max(1, -(-n // BROADCAST_PAIRS))
     found = spark.createDataFrame([], "query bigint, doc bigint, score double")
@@ -144,19 +150,20 @@ def block_topk(docs: DataFrame, weights: DataFrame, k: int, weigh: Weigh) -> Dat
     return topk(found, ["query"], "score", "doc", k)
 
 
-def query_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+def query_terms(queries: DataFrame, query: str, text: str, tokenize: Tokenize = tokens) -> DataFrame:
     """(query, term, times) of queries."""
-    return queries.select(F.col(query).alias("query"), F.explode(tokens(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    return queries.select(F.col(query).alias("query"), F.explode(tokenize(text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, fill: bool = True) -> DataFrame:
+def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, k: int, fill: bool = True, tokenize: Tokenize = tokens) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query.
 
     With ``fill`` documents without a shared term follow with score 0, those with the
     largest key first, until there are k.  A query with h < k hits needs at most the
     k + h largest keys for that, so only 2 k keys are looked at.
     """
-    rows = docs.select(F.col(doc).alias("doc"), tokens(text).alias("terms"))
+    # tokens are made once and written; frequencies and scores read them
+    rows = cut(docs.select(F.col(doc).cast("bigint").alias("doc"), tokenize(text).alias("terms")))
     # one pass for document frequencies and, under a null term, number and length of documents
     marked = F.concat(F.array_distinct("terms"), F.array(F.lit(None).cast("string")))
     df = rows.select(F.size("terms").alias("n"), F.explode(marked).alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
@@ -166,8 +173,8 @@ def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: s
     raw = df.where("term is not null").withColumn("raw_idf", F.log(F.lit(float(n_docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw_idf")).first()[0] or 0.0
     idf = F.when(F.col("raw_idf") < 0, F.lit(vocab.BM25_EPSILON * mean)).otherwise(F.col("raw_idf"))
-    asked = query_terms(queries, query, query_text)
-    weights = asked.join(raw.select("term", idf.alias("idf")), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w"))
+    asked = query_terms(queries, query, query_text, tokenize)
+    weights = cut(asked.join(raw.select("term", idf.alias("idf")), "term").select("query", "term", (F.col("times") * F.col("idf")).alias("w")))
     hits = block_topk(rows, weights, k, bm25_weight(avgdl))
     if not fill:
         return hits
@@ -179,8 +186,10 @@ def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: s
     return topk(hits.drop("rank").unionByName(spare), ["query"], "score", "doc", k)
 
 
-def sparse_dot(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query, doc, score) of sparse vectors given as (query, term, w) and (doc, term, w); weights must be positive."""
-    q = left.where("w > 0").select("query", "term", F.col("w").cast("double").alias("wq"))
-    d = right.where("w > 0").select("doc", "term", F.col("w").cast("double").alias("wd"))
-    return d.join(q, "term").groupBy("query", "doc").agg(F.sum(F.col("wq") * F.col("wd")).alias("score"))
+def sparse_topk(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, doc, score, rank) of sparse vectors with given weights: ``docs(doc, terms,
+    weights)`` and ``queries(query, terms, weights)``; weights that are not positive do not count."""
+    positive = F.filter(F.arrays_zip("terms", "weights"), lambda x: x["weights"] > 0)
+    d = docs.select("doc", positive.alias("p")).select("doc", F.col("p.terms").alias("terms"), F.col("p.weights").alias("weights"))
+    q = queries.select("query", F.inline(positive)).groupBy("query", F.col("terms").alias("term")).agg(F.sum("weights").alias("w"))
+    return block_topk(d, q, k)

@@ -177,3 +177,73 @@ def token_lengths(df: DataFrame, text: str, limit: int) -> DataFrame:
         F.lit(limit).alias("token_limit"), F.max("n").alias("max_tokens"), F.avg("n").alias("mean_tokens"),
         F.count_if(F.col("n") > limit).alias("n_over"), (F.avg((F.col("n") > limit).cast("double")) * 100).alias("pct_over"),
     )
+
+
+def first_filled_rows(df: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """One row a group: of each other column the first value in order that is not null,
+    which may come from different rows."""
+    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = [c for c in df.columns if c not in by]
+    rows = df.select(*by, *(F.first(c, ignorenulls=True).over(w).alias(c) for c in rest), F.row_number().over(Window.partitionBy(*by).orderBy(*order)).alias("_n"))
+    return rows.where("_n = 1").drop("_n")
+
+
+def largest_gaps(comparison_rows: DataFrame, n: int = 6) -> DataFrame:
+    """The report's head: the n largest gaps between the best and the second model."""
+    return comparison_rows.where("num_compared >= 2").orderBy(F.round("gap_to_second", 9).desc(), "dataset", "level", "method", "metric").limit(n)
+
+
+def known_models(df: DataFrame, known: Sequence[str], column: str = "model_key") -> tuple[DataFrame, list[str]]:
+    """Rows of known models, and the asked ones that are not known; none known is an error."""
+    asked = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect()]  # one row a model
+    if not set(asked) & set(known):
+        raise ValueError(f"none of the models {sorted(asked)} is known")
+    return df.where(F.col(column).isin(*known)), sorted(set(asked) - set(known))
+
+
+def negative_cases(categories: DataFrame) -> DataFrame:
+    """Queries whose relevant documents came late or not at all."""
+    return categories.where(F.col("category").isin("late_hit", "complete_miss"))
+
+
+def _four(c: Column | str) -> Column:
+    x = F.col(c) if isinstance(c, str) else c
+    return F.format_string("%.4f", F.round(F.round(x, 9), 4))
+
+
+def top_lines(metrics: DataFrame) -> DataFrame:
+    """(dataset, level, line): the best system by NDCG of each dataset and level in words."""
+    order = [F.round("ndcg", 9).desc_nulls_last(), F.col("model_key"), F.col("method")]
+    best = first_filled_rows(metrics.select("dataset", "level", "model_key", "method", "ndcg", "mrr", "hit_rate"), ["dataset", "level"], order)
+    line = F.concat(F.concat_ws(" | ", "dataset", "level"), F.lit(": "), F.concat_ws(" + ", "model_key", "method"), F.lit(" (NDCG "), _four("ndcg"), F.lit(", MRR "), _four("mrr"), F.lit(", hit rate "), _four("hit_rate"), F.lit(")"))
+    return best.select("dataset", "level", line.alias("line"))
+
+
+def gap_lines(comparison_rows: DataFrame, n: int = 6) -> DataFrame:
+    """(line, gap): the largest gaps in words."""
+    line = F.concat(F.concat_ws(" | ", "dataset", "level", "method", "metric"), F.lit(": "), F.col("best_model_key"), F.lit(" leads "), F.col("second_model_key"), F.lit(" by "), _four("gap_to_second"))
+    return largest_gaps(comparison_rows, n).select(line.alias("line"), F.col("gap_to_second").alias("gap"))
+
+
+def method_means(scores: DataFrame, by: Sequence[str] = ("model_key", "method"), values: Sequence[str] = ("hit", "mrr", "ndcg", "first_rank")) -> DataFrame:
+    """Means of per-query scores; an infinite rank makes its mean infinite."""
+    return scores.groupBy(*by).agg(*(F.avg(v).alias(v) for v in values))
+
+
+def robustness_lines(means: DataFrame, tests: DataFrame) -> DataFrame:
+    """(part, line): the methods' means, and the pairs that differ after Holm's correction."""
+    rank = F.when(F.col("first_rank") == float("inf"), "inf").otherwise(F.format_string("%.2f", F.round(F.round("first_rank", 9), 2)))
+    a = means.select(F.lit("means").alias("part"), F.concat(F.concat_ws(" ", "model_key", "method"), F.lit(": hit "), _four("hit"), F.lit(", mrr "), _four("mrr"), F.lit(", ndcg "), _four("ndcg"), F.lit(", rank "), rank).alias("line"))
+    significant = tests.where("significant_holm_0_05")
+    b = significant.select(F.lit("significant").alias("part"), F.concat(F.concat_ws(" ", "model_key", "metric"), F.lit(": "), F.concat_ws(" against ", "method_a", "method_b"), F.lit(", difference "), _four("delta_mean"), F.lit(", p "), _four("p_value_holm"), F.lit(", "), F.col("effect_label")).alias("line"))
+    return a.unionByName(b)
+
+
+def ablation_report(pivot: DataFrame, models: Sequence[str], values: Sequence[str] = ("hit_rate", "mrr", "ndcg"), baselines: Sequence[tuple[str, float]] = ()) -> DataFrame:
+    """(position, line): the pivoted table as aligned text under a head; ``baselines`` (name,
+    NDCG), such as a random order and the best possible one, go first."""
+    columns = [f"{v}__{m}" for v in values for m in models]
+    cell = lambda c: F.lpad(F.coalesce(F.format_string("%.3f", F.round(F.round(F.col(c), 9), 3)), F.lit("-")), len(c), " ")
+    rows = pivot.select("position", F.concat_ws("  ", F.rpad("method", 16, " "), *map(cell, columns)).alias("line"))
+    head = [(-1 - len(baselines), "  ".join(["method".ljust(16), *columns]))] + [(i - len(baselines), f"{name.ljust(16)}  NDCG {value:.3f}") for i, (name, value) in enumerate(baselines)]
+    return pivot.sparkSession.createDataFrame(head, "position bigint, line string").unionByName(rows.withColumn("position", F.col("position").cast("bigint")))

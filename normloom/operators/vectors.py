@@ -2,8 +2,8 @@
 
 Blocks of vectors are multiplied as matrices inside ``mapInArrow``: the queries are a
 stated set that is broadcast behind a check of its size (else split into several
-passes), and each block of the corpus sends on only its own first k a query, so the
-shuffle carries k rows a query and task however large the corpus is.
+passes).  Blocks are bounded on both sides, and a task keeps a running list of k rows a
+query, so the shuffle carries k rows a query and task however large the corpus is.
 """
 
 from __future__ import annotations
@@ -16,8 +16,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from normloom.functions.arrays import first_of_groups
 from normloom.operators.ranking import topk
 
+#: Vectors on either side of one product, and rows that a task's list takes before it is cut.
+BLOCK_SIDE = 1024
+BLOCK_SCORES = 2_000_000
 #: Numbers of query vectors that one broadcast may hold (64 MB as doubles).
 BROADCAST_NUMBERS = 8_000_000
 
@@ -27,21 +31,56 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
+class _Best:
+    """The k best documents of each query so far, larger worth first, then the larger key."""
+
+    def __init__(self, k: int):
+        self.k = k
+        self.queries, self.keys, self.worth = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, first_query: int, keys: np.ndarray, worth: np.ndarray) -> None:
+        """A block of scores, queries by documents."""
+        n = worth.shape[1]
+        if n > self.k:  # a little below the block's k-th, so that ties are cut by key later
+            kth = np.partition(worth, n - self.k, axis=1)[:, n - self.k, None]
+            q, d = np.nonzero(worth >= kth - 1e-8)
+        else:
+            q, d = (x.reshape(-1) for x in np.indices(worth.shape))
+        self.held.append((q + first_query, keys[d], worth[q, d]))
+        self.size += len(q)
+        if self.size > BLOCK_SCORES:
+            self.reduce()
+
+    def reduce(self) -> None:
+        self.queries, self.keys, self.worth = (np.concatenate(x) for x in zip((self.queries, self.keys, self.worth), *self.held))
+        keep = first_of_groups(self.queries, (-np.round(self.worth, 9), -self.keys), self.k)
+        self.queries, self.keys, self.worth = self.queries[keep], self.keys[keep], self.worth[keep]
+        self.held, self.size = [], 0
+
+
+def _blocks(n: int, size: int) -> Iterator[tuple[int, int]]:
+    for at in range(0, n, size):
+        yield at, min(n, at + size)
+
+
 def _search_step(held, k: int, metric: str):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q = held.value
         norms = (q * q).sum(axis=1)
+        best = _Best(k)
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             m = _matrix(b.column(1), q.shape[1])
-            s = q @ m.T
-            if metric == "l2":
-                s = norms[:, None] + (m * m).sum(axis=1)[None, :] - 2 * s
-            worth = -np.round(s, 9) if metric == "ip" else np.round(s, 9)
-            order = np.lexsort((np.broadcast_to(-keys, worth.shape), worth), axis=1)[:, :k]
-            rows = np.arange(len(ids)).repeat(order.shape[1])
-            cols = order.reshape(-1)
-            yield pa.record_batch([pa.array(ids[rows]), pa.array(keys[cols]), pa.array(s[rows, cols])], names=["query", "doc", "score"])
+            for lo, hi in _blocks(len(keys), BLOCK_SIDE):
+                for first, last in _blocks(len(ids), BLOCK_SIDE):
+                    s = q[first:last] @ m[lo:hi].T
+                    if metric == "l2":
+                        s = -(norms[first:last, None] + (m[lo:hi] * m[lo:hi]).sum(axis=1)[None, :] - 2 * s)
+                    best.add(first, keys[lo:hi], s)
+        best.reduce()
+        yield pa.record_batch([pa.array(ids[best.queries]), pa.array(best.keys), pa.array(best.worth if metric == "ip" else -best.worth)], names=["query", "doc", "score"])
 
     return step
 
@@ -74,17 +113,27 @@ def dense_topk(corpus: DataFrame, doc: str, vector: str, queries: DataFrame, que
 def _maxsim_step(held, k: int):
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, q = held.value
+        ends = np.append(starts[1:], len(q))
+        best = _Best(k)
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            vectors = b.column(1)
-            counts = pa.compute.list_value_length(vectors).to_numpy(zero_copy_only=False)
-            m = _matrix(vectors.flatten(), q.shape[1])
-            best = np.maximum.reduceat(q @ m.T, np.cumsum(counts) - counts, axis=1)
-            s = np.add.reduceat(best, starts, axis=0)
-            order = np.lexsort((np.broadcast_to(-keys, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-            rows = np.arange(len(ids)).repeat(order.shape[1])
-            cols = order.reshape(-1)
-            yield pa.record_batch([pa.array(ids[rows]), pa.array(keys[cols]), pa.array(s[rows, cols])], names=["query", "doc", "score"])
+            keys = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            m = _matrix(b.column(1).flatten(), q.shape[1])
+            places = np.concatenate(([0], np.cumsum(counts)))
+            at = 0
+            while at < len(keys):  # documents with some BLOCK_SIDE vectors, a document at least
+                to = max(at + 1, int(np.searchsorted(places, places[at] + BLOCK_SIDE, side="right")) - 1)
+                part, heads = m[places[at] : places[to]], places[at:to] - places[at]
+                first = 0
+                while first < len(ids):
+                    last = max(first + 1, int(np.searchsorted(starts, starts[first] + BLOCK_SIDE, side="right")) - 1)
+                    last = len(ids) if last == len(ids) - 1 and ends[-1] - starts[first] <= BLOCK_SIDE else last
+                    near = np.maximum.reduceat(q[starts[first] : ends[last - 1]] @ part.T, heads, axis=1)
+                    best.add(first, keys[at:to], np.add.reduceat(near, starts[first:last] - starts[first], axis=0))
+                    first = last
+                at = to
+        best.reduce()
+        yield pa.record_batch([pa.array(ids[best.queries]), pa.array(best.keys), pa.array(best.worth)], names=["query", "doc", "score"])
 
     return step
 

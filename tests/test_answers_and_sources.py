@@ -76,9 +76,9 @@ def test_model_steps(spark):
     assert {r.id: r.vector for r in judging.embed(df, "k", "t", small_memory).collect()} == v
     c = spark.createDataFrame([(1, 5, "old pump", "a pump"), (1, 6, "old pump", "an old pump"), (1, 7, "old pump", None)], "q int, c int, qt string, t string")
     assert [r.c for r in judging.rerank(c, ["q"], "c", "qt", "t", 2).orderBy("rank").collect()] == [6, 5]
-    p = spark.createDataFrame([(1, "bad", "{}"), (2, "{}", "bad")], "k bigint, p string, again string")
-    got = {r.id: r.answer for r in judging.generate(p, "k", "p", lambda: (lambda xs: list(xs)), judging.is_json_object, "again").collect()}
-    assert got == {1: "{}", 2: "{}"}
+    p = spark.createDataFrame([(1, "bad", "{}"), (2, "{}", "bad"), (3, 'thinking "label_score": 4 and no more', "{}"), (4, "bad", "worse")], "k bigint, p string, again string")
+    got = {r.id: (r.answer, r.j.strategy) for r in judging.judged(p, "k", "p", "again", lambda: (lambda xs: list(xs))).collect()}
+    assert got == {1: ("{}", 1), 2: ("{}", 1), 3: ('thinking "label_score": 4 and no more', 3), 4: ("worse", 4)}
 
 
 # --- delivered CSV ----------------------------------------------------------------------------
