@@ -97,12 +97,6 @@ def _gold(spark: SparkSession, path: str, chunks):
     return jobs.Collection("gold_standard", chunks, queries, relevant)
 
 
-def _metrics(spark: SparkSession, path: str):
-    df = csv_sources.read_csv(spark, path)
-    numbers = [c for c in (*reporting.METRICS, "num_queries") if c in df.columns]
-    return df.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "k": F.col("k").cast("int")})
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = _parser().parse_args(argv)
     spark = spark or local_session("*")
@@ -130,16 +124,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
             w = _recommendations(spark, a.whitepaper).select("query_id", "query", F.lit("").alias("source_snippet_original"))
             collections.append(jobs.Collection("whitepaper", chunks, cut(w)))
         models = [_named(m) for m in a.models] or [jobs.Models()]
-        old = _metrics(spark, a.old) if a.old else None
+        old = csv_sources.read_metrics(spark, a.old) if a.old else None
         jobs.retrieval_study(spark, a.out, collections, models, [m.model_key for m in models], a.k, old)
     elif a.command == "judge":
         export = csv_sources.read_csv(spark, a.classifications)
         stores.write_csv(stores.judge_export(jobs.judge_again(export, _factory(a.judge))), a.out)
     elif a.command == "merge-eval":
-        for name, df in jobs.merge_evaluations([_metrics(spark, t) for t in a.tables], a.k).items():
+        for name, df in jobs.merge_evaluations([csv_sources.read_metrics(spark, t) for t in a.tables], a.k).items():
             stores.write_csv(df, f"{a.out}/{name}")
     elif a.command == "k-compare":
-        m = _metrics(spark, a.table)
+        m = csv_sources.read_metrics(spark, a.table)
         stores.write_csv(reporting.k_trend(m), f"{a.out}/k_trend")
         stores.write_csv(reporting.k_winners(m), f"{a.out}/k_winners")
     else:

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from normloom import jobs
 from normloom.functions import stem, vocab
 from normloom.functions import text as T
-from normloom.operators import chunking, classification, ir_metrics, judging, lexical, ranking, reporting, statistics, vectors
+from normloom.operators import chunking, classification, ir_metrics, judging, lexical, passages, ranking, reporting, statistics, vectors
 from normloom.sources import csv_records, csv_sources, stores
 from normloom.streaming import events as streams
-from normloom.tables import parallel, table
+from normloom.tables import cut, kept, parallel, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -52,10 +52,14 @@ def _steady(sql: str) -> str:
 
 
 def queries() -> dict[str, Query]:
+    from normloom.plans import details  # registers its queries  # noqa: F401
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from normloom.plans import details  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -148,10 +152,13 @@ def token_length_summary(spark: SparkSession, folder: str) -> DataFrame:
 # --- sources -----------------------------------------------------------------------------
 
 
-@query("SELECT id, min(chunk_idx) AS chunk_idx FROM chunks WHERE id IS NOT NULL AND trim(id) <> '' GROUP BY id")
+@query(
+    "SELECT id, chunk_idx FROM (SELECT id, chunk_idx, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN version IS NULL THEN 1 ELSE 0 END, chunk_idx) AS n FROM chunks WHERE id IS NOT NULL AND trim(id) <> '') WHERE n = 1"
+)
 def merge_first_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Two deliveries, chunks with a version and those without: the first table wins."""
     c = table(spark, folder, "chunks").where("id is not null and trim(id) <> ''")
-    return csv_sources.merge_chunks([c], "chunk_idx").select("id", "chunk_idx")
+    return csv_sources.merge_chunks([c.where("version is not null"), c.where("version is null")], "chunk_idx").select("id", "chunk_idx")
 
 
 @query("SELECT coalesce(id, '') AS id, coalesce(document, '') AS document, coalesce(article_text, '') AS article_text, CAST(coalesce(char_offset, 0) AS INTEGER) AS char_offset FROM chunks WHERE id IS NOT NULL AND trim(id) <> ''")
@@ -160,16 +167,43 @@ def chunk_defaults(spark: SparkSession, folder: str) -> DataFrame:
     return csv_sources.load_chunks(c).select("id", "document", "article_text", "char_offset")
 
 
-@query()
+# a record's delimiter d, its fields by the grammar of the format, and its failure
+P3_CTE = r"""
+h AS (SELECT file_name, arg_min(raw, record_id) AS header FROM gold_raw WHERE record_no = 1 GROUP BY file_name),
+n AS (SELECT g.*, coalesce(g.raw, '') AS r, coalesce(h.header, '') AS header FROM gold_raw g LEFT JOIN h ON h.file_name IS NOT DISTINCT FROM g.file_name WHERE g.record_no IS NULL OR g.record_no <> 1),
+d AS (SELECT *, CASE WHEN greatest(len(string_split(header, ',')), len(string_split(header, ';')), len(string_split(header, chr(9))), len(string_split(header, '|'))) > 1
+    THEN list_extract([',', ';', chr(9), '|'], list_position([len(string_split(header, ',')), len(string_split(header, ';')), len(string_split(header, chr(9))), len(string_split(header, '|'))],
+      greatest(len(string_split(header, ',')), len(string_split(header, ';')), len(string_split(header, chr(9))), len(string_split(header, '|')))))
+    ELSE coalesce(list_extract(list_filter([',', ';', chr(9), '|'], lambda x: len(string_split(r, x)) = 15), 1), ',') END AS d FROM n),
+w AS (SELECT *, CASE d WHEN ',' THEN regexp_full_match(r, '("([^"]|"")*"|[^",\n\r]*)(,("([^"]|"")*"|[^",\n\r]*))*') WHEN ';' THEN regexp_full_match(r, '("([^"]|"")*"|[^";\n\r]*)(;("([^"]|"")*"|[^";\n\r]*))*')
+    WHEN '|' THEN regexp_full_match(r, '("([^"]|"")*"|[^"|\n\r]*)([|]("([^"]|"")*"|[^"|\n\r]*))*') ELSE regexp_full_match(r, '("([^"]|"")*"|[^"\t\n\r]*)(\t("([^"]|"")*"|[^"\t\n\r]*))*') END AS good FROM d),
+f AS (SELECT *, CASE WHEN good THEN list_transform(regexp_extract_all(d || r, CASE d WHEN ',' THEN ',("(?:[^"]|"")*"|[^",\n\r]*)' WHEN ';' THEN ';("(?:[^"]|"")*"|[^";\n\r]*)' WHEN '|' THEN '[|]("(?:[^"]|"")*"|[^"|\n\r]*)' ELSE '\t("(?:[^"]|"")*"|[^"\t\n\r]*)' END, 1),
+    lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) END AS f FROM w),
+v AS (SELECT record_id, f, CASE WHEN NOT good THEN 'quoting' WHEN len(f) <> 15 THEN 'column_count'
+    WHEN NOT regexp_matches(f[4], '\p{L}') OR contains(f[4], chr(65533)) OR NOT regexp_matches(f[7], '\p{L}') OR contains(f[7], chr(65533)) OR NOT regexp_full_match({page}, '[0-9]*') OR NOT regexp_full_match({line}, '[0-9]*')
+      OR lower({kind}) NOT IN ('recommendation', 'statement') OR lower({basis}) NOT IN ('explicit_mention', 'citation_mapping') OR lower({review}) NOT IN ('yes', 'no', '')
+      OR lower({label}) NOT IN ('', 'aligned', 'conditional', 'conflicting', 'no explicit legal basis', 'beyond compliance') THEN 'invalid_value' END AS reason FROM f)"""
+for _name, _at in {"page": 2, "line": 3, "kind": 6, "basis": 12, "review": 13, "label": 15}.items():
+    P3_CTE = P3_CTE.replace("{" + _name + "}", f"regexp_replace(f[{_at}], '^{WS}+|{WS}+$', '', 'g')")
+
+
+@query(f"WITH {P3_CTE} SELECT record_id, reason FROM v WHERE reason IS NOT NULL")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Gold records that can't be read, each with its first reason."""
     return csv_records.parse_records(parallel(table(spark, folder, "gold_raw"))).where("reason is not null").select("record_id", "reason")
 
 
-@query()
+def _p3_column(i: int, name: str) -> str:
+    text = f"regexp_replace(f[{i}], '^{WS}+|{WS}+$', '', 'g')"
+    if name in csv_records.NUMBERS:
+        return f"TRY_CAST(nullif({text}, '') AS BIGINT) AS {name}"
+    return f"{f'lower({text})' if name in ('recommendation_or_statement', 'reference_basis', 'needs_review') else f'f[{i}]'} AS {name}"
+
+
+@query(f"WITH {P3_CTE} SELECT record_id, {', '.join(_p3_column(i, c) for i, c in enumerate(csv_records.COLUMNS, 1))} FROM v WHERE reason IS NULL")
 def p3_rows(spark: SparkSession, folder: str) -> DataFrame:
     """The records that can be read, as typed rows."""
-    return csv_records.parse_records(parallel(table(spark, folder, "gold_raw"))).where("reason is null").drop("reason")
+    return csv_records.parse_records(parallel(table(spark, folder, "gold_raw"))).where("reason is null").drop("reason", "beyond")
 
 
 @query("SELECT 'doc_' || doc_id AS corpus_id, trim(text) AS text FROM documents WHERE text IS NOT NULL AND trim(text) <> ''")
@@ -255,11 +289,9 @@ PASSAGE_RELEVANCE = "rel AS (SELECT DISTINCT i.item_id, d.doc_id AS doc FROM tes
 
 
 def _passage_relevance(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents that hold a passage verbatim: candidates by BM25's terms would be a guess, so
-    the fixed query set goes against all documents."""
-    items = table(spark, folder, "test_items").where("text <> ''").select(F.col("item_id").alias("query"), F.col("text").alias("t"))
-    docs = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("doc"), "text")
-    return docs.join(items, F.col("text").contains(F.col("t"))).select("query", "doc").distinct()
+    """Documents that hold a passage verbatim: one automaton of all passages, no join."""
+    found = passages.passages_in(parallel(table(spark, folder, "documents")), "doc_id", "text", table(spark, folder, "test_items"), "item_id", "text")
+    return found.withColumnRenamed("item", "query").distinct()
 
 
 PER_QUERY_CTE = """
@@ -285,7 +317,7 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 @query(f"WITH {BM25_CTE}, {PASSAGE_RELEVANCE}, {PER_QUERY_CTE.format(q='item_id', by='', runs='hits')}, m AS (SELECT k, {AT_K_SQL} FROM pq GROUP BY k) SELECT k, {ROUND_SQL}, num_queries FROM m")
 def ir_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
     runs = _bm25(spark, folder, 20).withColumnRenamed("item_id", "query")
-    scores = ir_metrics.per_query(runs, _passage_relevance(spark, folder))
+    scores = ir_metrics.per_query(runs, cut(_passage_relevance(spark, folder)))
     return _rounded(ir_metrics.at_k(scores))
 
 
@@ -325,7 +357,9 @@ def _document_runs(spark: SparkSession, folder: str) -> DataFrame:
 def _gold_relevance(spark: SparkSession, folder: str) -> DataFrame:
     """Documents named by the gold row with the query's number, and the document of the chunk
     with that number (a stand-in for annotations of these queries)."""
-    g = table(spark, folder, "gold").where("trim(coalesce(doc_short_name, '')) <> ''").select(F.col("gold_id").alias("query"), T.document_name("doc_short_name").alias("doc"))
+    g = table(spark, folder, "gold").where("trim(coalesce(doc_short_name, '')) <> ''").select(F.col("gold_id").alias("query"), "doc_short_name")
+    known = g.select("doc_short_name").distinct().withColumn("doc", T.document_name("doc_short_name"))
+    g = g.join(known, "doc_short_name").select("query", "doc")
     r = table(spark, folder, "recommendations").select(F.col("query_id").alias("query")).join(table(spark, folder, "gold").select(F.col("gold_id").alias("query")), "query", "left_semi")
     c = r.join(_names(spark, folder).withColumnRenamed("chunk_idx", "query"), "query").select("query", "doc")
     return g.unionByName(c).distinct()
@@ -347,7 +381,8 @@ def ir_per_query(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    return ir_metrics.per_query(_document_runs(spark, folder), _gold_relevance(spark, folder), SYSTEM)
+    """The per-query table that all reports read: made and written once for a folder."""
+    return kept(spark, f"scores {folder}", lambda: ir_metrics.per_query(_document_runs(spark, folder), _gold_relevance(spark, folder), SYSTEM))
 
 
 METRICS_CTE = f"{DOCS_CTE}, {PER_QUERY_CTE.format(q='query_id', by='model_key, method,', runs='druns')}, metrics AS (SELECT 'gold' AS dataset, 'document' AS level, model_key, method, k, {AT_K_SQL} FROM pq GROUP BY model_key, method, k)"
@@ -459,11 +494,6 @@ def doc_cap(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.document_cap(_merged(spark, folder), ["query_id"], "document", 2, K).select("query_id", "rank", "chunk_idx")
 
 
-@query()
-def select_constrained(spark: SparkSession, folder: str) -> DataFrame:
-    """Coverage of both groups first, then by score, two chunks a document, no near-duplicates."""
-    return ranking.select_constrained(_merged(spark, folder), "query_id", "chunk_idx", K, 2, True)
-
 
 # --- vectors ----------------------------------------------------------------------------------------
 
@@ -510,10 +540,15 @@ def maxsim_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query", "doc", "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
-@query("WITH v AS (SELECT count(*) AS n_vectors, min(len(embedding)) AS a, max(len(embedding)) AS b FROM embeddings) SELECT n_vectors, CAST(a AS INTEGER) AS min_dim, CAST(b AS INTEGER) AS max_dim, n_vectors AS n_docs, n_vectors > 0 AND a > 0 AND a = b AS ok FROM v")
+_PREFLIGHT = "SELECT '{0}' AS corpus, n_vectors, CAST(a AS INTEGER) AS min_dim, CAST(b AS INTEGER) AS max_dim, probe_ok, (SELECT count(*) FROM {0}) AS n_docs, n_vectors > 0 AND a > 0 AND a = b AND probe_ok AND n_vectors = (SELECT count(*) FROM {0}) AS ok FROM v"
+
+
+@query(f"WITH v AS (SELECT count(*) AS n_vectors, min(len(embedding)) AS a, max(len(embedding)) AS b, bool_and(list_count(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)) AS probe_ok FROM embeddings) {_PREFLIGHT.format('embeddings')} UNION ALL {_PREFLIGHT.format('documents')}")
 def index_preflight(spark: SparkSession, folder: str) -> DataFrame:
+    """An index of vectors against the corpus it was made of, and against another one."""
     e = table(spark, folder, "embeddings")
-    return stores.vector_preflight(e, "embedding", e)
+    checks = [stores.vector_preflight(e, "embedding", table(spark, folder, c)).select(F.lit(c).alias("corpus"), "*") for c in ("embeddings", "documents")]
+    return checks[0].unionByName(checks[1])
 
 
 # --- reports -----------------------------------------------------------------------------------------
@@ -555,12 +590,12 @@ def ablation_pivot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    f"WITH {METRICS_CTE}, s AS (SELECT model_key, method, avg(hit) AS hit, avg(mrr) AS mrr, avg(ndcg) AS ndcg FROM pq WHERE k = 10 GROUP BY 1, 2), p AS (SELECT * FROM (VALUES "
+    f"WITH {METRICS_CTE}, s AS (SELECT model_key, method, avg(hit) AS hit, avg(mrr) AS mrr, avg(ndcg) AS ndcg, CASE WHEN count(first_rank) = count(*) THEN avg(first_rank) END AS first_rank FROM pq WHERE k = 10 GROUP BY 1, 2), p AS (SELECT * FROM (VALUES "
     + ", ".join(f"('{a}', '{b}', '{n}')" for a, b, n in reporting.ABLATIONS)
-    + ") AS t(base, variant, ablation)) SELECT b.model_key, p.ablation, p.base, p.variant, round(v.hit - b.hit, 6) AS delta_hit, round(v.mrr - b.mrr, 6) AS delta_mrr, round(v.ndcg - b.ndcg, 6) AS delta_ndcg FROM p JOIN s b ON b.method = p.base JOIN s v ON v.method = p.variant AND v.model_key = b.model_key"
+    + ") AS t(base, variant, ablation)) SELECT b.model_key, p.ablation, p.base, p.variant, round(v.hit - b.hit, 6) AS delta_hit, round(v.mrr - b.mrr, 6) AS delta_mrr, round(v.ndcg - b.ndcg, 6) AS delta_ndcg, round(v.first_rank - b.first_rank, 6) AS delta_first_rank FROM p JOIN s b ON b.method = p.base JOIN s v ON v.method = p.variant AND v.model_key = b.model_key"
 )
 def ablation_deltas(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(reporting.ablation_deltas(_scores(spark, folder).where("k = 10"), ["model_key"], ("hit", "mrr", "ndcg")))
+    return _rounded(reporting.ablation_deltas(_scores(spark, folder).where("k = 10"), ["model_key"], ("hit", "mrr", "ndcg", "first_rank")), "delta_hit", "delta_mrr", "delta_ndcg", "delta_first_rank")
 
 
 @query(f"WITH {METRICS_CTE} SELECT model_key, method, round(avg(hit_rate), 6) AS mean_hit_rate, round(avg(mrr), 6) AS mean_mrr, round(avg(ndcg), 6) AS mean_ndcg FROM metrics GROUP BY 1, 2")
@@ -612,11 +647,16 @@ def text_report(spark: SparkSession, folder: str) -> DataFrame:
     return reporting.text_report(_metrics(spark, folder))
 
 
-@query("SELECT 0::BIGINT AS only_left, 0::BIGINT AS only_right")
+@query(
+    f"WITH {METRICS_CTE}, o AS ({OLD_SQL}), l AS (SELECT model_key, method, k, round(ndcg, 6) AS ndcg FROM metrics WHERE k = 10), r AS (SELECT model_key, method, k, round(CASE WHEN method = 'bm25' THEN ndcg * 2 ELSE ndcg END, 6) AS ndcg FROM o WHERE k = 10) "
+    "SELECT (SELECT count(*) FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r)) AS only_left, (SELECT count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)) AS only_right"
+)
 def ranking_consistency(spark: SparkSession, folder: str) -> DataFrame:
-    """The report's ranking against one made anew."""
-    m = _rounded(_metrics(spark, folder)).select(*reporting.KEYS, "ndcg")
-    return reporting.same_frames(m.where("k = 10"), reporting.at_report_k(_rounded(_metrics(spark, folder)), 10).select(*reporting.KEYS, "ndcg"))
+    """The report's ranking against an earlier report that agrees with it for bm25 only."""
+    m = _metrics(spark, folder)
+    new = reporting.at_report_k(m, 10).select("model_key", "method", "k", F.round(F.round("ndcg", 9), 6).alias("ndcg"))
+    old = _old(m).where("k = 10").withColumn("ndcg", F.when(F.col("method") == "bm25", F.col("ndcg") * 2).otherwise(F.col("ndcg")))
+    return reporting.same_frames(new, old.select("model_key", "method", "k", F.round(F.round("ndcg", 9), 6).alias("ndcg")))
 
 
 # --- statistics ----------------------------------------------------------------------------------------
@@ -736,12 +776,6 @@ def judge_bands(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(j.agg(F.count("*").alias("count"), F.avg("overall_score").alias("mean_score"), F.stddev_pop("overall_score").alias("std_score")))
 
 
-@query()
-def judge_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores and reasoning read from raw answers by four strategies."""
-    j = parallel(table(spark, folder, "judge_results")).select("judge_id", judging.judge_fields("raw_response").alias("f"))
-    return j.select("judge_id", "f.*").withColumn("reasoning", judging.english_reasoning("reasoning"))
-
 
 @query("SELECT judge_id, CASE " + " ".join(f"WHEN contains(trim(lower(predicted_label)), '{x.lower()}') OR contains('{x.lower()}', trim(lower(predicted_label))) THEN '{x}'" for x in vocab.LABELS) + " ELSE predicted_label END AS label FROM judge_results WHERE predicted_label IS NOT NULL")
 def fuzzy_label(spark: SparkSession, folder: str) -> DataFrame:
@@ -797,12 +831,6 @@ def evidence_block(spark: SparkSession, folder: str) -> DataFrame:
     return judging.evidence_blocks(x, "query_id").select("query_id", "n_chunks", F.md5("block").alias("block_md5"))
 
 
-@query()
-def classifier_messages(spark: SparkSession, folder: str) -> DataFrame:
-    x = _query_runs(spark, folder).join(table(spark, folder, "chunks"), "chunk_idx")
-    b = judging.evidence_blocks(x, "query_id").join(table(spark, folder, "recommendations"), "query_id")
-    return b.select("query_id", judging.messages("classifier", {"recommendation": F.col("recommendation"), "k": F.col("n_chunks"), "evidence": F.col("block")}).alias("messages"))
-
 
 @query(
     f"WITH {EXPORT_CTE}, ids AS (SELECT query_id, string_agg(coalesce(id, ''), '; ' ORDER BY rank) AS s FROM x GROUP BY query_id), v AS (SELECT trim(unnest(string_split(s, ';'))) AS chunk_id FROM ids) SELECT chunk_id, count(*) AS citations FROM v WHERE chunk_id <> '' GROUP BY 1"
@@ -814,17 +842,6 @@ def explode_cited(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy("chunk_id").agg(F.count("*").alias("citations"))
 
 
-@query()
-def rebuild_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    x = _query_runs(spark, folder).join(table(spark, folder, "chunks"), "chunk_idx")
-    return judging.rebuild_chunks(stores.prompt_export(x, ["query_id"]), "query_id").drop("text")
-
-
-@query()
-def rerank_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    """Candidates rescored by a pluggable pair scorer (here the word-overlap stand-in)."""
-    x = _query_runs(spark, folder).join(table(spark, folder, "chunks", ["chunk_idx", "text"]), "chunk_idx").join(table(spark, folder, "recommendations", ["query_id", "recommendation"]), "query_id")
-    return judging.rerank(x, ["query_id"], "chunk_idx", "recommendation", "text", vocab.RERANK_TOP)
 
 
 # --- chunking -------------------------------------------------------------------------------------------------------
@@ -843,20 +860,6 @@ def heading_carry_forward(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("document", "version", "article", "chunk_idx", F.last("article_subtitle", ignorenulls=True).over(w).alias("heading"))
 
 
-@query()
-def html_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages marked up line by line and cut into chunks by the HTML reader."""
-    line = F.concat(F.lit("<p>"), F.array_join(F.split(F.coalesce("text", F.lit("")), "\n"), "</p><p>"), F.lit("</p>"))
-    pages = parallel(table(spark, folder, "web_chunks")).select(F.coalesce("source_file", F.lit("page.html")).alias("path"), F.concat(F.lit("<html><body><main>"), line, F.lit("</main></body></html>")).alias("content"))
-    return chunking.chunk_html(pages).select("document", "source_file", "article", "paragraph", F.md5("text").alias("text_md5"))
-
-
-@query()
-def split_retrieval(spark: SparkSession, folder: str) -> DataFrame:
-    """BM25 per evidence group with its own statistics, merged and chosen under constraints."""
-    chunks = parallel(table(spark, folder, "chunks")).where("document is not null").select("chunk_idx", "document", F.coalesce("text", F.lit("")).alias("text"))
-    items = table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return jobs.split_retrieve(chunks, items, K, 2)
 
 
 @query()
@@ -866,10 +869,6 @@ def stemmed_counts(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.size("t").alias("n_stems"), F.size(F.array_distinct("t")).alias("n_distinct"))
 
 
-@query()
-def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    return streams.sessions(table(spark, folder, "events"))
-
 
 # --- event tables: the streaming forms run as batches here --------------------------------------------------------------
 

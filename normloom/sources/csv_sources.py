@@ -145,6 +145,13 @@ def load_recommendations(df: DataFrame) -> DataFrame:
     return df.select(*places, *(v.alias(k) for k, v in part.items()), first_filled(pick(df, ["recommendation"]), pick(df, ["text"]), heading).alias("text"))
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """A metrics table written as CSV, numbers typed."""
+    df = read_csv(spark, path)
+    numbers = [c for c in ("hit_rate", "recall", "precision", "mrr", "map", "ndcg", "mean_rank", "num_queries") if c in df.columns]
+    return df.withColumns({**{c: F.col(c).cast("double") for c in numbers}, "k": F.col("k").cast("int")})
+
+
 def read_whitepaper(spark: SparkSession, path: str) -> DataFrame:
     """section, subsection, title, text of a whitepaper's recommendations, a CSV parted by semicolons."""
     return load_recommendations(read_csv(spark, path, ";"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, folder: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -50,17 +51,36 @@ def _cut_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _written(df: DataFrame) -> str:
+    path = f"{_cut_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written rows.
 
     What follows reads the table, so a lost executor costs only its own tasks
     and nothing before the cut runs twice.
     """
-    spark = df.sparkSession
-    path = f"{_cut_folder(spark)}/cut-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(_written(df))
+
+
+_kept: dict[tuple[str, str], tuple[str, StructType]] = {}
+
+
+def kept(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several plans of the application read: made and written once under
+    ``name``, which must say what it is made of; made again where the files are gone."""
+    key = (spark.sparkContext.applicationId, name)
+    if key in _kept:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_kept[key][0], "_SUCCESS")
+        if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            del _kept[key]
+    if key not in _kept:
+        df = make()
+        _kept[key] = _written(df), df.schema
+    return spark.read.schema(_kept[key][1]).parquet(_kept[key][0])
 
 
 def parallel(df: DataFrame) -> DataFrame:
