@@ -31,15 +31,27 @@ def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder).withColumnRenamed("id", "chunk_idx")
 
 
-P1_SQL = """
+def p1_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Per value: whether limit and overlaps hold, and the text its pieces give back."""
+    sound = (F.length("text") <= PIECE_LIMIT) & (F.col("overlap").between(0, PIECE_OVERLAP)) & (F.length("text") > F.col("overlap"))
+    rows = F.array_sort(F.collect_list(F.struct("piece_no", "start", "overlap", "text")))
+    g = _pieces(spark, folder).groupBy(F.col("id").alias("chunk_idx"), "field").agg(F.bool_and(sound).alias("sound"), rows.alias("p"))
+    own = lambda x: F.substr(x["text"], x["overlap"] + 1)
+    gap = lambda t, x: F.when(x["start"] + x["overlap"] > F.length(t), F.lit(" ")).otherwise(F.lit(""))
+    whole = F.aggregate("p", F.lit(""), lambda t, x: F.concat(t, gap(t, x), own(x)))
+    return g.select("chunk_idx", "field", "sound", F.md5(whole).alias("text_md5"))
+
+
+P1_CTE = """
 WITH v AS (
   SELECT chunk_idx, 'text' AS field, text AS value FROM chunks
   UNION ALL SELECT chunk_idx, 'article_text', article_text FROM chunks
   UNION ALL SELECT chunk_idx, 'paragraph', paragraph FROM chunks),
 m AS (SELECT chunk_idx, field, regexp_replace(regexp_replace(value, '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g'), '[▼►◄▲][A-ZÀ-ÖØ-Þ0-9]+([^\\p{L}\\p{N}]|$)', '\\1', 'g') AS value
-  FROM v WHERE length(value) > 2400)
-SELECT chunk_idx, field FROM m
-WHERE length(trim(regexp_replace(value, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}\\x{0b}\\x{0c}]+', ' ', 'g'))) > 2400"""
+  FROM v WHERE length(value) > 2400),
+c AS (SELECT chunk_idx, field, trim(regexp_replace(value, '[\\s\\p{Z}\\x{1c}-\\x{1f}\\x{85}\\x{0b}\\x{0c}]+', ' ', 'g')) AS value FROM m)
+"""
+P1_SQL = P1_CTE + "SELECT chunk_idx, field FROM c WHERE length(value) > 2400"
 
 # --- 2: top N per group -----------------------------------------------------
 
@@ -212,7 +224,7 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     names = (
-        p1_found, p1_pieces, p2_found, p2_ranked, p4_found, p5_found, p5_bodies, p6_found, p6_classes, p6_class_pairs,
+        p1_found, p1_pieces, p1_roundtrip, p2_found, p2_ranked, p4_found, p5_found, p5_bodies, p6_found, p6_classes, p6_class_pairs,
         p7_found, p7_records, p8_found, p8_report, p9_found, p9_report, p9_selected, p10_found,
     )
     return {q.__name__: q for q in names}
@@ -221,6 +233,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
+        "p1_roundtrip": P1_CTE + "SELECT chunk_idx, field, true AS sound, md5(value) AS text_md5 FROM c WHERE length(value) > 2400",
         "p2_found": P2_SQL.format(columns="query_id, chunk_idx"),
         "p2_ranked": P2_SQL.format(columns="query_id, chunk_idx, scores"),
         **{name: f"WITH {P6_CTE} {sql}" for name, sql in P6_SQL.items()},

@@ -46,7 +46,7 @@ def _check(text, limit=100, overlap=20):
         assert pieces == []
         return
     at = 0
-    for k, (start, shared, piece) in enumerate(pieces):
+    for k, (start, shared, _, piece) in enumerate(pieces):
         assert 0 < len(piece) <= limit
         assert 0 <= shared <= overlap and (k or not shared)
         assert whole[start : start + len(piece)] == piece
@@ -67,8 +67,32 @@ def test_pieces_of_structured_text_end_at_boundaries():
     lines = [f"Article {i}\nThe operator shall keep the register number {i} for ten years. It may be kept in electronic form.\n" for i in range(1, 40)]
     pieces = split_tree.split("\n".join(lines), 600, 80)
     assert len(pieces) > 5
-    assert all(p.endswith("form.") for _, _, p in pieces)
-    assert all(0 <= s <= 80 for _, s, _ in pieces)
+    assert all(p.endswith("form.") for *_, p in pieces)
+    assert all(0 <= s <= 80 for _, s, *_ in pieces)
+
+
+def test_headings_and_their_depths():
+    depth = {"GENERAL PROVISIONS": 2, "Chapter II": 1, "CHAPTER IV Penalties": 1, "Article 5": 3, "Artikel 12 Meldungen": 3, "TITLE I": 0, "Annex III Forms": 0, "### Scope": 2, "1.2. Aims": 4}
+    assert {x: split_tree._depth(x) for x in depth} == depth
+    text = ["Article 5 shall apply to all operators.", "2020/1234 - 55", "chapter 4 of the act", "The operator", "section", "Part of the register", "A B", "1. An item", "x" * 200]
+    assert [split_tree._depth(x) for x in text] == [None] * len(text)
+
+
+def test_parts_nest_and_cuts_fall_at_the_strongest_boundary():
+    """A chapter that fits stays whole; one that does not is cut at its articles."""
+    article = lambda i: f"Article {i}\nThe operator shall keep the register {i} for ten years. It may be kept in electronic form.\n"
+    text = "Chapter I\n" + "".join(map(article, range(1, 5))) + "Chapter II\n" + "".join(map(article, range(5, 17))) + "Chapter III\n" + "".join(map(article, range(17, 20)))
+    pieces = split_tree.split(text, 500, 0)
+    assert {p.boundary for p in pieces} <= {"start", "chapter", "article"}
+    assert sum(p.boundary == "chapter" for p in pieces) == 2 and pieces[0].text.endswith("form.") and pieces[-1].text.startswith("Chapter III")
+    assert all(p.text.startswith(("Chapter", "Article")) for p in pieces)
+
+
+def test_weak_boundaries_are_merged_first():
+    text = "First paragraph, a sentence. Another one.\n\nSecond paragraph, a sentence. Another one here."
+    assert [p.text for p in split_tree.split(text, 50, 0)] == ["First paragraph, a sentence. Another one.", "Second paragraph, a sentence. Another one here."]
+    long = " ".join(f"Sentence {i} of many in this paragraph." for i in range(60)) + "\n\n" + " ".join(f"Sentence {i} of the next." for i in range(60))
+    assert {p.boundary for p in split_tree.split(long, 400, 50)} <= {"start", "sentence", "paragraph"}
 
 
 def test_words_over_the_limit_are_cut():
@@ -78,7 +102,7 @@ def test_words_over_the_limit_are_cut():
 
 def test_empty_and_null():
     assert split_tree.split(None) == [] and split_tree.split("") == [] and split_tree.split(" \n ") == []
-    assert split_tree.split("short", keep_small=True) == [(0, 0, "short")]
+    assert split_tree.split("short", keep_small=True) == [(0, 0, "start", "short")]
 
 
 def test_split_oversized_rows(spark):
