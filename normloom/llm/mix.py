@@ -3,14 +3,20 @@
 The mix is counted in blocks of equal tokens.  Blocks go to sources by the highest
 quotients share / (2 q + 1), none beyond ``max_repeats`` times its size; each
 source's quota is apportioned in the same way to the shards its documents are
-hashed to.  Within a shard documents stand in a seeded order; a quota is so many
-full passes and the head of one more.  A source that reaches its cap stays below
-its target; its missing blocks are not given to others unless ``redistribute``.
+hashed to.  Within a shard documents stand in a seeded order, which is cut into
+blocks; a quota is so many full passes and the first blocks of one more.  A document
+belongs to the block in which its middle lies.  A source that reaches its cap stays
+below its target; its missing blocks are not given to others unless ``redistribute``.
 
-Sizes come from one aggregation per source and shard, with partial sums; what
-reaches the driver is at most sources in the targets times shards (both bounded
-here), never a document.  A source with a third of all rows is spread over all
-shards, and no window holds more than one of them.
+Whether a source stays below is read off the seats of an apportionment in blocks of
+one token: its cap against its seats.  Seats are whole and may lie some tokens off
+share times size (at most half the number of sources, and one); only within that
+distance the sizes themselves are compared.
+
+Sizes come from one aggregation per source, then one per source and shard, with
+partial sums.  A source has as many shards as its size asks for (``SHARD_TOKENS``
+each, more where there would be over ``MAX_PARTS``), so no window holds more than
+that, and what reaches the driver is bounded; never a document.
 
 Null texts have no tokens; rows with a null source, or one without a target, count
 in the size of all documents only.  Null shares count as 0, null caps as 1; a
@@ -32,8 +38,10 @@ from pyspark.sql import functions as F
 
 from normloom.functions.text import WS
 
-#: Bound of sources with targets times shards: rows of sizes on the driver.
+#: Bound of the sources with targets, and of all their shards: rows of sizes on the driver.
 MAX_PARTS = 1_000_000
+#: Tokens that a shard should hold; a row of it in a window has some twenty bytes.
+SHARD_TOKENS = 50_000_000
 #: Rows of quotas that may be broadcast.
 BROADCAST_PARTS = 100_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -69,11 +77,15 @@ def whitespace_pieces(text: Column) -> Column:
 
 
 def _count_step(tokenizer: str):
+    """Tokens by a file that the driver reads; its text goes to the tasks with the step."""
+    with open(tokenizer, encoding="utf-8") as f:
+        definition = f.read()
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(tokenizer)
+        t = Tokenizer.from_str(definition)
         t.encode_special_tokens = True
         for b in batches:
             texts = b.column(2).to_pylist()
@@ -106,70 +118,78 @@ class Plan(NamedTuple):
     total: int
     block: int
     quotas: list[Quota]
-    #: (source, shard, tokens of the shard, tokens to take from it)
-    shards: list[tuple[str, int, int, int]]
-
-
-def _shard(seed: int, shards: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit("shard")), F.lit(shards)).cast("int")
 
 
-def plan_mix(sizes: DataFrame, targets: DataFrame, blocks: int = 100_000, shards: int = 16, seed: int = 7, redistribute: bool = False) -> Plan:
-    """Quotas of the sources and of their shards.
-
-    ``sizes`` is what ``sized`` returns; a block is a ``blocks``-th part of all
-    documents' tokens, at least one token.
-    """
-    if shards < 1:
-        raise ValueError("shards must be at least 1")
-    wanted = (
+def _wanted(targets: DataFrame) -> list:
+    """(source, share, cap) of each source with a target, by name."""
+    rows = (
         targets.where("source is not null")
         .groupBy("source")
         .agg(F.sum(F.coalesce("target_share", F.lit(0.0)).cast("double")).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1)).cast("bigint")).alias("cap"))
         .limit(MAX_PARTS + 1)
         .collect()
     )
-    if len(wanted) * shards > MAX_PARTS:
-        raise ValueError(f"sources with targets times shards must not exceed {MAX_PARTS}")
-    wanted = sorted(wanted, key=lambda r: r.source)
-    named = F.when(F.col("source").isin([r.source for r in wanted]), F.col("source")) if wanted else F.lit(None).cast("string")
-    shard = F.when(named.isNotNull(), F.coalesce(_shard(seed, shards), F.lit(0)))
-    parts = sizes.groupBy(named.alias("source"), shard.alias("shard")).agg(F.sum("tokens").alias("tokens")).collect()
+    if len(rows) > MAX_PARTS:
+        raise ValueError(f"more than {MAX_PARTS} sources with targets")
+    return sorted(rows, key=lambda r: r.source)
+
+
+def _few(spark, rows: list, schema: str) -> DataFrame:
+    """A table made on the driver, broadcast where it is small."""
+    df = spark.createDataFrame(rows, schema)
+    return F.broadcast(df) if len(rows) <= BROADCAST_PARTS else df
+
+
+def below_target(shares: Sequence[float], capacities: Sequence[int], total: int) -> list[bool]:
+    """Whether each capacity is under its share of the total, by seats of one token each."""
+    seats = apportion(shares, round(total * sum(shares)))
+    margin = len(shares) // 2 + 2
+    return [c < q - margin or (c < q + margin and c < s * total) for s, c, q in zip(shares, capacities, seats)]
+
+
+def plan_mix(sizes: DataFrame, targets: DataFrame, blocks: int = 100_000, redistribute: bool = False) -> Plan:
+    """Quotas of the sources.  ``sizes`` is what ``sized`` returns; a block is a ``blocks``-th
+    part of all documents' tokens, at least one token."""
+    wanted = _wanted(targets)
+    names = _few(sizes.sparkSession, [(r.source,) for r in wanted], "target string")
+    # summed by source first: sources without a target are many, and the join is on sums
+    by_source = sizes.groupBy("source").agg(F.sum("tokens").alias("tokens")).join(names, F.col("source") == F.col("target"), "left")
+    parts = by_source.groupBy("target").agg(F.sum("tokens").alias("tokens")).collect()
     total = sum(r.tokens or 0 for r in parts)
+    size = {r.source: 0 for r in wanted} | {r.target: r.tokens or 0 for r in parts if r.target is not None}
+    shares = [max(0.0, r.share) for r in wanted]
+    capacities = [max(0, r.cap) * size[r.source] for r in wanted]
     block = max(1, total // blocks)
-    size = {r.source: 0 for r in wanted}
-    by_shard: dict[str, list[tuple[int, int]]] = {}
-    for r in parts:
-        if r.source is not None:
-            size[r.source] += r.tokens
-            by_shard.setdefault(r.source, []).append((r.shard, r.tokens))
-    n = total // block
-    all_shares = [max(0.0, r.share) for r in wanted]
-    free = apportion(all_shares, round(n * min(1.0, sum(all_shares))))
-    caps = [max(0, r.cap) * size[r.source] // block for r in wanted]
-    given = apportion(all_shares, sum(free), caps) if redistribute else [min(f, c) for f, c in zip(free, caps)]
-    quotas, takes = [], []
-    for r, f, c, q in zip(wanted, free, caps, given):
-        # the blocks tell who can be short; the sizes decide exactly
-        below = c <= f + len(wanted) + 2 and max(0, r.cap) * size[r.source] < r.share * total
-        quotas.append(Quota(r.source, r.share, r.cap, size[r.source], q, below))
-        own = sorted(by_shard.get(r.source, []))
-        seats = apportion([t for _, t in own], q, [max(0, r.cap) * t // block + 1 for _, t in own])
-        takes += [(r.source, s, t, min(k * block, max(0, r.cap) * t)) for (s, t), k in zip(own, seats)]
-    return Plan(total, block, quotas, takes)
-
-
-def select_mix(sizes: DataFrame, plan: Plan, shards: int = 16, seed: int = 7) -> DataFrame:
+    free = apportion(shares, round(total // block * min(1.0, sum(shares))))
+    caps = [c // block for c in capacities]
+    given = apportion(shares, sum(free), caps) if redistribute else [min(f, c) for f, c in zip(free, caps)]
+    below = below_target(shares, capacities, total)
+    return Plan(total, block, [Quota(r.source, r.share, r.cap, size[r.source], q, b) for r, q, b in zip(wanted, given, below)])
+
+
+def select_mix(sizes: DataFrame, plan: Plan, seed: int = 7, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """(id, source, tokens, repeats) of the documents in the mix."""
+    if shard_tokens < 1:
+        raise ValueError("shard_tokens must be at least 1")
     spark = sizes.sparkSession
-    takes = spark.createDataFrame(plan.shards, "source string, shard int, shard_tokens bigint, take bigint") if plan.shards else spark.createDataFrame([], "source string, shard int, shard_tokens bigint, take bigint")
+    each = max(shard_tokens, 2 * sum(q.size for q in plan.quotas) // MAX_PARTS)
+    counts = [(q.source, max(1, -(-q.size // each))) for q in plan.quotas if q.quota_blocks]
+    shard = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.lit("shard")), F.col("shards")).cast("bigint")
+    rows = sizes.where("id is not null and source is not null").join(_few(spark, counts, "source string, shards bigint"), "source").withColumn("shard", shard)
+    by_source: dict[str, list[tuple[int, int]]] = {}
+    for r in rows.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect():
+        by_source.setdefault(r.source, []).append((r.shard, r.tokens))
+    takes = []
+    for q in plan.quotas:
+        own, cap = sorted(by_source.get(q.source, [])), max(0, q.max_repeats)
+        seats = apportion([t for _, t in own], q.quota_blocks, [cap * t // plan.block + 1 for _, t in own])
+        takes += [(q.source, s, t, min(k * plan.block, cap * t)) for (s, t), k in zip(own, seats) if k]
     w = Window.partitionBy("source", "shard").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.where("id is not null and source is not null").withColumn("shard", _shard(seed, shards))
-    takes = F.broadcast(takes) if len(plan.shards) <= BROADCAST_PARTS else takes
-    placed = rows.join(takes, ["source", "shard"]).withColumn("place", F.xxhash64(F.lit(seed), F.col("id")))
+    placed = rows.join(_few(spark, takes, "source string, shard bigint, shard_tokens bigint, take bigint"), ["source", "shard"]).withColumn("place", F.xxhash64(F.lit(seed), F.col("id")))
     before = F.coalesce(F.sum("tokens").over(w), F.lit(0))
     full = F.expr("cast(take div greatest(shard_tokens, 1) as int)")
-    more = (before < F.expr("take - (take div greatest(shard_tokens, 1)) * shard_tokens")).cast("int")
+    rest = F.expr("take - (take div greatest(shard_tokens, 1)) * shard_tokens")
+    more = (2 * before + F.col("tokens") < 2 * rest).cast("int")
     return placed.withColumn("repeats", (full + more).cast("int")).where("repeats > 0").select("id", "source", "tokens", "repeats")
 
 
@@ -185,12 +205,12 @@ def mix_report(sizes: DataFrame, plan: Plan, selected: DataFrame) -> DataFrame:
 
 
 def mix(
-    df: DataFrame, id_col: str, source_col: str, text_col: str, targets: DataFrame, tokenizer: str | None = None, shards: int = 16, seed: int = 7, prepare: Callable[[DataFrame], DataFrame] | None = None
+    df: DataFrame, id_col: str, source_col: str, text_col: str, targets: DataFrame, tokenizer: str | None = None, seed: int = 7, shard_tokens: int = SHARD_TOKENS, prepare: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[Plan, DataFrame, DataFrame]:
     """(plan, selected, report).  ``prepare`` may cut the lineage of the sized rows, which
-    are needed twice."""
+    are needed several times."""
     sizes = sized(df, id_col, source_col, text_col, tokenizer)
     sizes = prepare(sizes) if prepare else sizes
-    plan = plan_mix(sizes, targets, shards=shards, seed=seed)
-    selected = select_mix(sizes, plan, shards, seed)
+    plan = plan_mix(sizes, targets)
+    selected = select_mix(sizes, plan, seed, shard_tokens)
     return plan, selected, mix_report(sizes, plan, selected)

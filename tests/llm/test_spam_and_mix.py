@@ -148,7 +148,7 @@ def _mix_data(spark):
 
 def test_mix_reaches_targets_and_names_those_below(spark):
     docs, targets = _mix_data(spark)
-    plan, selected, report = mix.mix(docs, "doc", "source", "text", targets, shards=3)
+    plan, selected, report = mix.mix(docs, "doc", "source", "text", targets, shard_tokens=4_000)
     sizes = {r.source: r.n for r in docs.selectExpr("source", "size(filter(split(coalesce(text, ''), ' '), x -> x <> '')) as n").groupBy("source").agg({"n": "sum"}).toDF("source", "n").collect()}
     total = sum(sizes.values())
     assert plan.total == total
@@ -159,10 +159,29 @@ def test_mix_reaches_targets_and_names_those_below(spark):
     assert rows["big"].mix_tokens == pytest.approx(0.5 * total, rel=0.02)
     assert rows["small"].mix_tokens == 2 * sizes["small"] and rows["absent"].mix_tokens == 0
     assert all(r.most_repeats <= r.max_repeats for r in rows.values())
-    again = mix.mix(docs.repartition(7), "doc", "source", "text", targets, shards=3)[1]
+    again = mix.mix(docs.repartition(7), "doc", "source", "text", targets, shard_tokens=4_000)[1]
     assert sorted(map(tuple, selected.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_below_is_decided_by_seats_and_exact_beside_them():
+    rng = random.Random(9)
+    for _ in range(300):
+        k, total = rng.randint(1, 9), rng.randint(0, 3000)
+        shares = [rng.choice([0.0, rng.random() / 4, 0.125]) for _ in range(k)]
+        capacities = [rng.choice([0, round(s * total), int(s * total) + rng.randint(-3, 3), rng.randint(0, 3000)]) for s in shares]
+        assert mix.below_target(shares, capacities, total) == [c < s * total for s, c in zip(shares, capacities)]
+
+
+def test_sizes_of_shards_do_not_change_the_shares(spark):
+    docs, targets = _mix_data(spark)
+    for tokens in (500, 10**9):
+        plan, selected, report = mix.mix(docs, "doc", "source", "text", targets, shard_tokens=tokens)
+        big = next(r for r in report.collect() if r.source == "big")
+        assert big.mix_tokens == pytest.approx(0.5 * plan.total, rel=0.02)
+    with pytest.raises(ValueError):
+        mix.select_mix(docs, plan, shard_tokens=0)
+
+
 def test_mix_of_empty_tables(spark):
     docs, targets = _mix_data(spark)
     plan, selected, report = mix.mix(docs.limit(0), "doc", "source", "text", targets)
