@@ -3,20 +3,23 @@
 The answer is cut out of its wrapping (thinking tags, code fences, JSON, score
 line) and tested in this order; the first defect counts:
 
+``truncated``       the wrapping is never closed;
 ``empty``           no answer, or nothing or a placeholder where the reasoning belongs;
-``truncated``       the wrapping is never closed, or the reasoning's last characters
-                    are not how texts end here: an end-of-text n-gram model gives the
-                    likelihood that a text stops after them;
 ``refusal``         a statement of being unable or unwilling to judge;
-``copied_prompt``   nearly all words of the reasoning stand in the prompt in the same order;
+``copied_prompt``   nearly all words of the reasoning stand in the prompt in the same order
+                    (a reasoning of under ``LEAST_WORDS`` words is no copy);
 ``other_language``  the language posteriors of reasoning and prompt (character n-gram
-                    naive Bayes, quotations left out) point to different languages.
+                    naive Bayes, quotations left out) point to different languages (a text
+                    of under ``LEAST_LETTERS`` letters has none);
+``truncated``       the reasoning's last characters are not how texts end here: an
+                    end-of-text n-gram model gives the likelihood that a text stops after them.
 
 Two models are made from data.  The language model is fitted on at most
 ``samples_per_language`` labelled texts a language (those with the smallest hash
-of the id; a parameter, the same at every size).  The end-of-text model counts
-over all rows: per context of up to ``ORDERS[-1]`` characters how often a text
-goes on and how often it stops there, in tables of fixed size, whatever the data.
+of the id; whole texts; a parameter, the same at every size); a label with fewer than
+``least_texts`` texts in all is taken for a slip.  The end-of-text model counts over all
+rows: per context of up to ``ORDERS[-1]`` characters how often a text goes on and how
+often it stops there; longer contexts rest on shorter ones.  Its tables have a fixed size.
 
 Nulls count as empty texts: a null response is ``empty``; a null prompt is never
 copied and has no language.  Rows with a null id are left out; repeated rows give
@@ -39,9 +42,12 @@ from pyspark.sql import functions as F
 
 RESULT = "id bigint, defect string"
 LANGUAGE_BITS = 15
-END_BITS = 18
-ORDERS = (3, 5, 7)
+END_BITS = 19
+#: Contexts of so many characters: the n-grams of these orders are bounded by the languages,
+#: not by the rows, so that the tables do not fill up with the data.
+ORDERS = (1, 2, 3, 5)
 END_BLOCKS = 8
+LEAST_WORDS, LEAST_LETTERS = 5, 20
 
 # Codes of no one language (ISO 639 and common habit).
 NO_LANGUAGE = ("und", "mul", "zxx", "mis", "unk", "xx", "xxx", "na")
@@ -101,7 +107,8 @@ def answer(raw: str | None) -> tuple[str, str]:
         except ValueError:
             pass
         field = _FIELD.search(text, start)
-        if "}" in text[start:] and text.rstrip(". \nDone").endswith("}"):
+        closing = text.rfind("}")
+        if closing > start and '"' not in text[closing:]:  # closed, and at most a remark after it
             return ("closed", field.group(1)) if field else ("none", "")
         return "open", field.group(1) if field else text[start:]
     return ("closed", _SCORES.sub("", text).strip()) if text else ("none", "")
@@ -120,7 +127,7 @@ def copied_share(prompt: str, reasoning: str, least: float = 0.5) -> float:
     prompt cover ``least`` of the reasoning; below that their coverage is returned.
     """
     w, p = _WORD.findall(_LEAD_IN.sub("", reasoning).lower()), _WORD.findall(prompt.lower())
-    if len(w) < 5 or len(p) < 3:
+    if len(w) < LEAST_WORDS or len(p) < 3:
         return 0.0
     grams = set(zip(p, p[1:], p[2:]))
     covered = bytearray(len(w))
@@ -189,7 +196,7 @@ class Languages:
         strange = len(codes) - int(np.count_nonzero(self.known[codes]))
         if strange * 2 > len(codes):
             return "other script", float(strange)
-        if len(codes) < 20 or not len(self.names):
+        if len(codes) < LEAST_LETTERS or not len(self.names):
             return None, 0.0
         grams = _grams(text)
         total = self.weights[:, grams].sum(axis=1)
@@ -197,17 +204,16 @@ class Languages:
         return self.names[order[-1]], float(total[order[-1]] - total[order[-2]]) if len(order) > 1 else float("inf")
 
 
-def fit_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, samples_per_language: int = 300) -> Languages:
+def fit_languages(df: DataFrame, id_col: str, text_col: str, label_col: str, samples_per_language: int = 300, least_texts: int = 5) -> Languages:
     """From at most ``samples_per_language`` texts of each label, "unknown" left out."""
     rows = df.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.lower(F.trim(F.col(label_col))).alias("label"))
-    rows = rows.where("text is not null and length(text) between 40 and 20000 and label rlike '^[a-z]{2,3}$'").where(~F.col("label").isin(*NO_LANGUAGE))
+    rows = rows.where("text <> '' and label rlike '^[a-z]{2,3}$'").where(~F.col("label").isin(*NO_LANGUAGE))
     w = Window.partitionBy("label").orderBy("h", "text")
     picked = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= samples_per_language)
     texts: dict[str, list[str]] = {}
     for r in picked.select("label", "text").collect():
         texts.setdefault(r.label, []).append(r.text)
-    # a label with few texts says little; it may be a slip
-    return Languages({k: v for k, v in texts.items() if len(v) >= 5})
+    return Languages({k: v for k, v in texts.items() if len(v) >= least_texts})
 
 
 # --- end of text: n-gram likelihood -------------------------------------------
@@ -307,22 +313,11 @@ def _defect(prompt: str | None, raw: str | None, languages: Languages, ends: np.
     prompt = prompt or ""
     if copied_share(prompt, text) >= copied:
         return "copied_prompt"
-    if end_likelihood(ends, text) < least_end and not _stops(text):
-        return "truncated"
     own, lead_own = languages.of(_QUOTED.sub(" ", text))
     asked, lead_asked = languages.of(_QUOTED.sub(" ", prompt))
     if own and asked and own != asked and min(lead_own, lead_asked) >= lead:
         return "other_language"
-    return None
-
-
-_DAY = re.compile(r"(?:^|\s)\d{1,2}\.$")
-
-
-def _stops(text: str) -> bool:
-    """A full stop that isn't an ordinal's ends a sentence however rare its context is."""
-    t = text.rstrip().rstrip("\"'”»“’)]*_` ")
-    return t[-1:] in tuple(".!?…。！？") and not _DAY.search(t)
+    return "truncated" if end_likelihood(ends, text) < least_end else None
 
 
 def pair_defects(
