@@ -15,27 +15,39 @@ path to the page is the threshold that other modules must reach to belong to it.
 The title, found by the breadcrumb's last entry or as the heading of the first
 module, stays.  All other lines, and the frame lines inside the body, are frame.
 
-Frame lines are told by fixed phrase patterns in English, German and French, by a
-vocabulary of navigation labels and by form (separators, "read more", dates in
-brackets); whole sentences that merely mention cookies or newsletters are body.
+Frame lines are told by the site itself: a line (digits aside) that stands on at least
+``LEAST_PAGES`` of a site's pages and on the share ``SITE_SHARE`` of them belongs to its
+frame in whatever language, unless it stands inside the page's own lines as a heading.  The
+counts are over all pages.  Lines that a site writes anew for each page (teasers,
+breadcrumbs, prompts with the page's topic) are told by form (separators, "read more",
+dates in brackets), by fixed phrase patterns in English, German and French and by a
+vocabulary of navigation labels; whole sentences that merely mention cookies or
+newsletters are body.
 
 Null and empty pages have no lines; blank lines have no class but count in the
-numbering; a page without any frame comes out whole.  Rows with a null id are left
-out, repeated rows give repeated lines, extra columns are ignored.  Pages are read
-whole, one at a time; nothing is shuffled.
+numbering; a page without any frame comes out whole.  Pages without a site are told by
+form and phrases alone.  Rows with a null id are left out, repeated rows give repeated
+lines, extra columns are ignored.  Pages are read whole, one at a time; what is shuffled
+is a hash a line for the counts, summed where it lies.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from normloom.tables import cut
+
+#: On how many pages, and on what share of its site's pages, a line is one of the frame.
+LEAST_PAGES, SITE_SHARE = 5, 0.3
+#: Keys of repeated lines that may be broadcast, some tens of MB; more are joined.
+BROADCAST_KEYS = 2_000_000
 RESULT = "chunk_idx bigint, line_no int, is_frame boolean, line string"
 
 # Labels of site navigation, in English, German and French.
@@ -196,14 +208,23 @@ def density(chars: float, tags: float, link_chars: float, link_tags: float, page
     return chars / tags * math.log(max(1.0, chars / max(1.0, link_chars) * tags / max(1.0, link_tags)) + 1e-9) / max(math.log(base + 1e-9) if base > math.e else 1.0, 1.0)
 
 
-def frame_of_page(text: str) -> tuple[list[tuple[int, str]], set[int]]:
-    """(number, line) of the non-blank lines and the numbers of those of the frame."""
+def frame_of_page(text: str, repeated: Sequence[bool] | None = None) -> tuple[list[tuple[int, str]], set[int]]:
+    """(number, line) of the non-blank lines and the numbers of those of the frame;
+    ``repeated`` says of each line, blank ones included, whether its site repeats it."""
     lines = [(i, s) for i, s in enumerate(text.split("\n"), 1) if s.strip()]
     kinds = [classify(s.strip()) for _, s in lines]
     n = len(lines)
     if not n:
         return lines, set()
     texts = [s.strip() for _, s in lines]
+    if repeated is not None:
+        again = [bool(repeated[no - 1]) for no, _ in lines]
+        begun = False  # whether a line of the page's own came before
+        for i, k in enumerate(kinds):
+            heads = begun and k == "short" and i + 1 < n and not again[i + 1] and kinds[i + 1] in ("prose", "item", "short", "numbered")
+            if again[i] and k not in FRAME and not heads:
+                kinds[i] = "frame"
+            begun = begun or (k not in FRAME and not again[i])
     title = _title(texts, kinds)
     for i, k in enumerate(kinds):  # a lone label inside the body may be a heading
         if k == "label" and i > title >= 0:
@@ -237,8 +258,9 @@ def frame_of_page(text: str) -> tuple[list[tuple[int, str]], set[int]]:
     for k, m in enumerate(modules):
         some = [i for i in m if kinds[i] not in FRAME]
         rich = any(kinds[i] in ("prose", "item") for i in some)
-        if k == best or title in some or (rich and node(some) >= threshold) or (rich and any(kinds[i] == "item" for i in some)):
+        if k == best or (rich and node(some) >= threshold):
             body.update(some)
+    body.update({title} if title >= 0 else ())
     return lines, {lines[i][0] for i in range(n) if i not in body}
 
 
@@ -303,8 +325,8 @@ def _mark_teasers(texts: list[str], kinds: list[str], title: int) -> None:
 def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, numbers, frames, out = [], [], [], []
-        for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines, frame = frame_of_page(text or "")
+        for k, text, again in zip(*(b.column(i).to_pylist() for i in range(3))):
+            lines, frame = frame_of_page(text or "", again)
             for number, line in lines:
                 ids.append(k)
                 numbers.append(number)
@@ -313,22 +335,49 @@ def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(frames, pa.bool_()), pa.array(out, pa.string())], names=["chunk_idx", "line_no", "is_frame", "line"])
 
 
-def page_lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(chunk_idx, line_no, is_frame, line) of every non-blank line."""
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(_step, RESULT)
+def _line_keys(text: Column) -> Column:
+    """A hash of each line, blanks and digits folded; null for blank lines."""
+    folded = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[0-9]+", "0"), r"[^\S\n]+", " ")
+    return F.transform(F.split(folded, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+
+
+def repeated_lines(pages: DataFrame) -> DataFrame:
+    """(site, keys): of each site the lines that belong to its frame.  ``pages`` has site and
+    keys, a hash a line."""
+    known = pages.where("site is not null and site <> ''")
+    lines = known.select("site", F.explode(F.array_compact(F.array_distinct("keys"))).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"))
+    sizes = known.groupBy("site").agg(F.count("*").alias("pages"))
+    often = lines.where(F.col("n") >= LEAST_PAGES).join(sizes, "site").where(F.col("n") >= SITE_SHARE * F.col("pages"))
+    return often.groupBy("site").agg(F.collect_list("key").alias("often"))  # at most lines of a page / SITE_SHARE a site
+
+
+def _marked(df: DataFrame, id_col: str, text_col: str, site: Column | None) -> DataFrame:
+    """(id, text, again): the pages, and of each line whether its site repeats it."""
+    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (F.lit(None).cast("string") if site is None else site).alias("site")).where("id is not null")
+    if site is None:
+        return rows.select("id", "text", F.lit(None).cast("array<boolean>").alias("again"))
+    keys = _line_keys(F.col("text"))
+    often = cut(repeated_lines(rows.select("site", keys.alias("keys"))))
+    size = often.agg(F.coalesce(F.sum(F.size("often")), F.lit(0)).alias("n")).first().n
+    joined = rows.join(F.broadcast(often) if size <= BROADCAST_KEYS else often, "site", "left")
+    again = F.transform(keys, lambda k: F.coalesce(F.array_contains("often", k), F.lit(False)))
+    return joined.select("id", "text", F.when(F.col("often").isNotNull(), again).alias("again"))
+
+
+def page_lines(df: DataFrame, id_col: str, text_col: str, site: Column | None = None) -> DataFrame:
+    """(chunk_idx, line_no, is_frame, line) of every non-blank line; ``site`` names a page's site."""
+    return _marked(df, id_col, text_col, site).mapInArrow(_step, RESULT)
 
 
-def page_bodies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def page_bodies(df: DataFrame, id_col: str, text_col: str, site: Column | None = None) -> DataFrame:
     """(chunk_idx, body) of every row: the body's lines, in order; null text gives ""."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text in b.column(1).to_pylist():
-                lines, frame = frame_of_page(text or "")
+            for text, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lines, frame = frame_of_page(text or "", again)
                 out.append("\n".join(line for no, line in lines if no not in frame))
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["chunk_idx", "body"])
 
-    rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInArrow(step, "chunk_idx bigint, body string")
+    return _marked(df, id_col, text_col, site).mapInArrow(step, "chunk_idx bigint, body string")

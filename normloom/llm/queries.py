@@ -89,14 +89,19 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 # --- 5: page boilerplate ---------------------------------------------------------
 
 
+def _site():
+    """A page's site: what its file name begins with."""
+    return F.substring_index("source_file", "/", 1)
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """The lines of each page that belong to the site's frame."""
-    return page_body.page_lines(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text").where("is_frame").select("chunk_idx", "line_no")
+    return page_body.page_lines(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text", _site()).where("is_frame").select("chunk_idx", "line_no")
 
 
 def p5_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """The body of each page."""
-    return page_body.page_bodies(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text")
+    return page_body.page_bodies(parallel(table(spark, folder, "web_chunks")), "chunk_idx", "text", _site())
 
 
 # --- 6: near-duplicates -----------------------------------------------------

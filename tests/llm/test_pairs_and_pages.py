@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from normloom.llm import page_body, pair_defects
 
@@ -124,6 +125,34 @@ def test_long_sentences_are_prose():
     assert page_body.classify("The firms keep a register" + REST + ".") == "prose"
 
 
+ITALIAN = ["Pagina iniziale", "Il ministero risponde alle domande dei cittadini", "Tutti i diritti sono riservati al ministero, anno {}"]
+
+
+def _italian(i):
+    w = chr(97 + i) * 6
+    body = [f"Regola {w} sulle macchine", "", "Contesto", f"Il produttore {w} tiene il registro delle macchine per dieci anni dalla vendita.", f"- macchina usata {w}", f"- macchina nuova {w}"]
+    return "\n".join([ITALIAN[0], ITALIAN[1], *body, "  " + ITALIAN[2].format(2000 + i).upper()])
+
+
+def test_lines_that_a_site_repeats_are_its_frame_in_any_language(spark):
+    """Other words than those known, digits and case aside; a repeated heading stays body."""
+    rows = [(i, f"sito.example/{i}.html", _italian(i)) for i in range(12)] + [(100, None, _italian(3)), (101, "other.example/1", _italian(4))]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "k bigint, f string, text string, site string").repartition(3)
+    out = page_body.page_lines(df, "k", "text", F.substring_index("f", "/", 1)).collect()
+    frames = {k: {r.line_no for r in out if r.chunk_idx == k and r.is_frame} for k, *_ in rows}
+    assert all(frames[i] == {1, 2, 9} for i in range(12))
+    assert not frames[100] & set(range(3, 9)) and not frames[101] & set(range(3, 9)) and len([r for r in out if r.chunk_idx == 100]) == 8
+    bodies = {r.chunk_idx: r.body for r in page_body.page_bodies(df, "k", "text", F.substring_index("f", "/", 1)).collect()}
+    assert bodies[5].startswith("Regola ffffff") and bodies[5].endswith("nuova ffffff") and len(bodies) == len(rows)
+
+
+def test_keys_of_repeated_lines_may_be_too_many_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(page_body, "BROADCAST_KEYS", 0)
+    df = spark.createDataFrame([(i, "s", _italian(i)) for i in range(8)] + [(None, "s", "x"), (9, "", None)], "k bigint, site string, text string")
+    out = page_body.page_lines(df, "k", "text", F.col("site")).where("is_frame").groupBy("chunk_idx").count().collect()
+    assert {r.chunk_idx: r["count"] for r in out} == {i: 3 for i in range(8)}
+
+
 def test_long_page():
     lines, frame = page_body.frame_of_page("\n".join([PAGE] + ["The firm shall keep its register for ten years after the sale."] * 20_000))
     assert len(lines) > 20_000 and len(frame) < 20
