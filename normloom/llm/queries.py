@@ -188,6 +188,13 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+P8_SQL = """
+WITH w AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+v AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM test_items WHERE item_id IS NOT NULL AND text IS NOT NULL),
+a AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM w WHERE len(w) >= 12),
+b AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) AS g FROM v WHERE len(w) >= 12)
+SELECT DISTINCT a.id AS doc_id, b.id AS item_id FROM a JOIN b USING (g)"""
+
 # --- 9: mixing sources -------------------------------------------------------------
 
 
@@ -244,5 +251,6 @@ def oracle_sql() -> dict[str, str]:
         **{name: f"WITH {P6_CTE} {sql}" for name, sql in P6_SQL.items()},
         "p7_found": P7_SQL + "SELECT keep_id, gold_id FROM g WHERE gold_id <> keep_id",
         "p7_records": P7_SQL + "SELECT keep_id, count(*) AS copies FROM g GROUP BY keep_id",
+        "p8_found": P8_SQL,
         "p9_found": P9_SQL,
     }

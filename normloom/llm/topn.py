@@ -5,14 +5,16 @@ score's bits made monotone, then the identifier reversed, so that ties go to the
 smaller identifier).  For all groups of a block at once the interval of the
 cut-off is halved: rows above each group's midpoint are counted, and the half
 that holds the N-th row is kept, until each group's cut-off leaves exactly N
-rows.  Groups that are done drop out with their rows.  There is no sort of the
-groups' rows and no state per row but its code.
+rows.  Groups that are done drop out with their rows.  No row is ever put in its
+place by score; a block is sorted by group and item only, to number its groups and to
+join an item's rows.
 
 The rows are thinned by the same bisection where they lie, before any shuffle: a
 row outside its block's first N is outside the group's first N.  What is shuffled
 is at most N rows a group and block, so a group with a third of all rows sends
-no more than any other.  Blocks are bounded by ``block_rows``, on both sides of
-the shuffle; no group is ever held as a whole.
+no more than any other.  Before the shuffle a task holds ``block_rows`` rows and a
+block's survivors; after it the first N rows of its partition's groups so far and as many
+again, never a group's other rows.
 
 An item's score in a group is its highest there.  Rows with a null group, item or
 score and with a NaN score are left out; infinities count.  Groups with fewer
@@ -111,8 +113,12 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _thin_step(n: int, block_rows: int):
-    """Each block's first n rows a group, block after block into the next."""
+def _thin_step(n: int, block_rows: int, hand_on: bool):
+    """Each group's first n rows, block after block thinned into the next.
+
+    A block of groups that are all small can't shrink: with ``hand_on`` it goes on as it
+    is, as a later step thins again; else blocks grow with what must be held.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -131,8 +137,9 @@ def _thin_step(n: int, block_rows: int):
             if rows >= limit:
                 held = [thin()]
                 rows = held[0].num_rows
-                # a block of groups that are all small can't shrink: hand it on
-                if 2 * rows > block_rows:
+                if not hand_on:
+                    limit = max(block_rows, 2 * rows)
+                elif 2 * rows > block_rows:
                     yield held[0]
                     held, rows = [], 0
         if held:
@@ -141,32 +148,6 @@ def _thin_step(n: int, block_rows: int):
     return step
 
 
-def _final_step(n: int, block_rows: int):
-    """All rows of a partition's groups, the blocks thinned one into the other."""
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, limit = 0, block_rows
-
-        def thin() -> pa.RecordBatch:
-            block = pa.Table.from_batches(held).combine_chunks()
-            keep = top_of_block(*(_numbers(block[k].chunk(0)) for k in range(3)), n)
-            return block.take(pa.array(np.sort(keep))).combine_chunks().to_batches()[0]
-
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                rows += b.num_rows
-                if rows >= limit:
-                    held = [thin()]
-                    rows = held[0].num_rows
-                    limit = max(block_rows, 2 * rows)
-        if held:
-            yield thin()
-
-    return step
-
-
 def top_n(df: DataFrame, group_col: str, item_col: str, score_col: str, n: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(group, item, score) under the names given: each group's first ``n`` items.
 
@@ -179,6 +160,6 @@ def top_n(df: DataFrame, group_col: str, item_col: str, score_col: str, n: int,
     ).where("g is not null and i is not null and s is not null and not isnan(s)")
     schema = "g bigint, i bigint, s double"
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    thinned = rows.mapInArrow(_thin_step(n, block_rows), schema)
-    found = thinned.repartition(partitions, "g").mapInArrow(_final_step(n, block_rows), schema)
+    thinned = rows.mapInArrow(_thin_step(n, block_rows, True), schema)
+    found = thinned.repartition(partitions, "g").mapInArrow(_thin_step(n, block_rows, False), schema)
     return found.toDF(group_col, item_col, score_col)
