@@ -35,8 +35,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -325,8 +327,8 @@ def _mark_teasers(texts: list[str], kinds: list[str], title: int) -> None:
 def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids, numbers, frames, out = [], [], [], []
-        for k, text, again in zip(*(b.column(i).to_pylist() for i in range(3))):
-            lines, frame = frame_of_page(text or "", again)
+        for k, text, often in zip(*(b.column(i).to_pylist() for i in range(3))):
+            lines, frame = frame_of_page(text or "", _repeated(text or "", often))
             for number, line in lines:
                 ids.append(k)
                 numbers.append(number)
@@ -335,33 +337,51 @@ def _step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(frames, pa.bool_()), pa.array(out, pa.string())], names=["chunk_idx", "line_no", "is_frame", "line"])
 
 
-def _line_keys(text: Column) -> Column:
-    """A hash of each line, blanks and digits folded; null for blank lines."""
-    folded = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[0-9]+", "0"), r"[^\S\n]+", " ")
-    return F.transform(F.split(folded, "\n", -1), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
+_DIGITS = re.compile(r"[0-9]+")
+
+
+@lru_cache(maxsize=200_000)
+def _key(line: str) -> int:
+    """A hash of a line, case, blanks and digits folded; 0 for a blank line."""
+    words = _DIGITS.sub("0", line.lower()).split()
+    return int.from_bytes(blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) if words else 0
+
+
+def _repeated(text: str, often: list[int] | None) -> list[bool] | None:
+    """Of each line whether its key is among those its site repeats."""
+    if not often:
+        return None
+    keys = set(often)
+    return [_key(line) in keys for line in text.split("\n")]
+
+
+def _count_step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(site, key, n): pages of a batch that hold a line."""
+    for b in batches:
+        counts: Counter[tuple[str, int]] = Counter()
+        for site, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            counts.update((site, key) for key in set(map(_key, (text or "").split("\n"))) if key)
+        sites, keys = zip(*counts) if counts else ((), ())
+        yield pa.record_batch([pa.array(sites, pa.string()), pa.array(keys, pa.int64()), pa.array(counts.values(), pa.int64())], names=["site", "key", "n"])
 
 
 def repeated_lines(pages: DataFrame) -> DataFrame:
-    """(site, keys): of each site the lines that belong to its frame.  ``pages`` has site and
-    keys, a hash a line."""
-    known = pages.where("site is not null and site <> ''")
-    lines = known.select("site", F.explode(F.array_compact(F.array_distinct("keys"))).alias("key")).groupBy("site", "key").agg(F.count("*").alias("n"))
-    sizes = known.groupBy("site").agg(F.count("*").alias("pages"))
-    often = lines.where(F.col("n") >= LEAST_PAGES).join(sizes, "site").where(F.col("n") >= SITE_SHARE * F.col("pages"))
+    """(site, often): of each site the keys of the lines that belong to its frame."""
+    known = pages.where("site is not null and site <> ''").select("site", "text")
+    lines = known.mapInArrow(_count_step, "site string, key bigint, n bigint").groupBy("site", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES)
+    sizes = known.groupBy("site").agg(F.count("*").alias("pages"))  # reads no text
+    often = lines.join(sizes, "site").where(F.col("n") >= SITE_SHARE * F.col("pages"))
     return often.groupBy("site").agg(F.collect_list("key").alias("often"))  # at most lines of a page / SITE_SHARE a site
 
 
 def _marked(df: DataFrame, id_col: str, text_col: str, site: Column | None) -> DataFrame:
-    """(id, text, again): the pages, and of each line whether its site repeats it."""
+    """(id, text, often): the pages, with the keys of the lines that their site repeats."""
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), (F.lit(None).cast("string") if site is None else site).alias("site")).where("id is not null")
     if site is None:
-        return rows.select("id", "text", F.lit(None).cast("array<boolean>").alias("again"))
-    keys = _line_keys(F.col("text"))
-    often = cut(repeated_lines(rows.select("site", keys.alias("keys"))))
+        return rows.select("id", "text", F.lit(None).cast("array<bigint>").alias("often"))
+    often = cut(repeated_lines(rows))
     size = often.agg(F.coalesce(F.sum(F.size("often")), F.lit(0)).alias("n")).first().n
-    joined = rows.join(F.broadcast(often) if size <= BROADCAST_KEYS else often, "site", "left")
-    again = F.transform(keys, lambda k: F.coalesce(F.array_contains("often", k), F.lit(False)))
-    return joined.select("id", "text", F.when(F.col("often").isNotNull(), again).alias("again"))
+    return rows.join(F.broadcast(often) if size <= BROADCAST_KEYS else often, "site", "left").select("id", "text", "often")
 
 
 def page_lines(df: DataFrame, id_col: str, text_col: str, site: Column | None = None) -> DataFrame:
@@ -375,8 +395,8 @@ def page_bodies(df: DataFrame, id_col: str, text_col: str, site: Column | None =
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lines, frame = frame_of_page(text or "", again)
+            for text, often in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                lines, frame = frame_of_page(text or "", _repeated(text or "", often))
                 out.append("\n".join(line for no, line in lines if no not in frame))
             yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["chunk_idx", "body"])
 
