@@ -19,8 +19,8 @@ def confusion(df: DataFrame, truth: str, predicted: str, labels: Sequence[str] =
     return grid.join(counts, ["y_true", "y_pred"], "left").na.fill(0, ["n"])
 
 
-def per_class(cells: DataFrame) -> DataFrame:
-    """(label, precision, recall, f1, support); a zero divisor gives 0."""
+def _per_label(cells: DataFrame) -> DataFrame:
+    """(label, tp, support, predicted, precision, recall, f1) from one pass of the cells; a zero divisor gives 0."""
     flat = cells.select(F.inline(F.array(
         F.struct(F.col("y_true").alias("label"), F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"), F.col("n").alias("t"), F.lit(0).cast("bigint").alias("p")),
         F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("t"), F.col("n").alias("p")),
@@ -28,17 +28,27 @@ def per_class(cells: DataFrame) -> DataFrame:
     g = flat.groupBy("label").agg(F.sum("tp").alias("tp"), F.sum("t").alias("support"), F.sum("p").alias("predicted"))
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     p, r = ratio(F.col("tp"), F.col("predicted")), ratio(F.col("tp"), F.col("support"))
-    return g.select("label", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"), "support")
+    return g.select("*", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
+
+
+def per_class(cells: DataFrame) -> DataFrame:
+    """(label, precision, recall, f1, support)."""
+    return _per_label(cells).select("label", "precision", "recall", "f1", "support")
 
 
 def summary(cells: DataFrame) -> DataFrame:
-    """One row: accuracy, macro_f1, weighted_f1, cohen_kappa, n.  Macro is over all given labels."""
-    c = per_class(cells).agg(F.avg("f1").alias("macro_f1"), F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"))
-    total = cells.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("same"))
-    rows = cells.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("a"))
-    columns = cells.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("b"))
-    chance = rows.join(columns, "label").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("ab"))
-    one = total.crossJoin(c).crossJoin(chance)  # single rows
+    """One row: accuracy, macro_f1, weighted_f1, cohen_kappa, n.  Macro is over all given labels.
+
+    All of it follows from the labels' sums: agreement is the sum of tp, chance that of
+    support times predicted.
+    """
+    one = _per_label(cells).agg(
+        F.sum("tp").alias("same"),
+        F.sum("support").alias("n"),
+        F.avg("f1").alias("macro_f1"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1"),
+        F.sum(F.col("support").cast("double") * F.col("predicted")).alias("ab"),
+    )
     po, pe = F.try_divide(F.col("same"), F.col("n")), F.try_divide(F.col("ab"), F.col("n").cast("double") * F.col("n"))
     return one.select(po.alias("accuracy"), "macro_f1", "weighted_f1", F.try_divide(po - pe, 1 - pe).alias("cohen_kappa"), "n")
 
