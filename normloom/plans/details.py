@@ -4,26 +4,22 @@ are written and read again, HTML and answers put together from columns, reports
 
 from __future__ import annotations
 
-import uuid
+import json
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from normloom import jobs
 from normloom.functions import text as T
 from normloom.functions import vocab
-from normloom.operators import chunking, classification, ir_metrics, judging, lexical, ranking, reporting
+from normloom.operators import chunking, ir_metrics, judging, lexical, ranking, reporting
 from normloom.plans.catalogue import (
     BM25_CTE, DOCS_CTE, EXPORT_CTE, K, LABEL_SQL, METRICS_CTE, MODELS, PASSAGE_RELEVANCE, RUNS_CTE, SPLIT_CTE, SYSTEM,
     _document_runs, _gold_relevance, _metrics, _query_runs, _rounded, _runs, _scores, clean_sql, norm_sql, query, tokens_sql,
 )
-from normloom.sources import csv_sources, stores
-from normloom.tables import _cut_folder, parallel, table
-
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder for the files of one query, removed with the cut tables."""
-    return f"{_cut_folder(spark)}/files-{uuid.uuid4().hex}"
+from normloom.sources import csv_records, csv_sources, stores
+from normloom.tables import cut, job_folder, parallel, table
 
 
 def _filled(*columns: str) -> str:
@@ -38,7 +34,7 @@ GOLD_TEXTS = [c for c in csv_sources.GOLD_ALIASES if c not in ("source_page", "s
 @query(f"SELECT {_filled(*GOLD_TEXTS)}, nullif(trim(coalesce(alignment_label, '')), '') AS alignment_label FROM gold")
 def gold_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Gold as a delivered CSV under alias headers, parted by semicolons."""
-    path = _folder(spark)
+    path = job_folder(spark)
     renamed = {"paper": "Paper", "recommendation_text": "recommendation", "doc_short_name": "legal_doc_reference"}
     stores.write_csv(table(spark, folder, "gold").select(*csv_sources.GOLD_ALIASES, "alignment_label").withColumnsRenamed(renamed), path, separator=";")
     return csv_sources.load_gold(csv_sources.read_csv(spark, path)).select(*GOLD_TEXTS, "alignment_label")
@@ -46,14 +42,14 @@ def gold_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("SELECT coalesce(section, '') AS section, coalesce(title, '') AS title, CASE WHEN trim(coalesce(recommendation, '')) <> '' THEN recommendation ELSE trim(concat_ws(' ', coalesce(section, ''), coalesce(subsection, ''), coalesce(title, ''))) END AS text FROM recommendations")
 def recommendations_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = _folder(spark)
+    path = job_folder(spark)
     stores.write_csv(table(spark, folder, "recommendations").select("section", "subsection", "title", "recommendation"), path)
     return csv_sources.load_recommendations(csv_sources.read_csv(spark, path)).select("section", "title", "text")
 
 
 @query("SELECT coalesce(section, '') AS section, coalesce(subsection, '') AS subsection, CASE WHEN trim(coalesce(recommendation, '')) <> '' THEN recommendation ELSE trim(concat_ws(' ', coalesce(section, ''), coalesce(subsection, ''), coalesce(title, ''))) END AS text FROM recommendations")
 def whitepaper_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = _folder(spark)
+    path = job_folder(spark)
     stores.write_csv(table(spark, folder, "recommendations").select("section", "subsection", "title", "recommendation"), path, separator=";")
     return csv_sources.read_whitepaper(spark, path).select("section", "subsection", "text")
 
@@ -61,7 +57,7 @@ def whitepaper_csv(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"SELECT {_filled(*(c for c in chunking.CHUNK_FIELDS if c not in ('id', 'char_offset', 'text', 'article_text')))}, CAST(coalesce(char_offset, 0) AS INTEGER) AS char_offset, md5(coalesce(text, '')) AS text_md5, md5(coalesce(article_text, '')) AS article_md5 FROM chunks")
 def evidence_csv(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks through the evidence CSV writer and its loader."""
-    path = _folder(spark)
+    path = job_folder(spark)
     stores.write_csv(table(spark, folder, "chunks").select(*chunking.CHUNK_FIELDS), path)
     back = csv_sources.load_chunks(csv_sources.read_csv(spark, path))
     rest = [c for c in chunking.CHUNK_FIELDS if c not in ("id", "text", "article_text")]
@@ -70,7 +66,7 @@ def evidence_csv(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {METRICS_CTE} SELECT dataset, level, model_key, method, k, round(ndcg, 6) AS ndcg, num_queries::DOUBLE AS num_queries FROM metrics")
 def metrics_csv(spark: SparkSession, folder: str) -> DataFrame:
-    path = _folder(spark)
+    path = job_folder(spark)
     stores.write_csv(_metrics(spark, folder), path)
     return _rounded(csv_sources.read_metrics(spark, path).select(*reporting.KEYS, "ndcg", "num_queries"))
 
@@ -78,7 +74,7 @@ def metrics_csv(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {BM25_CTE} SELECT term, df, round(idf, 9) AS idf, (SELECT n_docs FROM stats) AS n_docs, CAST((SELECT sum(tf) FROM post p WHERE p.term = idf.term) AS BIGINT) AS cf FROM idf")
 def index_tables(spark: SparkSession, folder: str) -> DataFrame:
     """The lexical index saved and loaded."""
-    path = _folder(spark)
+    path = job_folder(spark)
     stores.save_index(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", path)
     index = stores.load_index(spark, path)
     cf = index["postings"].groupBy("term").agg(F.sum("tf").alias("cf"))
@@ -89,7 +85,7 @@ def index_tables(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT count(*) AS n_vectors, CAST(64 AS INTEGER) AS min_dim, CAST(64 AS INTEGER) AS max_dim, true AS probe_ok, count(*) AS n_docs, true AS ok, CAST(1 AS INTEGER) AS made FROM chunks")
 def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors of the chunks stored once and read twice."""
-    path, made = _folder(spark), []
+    path, made = job_folder(spark), []
 
     def make(c: DataFrame) -> DataFrame:
         made.append(1)
@@ -104,13 +100,31 @@ def stored_vectors(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT query_id AS query, chunk_idx AS doc FROM (SELECT DISTINCT r.query_id, r.chunk_idx FROM retrieval_results r JOIN recommendations q ON q.query_id = r.query_id WHERE r.scores > 0 AND NOT isnan(r.scores) AND trim(coalesce(q.recommendation, '')) <> '')")
 def corpus_qrels(spark: SparkSession, folder: str) -> DataFrame:
     """Queries and relevances of a corpus read from a split folder."""
-    path = _folder(spark)
+    path = job_folder(spark)
     r = table(spark, folder, "retrieval_results").where("scores is not null and not isnan(scores)")
     r.select(F.col("query_id").alias("query"), F.col("chunk_idx").alias("doc"), F.col("scores").alias("score")).write.parquet(f"{path}/en/qrels")
     table(spark, folder, "recommendations").select(F.col("query_id").alias("query"), F.coalesce("recommendation", F.lit("")).alias("text")).write.json(f"{path}/queries.json")
     return csv_sources.queries_and_qrels(csv_sources.load_split(spark, path, "en", "queries"), csv_sources.load_split(spark, path, "en", "qrels"))[1]
 
 
+_OK = {c: f"regexp_replace(coalesce({c}, ''), '^{T.WS}+|{T.WS}+$', '', 'g')" for c in csv_records.COLUMNS}
+_BAD = (
+    " OR ".join(f"NOT regexp_matches(coalesce({c}, ''), '\\p{{L}}') OR contains(coalesce({c}, ''), chr(65533))" for c in csv_records.TEXTS) + " OR "
+    + " OR ".join(f"NOT regexp_full_match({_OK[c]}, '[0-9]*')" for c in csv_records.NUMBERS) + " OR "
+    + " OR ".join(f"lower({_OK[c]}) NOT IN ({', '.join(repr(v) for v in sorted(values))})" for c, values in csv_records.VALUES.items())
+)
+
+
+@query(f"SELECT CASE WHEN {_BAD} THEN 'invalid_value' END AS reason, CASE WHEN NOT ({_BAD}) THEN TRY_CAST(nullif({_OK['source_page']}, '') AS BIGINT) END AS source_page, CASE WHEN NOT ({_BAD}) THEN md5(recommendation_text) END AS text_md5 FROM gold")
+def delivered_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold as delivered CSV files, cut into records quote-aware and parsed with reasons."""
+    path = job_folder(spark)
+    rows = parallel(table(spark, folder, "gold")).select(*csv_records.COLUMNS)
+    stores.write_csv(rows, path, separator="|")
+    parsed = csv_records.parse_records(csv_sources.read_records(spark, path))
+    return parsed.select("reason", "source_page", F.md5("recommendation_text").alias("text_md5"))
+
+
 # --- HTML and recommendation texts ------------------------------------------------------------
 
 
@@ -154,6 +168,14 @@ def html_annexes(spark: SparkSession, folder: str) -> DataFrame:
     return chunking.chunk_html(_pages(spark, folder)).where("chapter = 'Annex' and article_text = ''").select("source_file", "article", F.md5("text").alias("text_md5"))
 
 
+@query(f"SELECT chunk_idx, concat_ws(' — ', nullif({clean_sql('coalesce(document, $$$$)')}, ''), nullif({clean_sql('coalesce(version, $$$$)')}, '')) AS title FROM chunks".replace("$$$$", "''"))
+def html_titles(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of documents from their title blocks."""
+    content = F.concat(F.lit('<html><body><div class="eli-main-title"><p class="title-doc-first">'), _escaped("document"), F.lit('</p>\n<p class="other">x</p>\n<p class="title-doc-last">'), _escaped("version"), F.lit("</p></div></body></html>"))
+    files = parallel(table(spark, folder, "chunks")).select(F.col("chunk_idx").cast("string").alias("path"), content.alias("content"))
+    return chunking.titles(files).select(F.col("path").cast("bigint").alias("chunk_idx"), "title")
+
+
 _LINES = f"l AS (SELECT chunk_idx, {clean_sql('coalesce(document, $$$$)')} AS h, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM web_chunks), n AS (SELECT *, {clean_sql('line')} AS t FROM l)".replace("$$$$", "''")
 
 
@@ -292,6 +314,98 @@ def sparse_given_topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("query", "doc", "rank", F.round(F.round("score", 9), 6).alias("score"))
 
 
+#: Counts of letters as vectors, a model that SQL has too.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def letter_embedder():
+    def embed(texts: list[str]) -> np.ndarray:
+        return np.array([[t.lower().count(x) for x in LETTERS] for t in texts], dtype=np.float32).reshape(len(texts), len(LETTERS))
+
+    return embed
+
+
+def _vector(c: str) -> str:
+    return "[" + ", ".join(f"CAST(length({c}) - length(replace({c}, '{x}', '')) AS DOUBLE)" for x in LETTERS) + "]"
+
+
+EVERY_CTE = f"""{BM25_CTE},
+bevery AS (SELECT i.item_id, t.doc, coalesce(s.score, 0.0) AS score FROM (SELECT DISTINCT item_id FROM test_items) i CROSS JOIN tok t LEFT JOIN scored s ON s.item_id = i.item_id AND s.doc = t.doc),
+bruns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM bevery) WHERE rank <= 30),
+ld AS (SELECT doc_id AS doc, {_vector("lower(coalesce(text, ''))")} AS v FROM documents),
+lq AS (SELECT item_id, {_vector("lower(coalesce(text, ''))")} AS v FROM test_items),
+ls AS (SELECT item_id, doc, list_sum(list_transform(range(1, 27), lambda i: lq.v[i] * ld.v[i])) AS score FROM lq, ld),
+lruns AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM ls) WHERE rank <= 30)"""
+
+
+def _letter_family(spark: SparkSession, folder: str) -> tuple[dict, DataFrame]:
+    chunks = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_idx"), "text")
+    models = jobs.Models("letters", lambda: letter_embedder(), lambda: judging.overlap_scorer, lambda: judging.word_sparse_encoder)
+    return jobs.retrievers(chunks, models), table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _method(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    family, queries = _letter_family(spark, folder)
+    found = family[name](queries, K)
+    return found.select(F.col("query_id").alias("item_id"), F.col("chunk_idx").alias("doc_id"), "rank", F.round(F.round("score", 9), 6).alias("score"))
+
+
+@query(f"WITH {EVERY_CTE} SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, score FROM lruns WHERE rank <= {K}")
+def method_dense(spark: SparkSession, folder: str) -> DataFrame:
+    """The dense method with counts of letters as vectors."""
+    return _method(spark, folder, "dense")
+
+
+@query(
+    f"WITH {EVERY_CTE}, l AS (SELECT item_id, doc, rank, 0 AS l FROM bruns WHERE rank <= {2 * K} UNION ALL SELECT item_id, doc, rank, 1 FROM lruns WHERE rank <= {2 * K}), f AS (SELECT item_id, doc, sum(1.0 / ({vocab.RRF_K} + rank)) AS rrf, min(l * 1000 + rank) AS seen FROM l GROUP BY item_id, doc), "
+    f"r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(rrf, 12) DESC, seen) AS rank FROM f) SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(rrf, 6) AS score FROM r WHERE rank <= {K}"
+)
+def method_rrf(spark: SparkSession, folder: str) -> DataFrame:
+    """The hybrid method: BM25 with fill and the dense list, fused."""
+    return _method(spark, folder, "rrf")
+
+
+@query(
+    f"WITH {EVERY_CTE}, c AS (SELECT r.item_id, r.doc, list_distinct(regexp_extract_all(lower(coalesce(i.text, '')), '[\\p{{L}}\\p{{N}}]+')) AS a, list_distinct(regexp_extract_all(lower(coalesce(d.text, '')), '[\\p{{L}}\\p{{N}}]+')) AS b FROM lruns r JOIN test_items i USING (item_id) JOIN documents d ON d.doc_id = r.doc WHERE r.rank <= {max(2 * K, 30)}), "
+    f"s AS (SELECT item_id, doc, CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0.0 END AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM s) SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= {K}"
+)
+def method_dense_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    """Thirty dense candidates rescored by a pair scorer."""
+    return _method(spark, folder, "dense_rerank")
+
+
+@query(
+    "WITH d AS (SELECT doc_id AS doc, term, ln(1.0 + count(*)) AS w FROM (SELECT doc_id, unnest(regexp_extract_all('passage: ' || lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL), "
+    "q AS (SELECT item_id, term, ln(1.0 + count(*)) AS w FROM (SELECT item_id, unnest(regexp_extract_all('query: ' || lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')) AS term FROM test_items) GROUP BY ALL), "
+    f"s AS (SELECT item_id, doc, sum(q.w * d.w) AS score FROM q JOIN d USING (term) GROUP BY item_id, doc), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc DESC) AS rank FROM s) SELECT item_id, doc AS doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= {K}"
+)
+def method_splade(spark: SparkSession, folder: str) -> DataFrame:
+    """The sparse method with log counts of words as weights."""
+    return _method(spark, folder, "splade")
+
+
+def _unified_sql() -> str:
+    from normloom.plans.catalogue import AT_K_SQL, PER_QUERY_CTE, ROUND_SQL
+
+    return f"WITH {BM25_CTE}, {PASSAGE_RELEVANCE}, {PER_QUERY_CTE.format(q='item_id', by='', runs='hits')}, m AS (SELECT k, {AT_K_SQL} FROM pq GROUP BY k) SELECT 'corpus' AS dataset, 'chunk' AS level, 'model' AS model_key, 'bm25' AS method, k, {ROUND_SQL}, num_queries, CAST(1 AS INTEGER) AS kept FROM m"
+
+
+@query(_unified_sql())
+def unified_evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    """Unified evaluation of BM25 over the documents, run twice: the second run keeps the first's step."""
+    from normloom.plans.catalogue import _passage_relevance
+
+    blank = {c: F.lit("") for c in ("document", "article", "paragraph")}
+    chunks = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_idx"), F.col("doc_id").cast("string").alias("id"), "text").withColumns(blank)
+    queries = table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("").alias("source_snippet_original"))
+    corpus = jobs.Collection("corpus", chunks, queries, cut(_passage_relevance(spark, folder)), "chunk")
+    out = job_folder(spark)
+    jobs.unified_evaluation(spark, out, [corpus], [jobs.Models()])
+    metrics = jobs.unified_evaluation(spark, out, [corpus], [jobs.Models()])["metrics_all"]
+    kept = json.loads(spark.read.json(f"{out}/run_summary").first()["summary"])["kept"]
+    return _rounded(metrics).withColumn("kept", F.lit(len(kept)))
+
+
 _RERANK = f"c AS (SELECT x.query_id, x.chunk_idx, regexp_extract_all(lower(coalesce(r.recommendation, '')), '[\\p{{L}}\\p{{N}}]+') AS a, regexp_extract_all(lower(coalesce(x.text, '')), '[\\p{{L}}\\p{{N}}]+') AS b FROM x JOIN recommendations r USING (query_id)), s AS (SELECT query_id, chunk_idx, CASE WHEN len(a) > 0 THEN len(list_intersect(list_distinct(a), list_distinct(b))) / len(list_distinct(a)) ELSE 0.0 END AS score FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_idx DESC) AS rank FROM s)"
 
 

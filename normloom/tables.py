@@ -51,6 +51,11 @@ def _cut_folder(spark: SparkSession) -> str:
     return folder
 
 
+def job_folder(spark: SparkSession) -> str:
+    """A new folder for a job's files, removed with the cut tables."""
+    return f"{_cut_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
 def _written(df: DataFrame) -> str:
     path = f"{_cut_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
