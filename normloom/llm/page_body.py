@@ -139,9 +139,12 @@ _FRAME = [a for p in (*CONSENT, *FOOTER, *PROMPT, *SYSTEM) for a in _alternative
 #: need one of the words below.
 _BEGINS = re.compile("|".join(a[1:] for a in _FRAME if a[0] == "^"))
 _HOLDS = re.compile("|".join(a for a in _FRAME if a[0] != "^"))
-_HOLDS_WORDS = re.compile(
-    "cookie|tracking|local storage|text files|technolog|consent|traceur|privacy|©|rights reserved|editorial system|responsible for|legal advice|postbox|box|postfach|boîte postale|b\\.?p\\.?|enter your|register now|listen to this| min|how we"
-)
+_HOLDS_WORDS = (
+    "cookie", "tracking", "local storage", "text files", "technolog", "consent", "traceur", "privacy", "©", "rights reserved", "editorial system", "responsible for", "legal advice", "box", "postfach",
+    "boîte postale", "b.p", "bp", "enter your", "register now", "listen to this", " min", "how we",
+)
+#: Every teaser pattern needs one of these.
+_TEASER_WORDS = ("more", "mehr", "weiter", "suite", "only")
 _TEASER = re.compile("|".join(TEASER))
 _MARKER = re.compile(r"^\s*(?:[*•·▪◦‣–—-]\s+|[☰≡]\s*|\(?(?:\d{1,2}|[a-z])\)\s+)", _I)
 _TEASER_MARKER = re.compile(r"^\s*(?:[>»›→]\s+|\d{1,2}\.\s+)")
@@ -153,10 +156,11 @@ _SENTENCE_END = re.compile(r"[.!?:;][\"”’»)]?\s*$")
 
 def _labels_only(text: str) -> bool:
     """Whether the text is a row of navigation labels, with or without separators."""
-    parts = [p for p in _SEPARATOR.split(text.lower()) if p]
+    words = text.lower().split()
+    parted = any(c in text for c in "|·•/›»>") or len(" ".join(words)) != len(text)
+    parts = [p for p in _SEPARATOR.split(text.lower()) if p] if parted else ()
     if len(parts) > 1:
         return sum(p in LABELS for p in parts) * 2 >= len(parts) and all(len(p) <= 40 for p in parts)
-    words = text.lower().split()
     i = n = 0
     while i < len(words):
         for k in (4, 3, 2, 1):
@@ -176,21 +180,22 @@ def classify(text: str) -> str:
     low = bare.lower().rstrip(":").strip()
     if low in TEASER_HEADS:
         return "teaser head"
-    if _CRUMB.search(text) and len(_CRUMB.split(text)) >= 3 and (_CRUMB.split(text)[0].lower() in LABELS or len(_CRUMB.split(text)) >= 4) and not _SENTENCE_END.search(text[:-1]):
+    if (steps := _CRUMB.split(text) if any(c in text for c in ">›»/") else ()) and len(steps) >= 3 and (steps[0].lower() in LABELS or len(steps) >= 4) and not _SENTENCE_END.search(text[:-1]):
         return "crumb"
     if _labels_only(bare):
         return "label" if bare.lower() in LABELS else "labels"
     low = bare.lower()
-    if _BEGINS.match(low) or (_HOLDS_WORDS.search(low) and _HOLDS.search(low)):
+    if _BEGINS.match(low) or (any(w in low for w in _HOLDS_WORDS) and _HOLDS.search(low)):
         return "frame"
-    if _TEASER.search(text.lower()):
+    whole = text.lower()
+    if any(w in whole for w in _TEASER_WORDS) and _TEASER.search(whole):
         return "teaser"
     words = len(text.split())
-    if (_SENTENCE_END.search(text) and words >= 5) or len(text) > 110:
+    if (_SENTENCE_END.search(text[-2:]) and words >= 5) or len(text) > 110:
         return "prose"
     if _MARKER.match(text):
         return "item"
-    if _DATED.search(text):
+    if text[-1] == ")" and _DATED.search(text):
         return "teaser"
     if text[0] in ">»›→":
         return "teaser"
