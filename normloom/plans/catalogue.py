@@ -212,6 +212,13 @@ def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return csv_sources.corpus_chunks(d, "doc_id").select(F.concat(F.lit("doc_"), F.col("doc").cast("string")).alias("corpus_id"), "text")
 
 
+@query("SELECT doc_id, trim(concat_ws(chr(10), nullif(trim(document), ''), nullif(trim(text), ''))) AS text FROM (SELECT * FROM documents WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 500) WHERE concat_ws('', nullif(trim(document), ''), nullif(trim(text), '')) <> ''")
+def corpus_cap(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 500 documents of a corpus (the reader's cap) with their titles."""
+    d = table(spark, folder, "documents").where("doc_id is not null").select("doc_id", F.col("document").alias("title"), "text")
+    return csv_sources.corpus_chunks(d, "doc_id", 500).select(F.col("doc").alias("doc_id"), "text")
+
+
 # --- lexical retrieval: test_items over documents --------------------------------------------
 
 K = vocab.TOP_K
@@ -325,10 +332,11 @@ def ir_metrics_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 RUNS_CTE = """
 best AS (SELECT model_key, method, query_id, chunk_idx, max(scores) AS score FROM retrieval_results WHERE scores IS NOT NULL AND NOT isnan(scores) GROUP BY ALL),
-runs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_key, method, query_id ORDER BY round(score, 9) DESC, chunk_idx DESC) AS rank FROM best) WHERE rank <= 60)"""
+allruns AS (SELECT *, row_number() OVER (PARTITION BY model_key, method, query_id ORDER BY round(score, 9) DESC, chunk_idx DESC) AS rank FROM best),
+runs AS (SELECT * FROM allruns WHERE rank <= 60)"""
 DOCS_CTE = RUNS_CTE + f""",
 names AS (SELECT chunk_idx, document, {T.document_name_sql('document')} AS doc FROM chunks WHERE document IS NOT NULL),
-firsts AS (SELECT model_key, method, query_id, doc, min(rank) AS f FROM runs JOIN names USING (chunk_idx) GROUP BY ALL),
+firsts AS (SELECT model_key, method, query_id, doc, min(rank) AS f FROM allruns JOIN names USING (chunk_idx) GROUP BY ALL),
 druns AS (SELECT model_key, method, query_id, doc, row_number() OVER (PARTITION BY model_key, method, query_id ORDER BY f) AS rank FROM firsts),
 rel AS (SELECT DISTINCT gold_id AS query_id, {T.document_name_sql('doc_short_name')} AS doc FROM gold WHERE trim(coalesce(doc_short_name, '')) <> ''
   UNION SELECT DISTINCT g.gold_id, c.doc FROM gold g JOIN recommendations r ON r.query_id = g.gold_id JOIN names c ON c.chunk_idx = r.query_id)"""
@@ -350,8 +358,11 @@ def _names(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _document_runs(spark: SparkSession, folder: str) -> DataFrame:
-    runs = _runs(spark, folder).join(_names(spark, folder), "chunk_idx")
-    return ranking.document_ranking(runs, [*SYSTEM, "query_id"], "doc").withColumnRenamed("query_id", "query")
+    """Ranked documents of each system and query over all its rows: a document stands where
+    its best chunk does, so that one aggregation of the rows is enough, with no rank of chunks."""
+    r = table(spark, folder, "retrieval_results").where("scores is not null and not isnan(scores)")
+    first = r.join(_names(spark, folder), "chunk_idx").groupBy(*SYSTEM, "query_id", "doc").agg(F.max(F.struct(F.round("scores", 9).alias("s"), "chunk_idx")).alias("best"))
+    return ranking.ranked(first, [*SYSTEM, "query_id"], [F.col("best").desc()]).select(*SYSTEM, F.col("query_id").alias("query"), "doc", "rank")
 
 
 def _gold_relevance(spark: SparkSession, folder: str) -> DataFrame:

@@ -530,7 +530,7 @@ JOB_CTE = DOCS_CTE.split("rel AS (", 1)[0] + f"rel AS (SELECT DISTINCT gold_id A
 
 def _job(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     gold = table(spark, folder, "gold").where("trim(coalesce(doc_short_name, '')) <> ''").select(F.col("gold_id").alias("query_id"), "doc_short_name")
-    return jobs.robustness(_runs(spark, folder), table(spark, folder, "chunks").where("document is not null"), gold)
+    return jobs.robustness(_runs(spark, folder, 1 << 30), table(spark, folder, "chunks").where("document is not null"), gold)
 
 
 def _pq(rest: str) -> str:

@@ -4,9 +4,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from normloom.operators import lexical, ranking, vectors
+from normloom.operators import lexical, passages, ranking, vectors
 
 DOCS = [(1, "steel steel pump rule"), (2, "steel glass rule"), (3, ""), (4, "rule timber rule"), (5, "steel glass rule")]
 
@@ -99,3 +100,64 @@ def test_queries_beyond_one_broadcast_go_in_passes(spark, monkeypatch):
     whole = sorted(map(tuple, vectors.dense_topk(df, "k", "v", df, "k", "v", 3).collect()))
     monkeypatch.setattr(vectors, "BROADCAST_NUMBERS", 30)
     assert sorted(map(tuple, vectors.dense_topk(df, "k", "v", df, "k", "v", 3).collect())) == whole
+
+
+class _Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_blocks_of_vectors_do_not_change_the_result(monkeypatch):
+    rng = np.random.default_rng(3)
+    d, q = rng.integers(-2, 3, (57, 4)).astype(np.float32), rng.integers(-2, 3, (13, 4)).astype(np.float64)
+    batches = [pa.record_batch([pa.array(range(i, min(57, i + 20)), pa.int64()), pa.array(d[i : i + 20].tolist(), pa.list_(pa.float32()))], names=["doc", "v"]) for i in range(0, 57, 20)]
+
+    def run(metric):
+        out = list(vectors._search_step(_Held((np.arange(13), q)), 5, metric)(iter(batches)))
+        assert len(out) == 1  # a list a task, not one a batch
+        return sorted(zip(*(c.to_pylist() for c in out[0].columns)))
+
+    for metric in ("ip", "l2"):
+        s = q @ d.T.astype(float) if metric == "ip" else -((q[:, None] - d[None]) ** 2).sum(axis=2)
+        want = sorted((i, j, s[i, j] if metric == "ip" else -s[i, j]) for i in range(13) for j in sorted(range(57), key=lambda j: (-s[i, j], -j))[:5])
+        for side, scores in ((1024, 10**6), (3, 7)):
+            monkeypatch.setattr(vectors, "BLOCK_SIDE", side)
+            monkeypatch.setattr(vectors, "BLOCK_SCORES", scores)
+            assert np.allclose(run(metric), want)
+
+
+def test_blocks_of_multi_vectors(monkeypatch):
+    rng = np.random.default_rng(4)
+    docs = [rng.integers(-2, 3, (rng.integers(1, 6), 3)).astype(float) for _ in range(40)]
+    asked = [rng.integers(-2, 3, (rng.integers(1, 5), 3)).astype(float) for _ in range(9)]
+    counts = np.array([len(x) for x in asked])
+    held = _Held((np.arange(9), np.cumsum(counts) - counts, np.concatenate(asked)))
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array([x.tolist() for x in docs], pa.list_(pa.list_(pa.float64())))], names=["doc", "v"])
+    want = []
+    for i, a in enumerate(asked):
+        s = [(a @ m.T).max(axis=1).sum() for m in docs]
+        want += [(i, j, s[j]) for j in sorted(range(40), key=lambda j: (-s[j], -j))[:6]]
+    for side in (1024, 1, 7):
+        monkeypatch.setattr(vectors, "BLOCK_SIDE", side)
+        out = next(vectors._maxsim_step(held, 6)(iter([batch])))
+        assert np.allclose(sorted(zip(*(c.to_pylist() for c in out.columns))), sorted(want))
+
+
+def test_passages(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "the old pump and the new pump"), (2, None), (3, ""), (4, "a new pump"), (None, "the old pump")], "d bigint, t string")
+    items = spark.createDataFrame([(1, "pump"), (2, "new pump"), (3, ""), (4, None), (5, "absent"), (6, "pump"), (None, "old")], "i bigint, p string")
+    want = sorted([(1, 1), (6, 1), (2, 1), (1, 4), (6, 4), (2, 4)])
+    for size in (10**6, 4):  # one pass, several passes
+        monkeypatch.setattr(passages, "BROADCAST_CHARS", size)
+        found = passages.passages_in(docs.where("d is not null"), "d", "t", items, "i", "p")
+        assert sorted((r["item"], r.doc) for r in found.collect()) == want
+    held = {"pump": [1, 6], "new pump": [2], "absent": [5]}
+    plain = passages._finder(held)
+    monkeypatch.setattr(passages, "ahocorasick", None)
+    assert all(plain(t) == passages._finder(held)(t) for t in ("the old pump and the new pump", "a new pump", "", "xpumpx"))
+
+
+def test_sparse_weights_count_once_each_and_only_if_positive(spark):
+    d = spark.createDataFrame([(1, ["a", "b", "a"], [1.0, 2.0, 0.5]), (2, ["b"], [-1.0]), (3, [], [])], "doc bigint, terms array<string>, weights array<double>")
+    q = spark.createDataFrame([(7, ["a", "b"], [2.0, 1.0])], "query bigint, terms array<string>, weights array<double>")
+    assert [(r.doc, r.score) for r in lexical.sparse_topk(d, q, 5).collect()] == [(1, 5.0)]
