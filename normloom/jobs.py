@@ -245,14 +245,14 @@ def evaluate(runs: DataFrame, chunks: DataFrame, gold: DataFrame, by: Sequence[s
     at = scores.where(F.col("k") == k)
     long = reporting.unpivot(at, [*by, "query"], ["hit", "mrr", "ndcg"])
     pairs = statistics.method_pairs(long, ["model_key", "metric"], "method", "query", "value")
-    p = statistics.permutation_test(pairs, ["model_key", "metric", "method_a", "method_b"], "a", "b", "query")
+    p = statistics.permutation_test(pairs, ["model_key", "metric", "method_a", "method_b"], "a", "b", "query", together=["method_a", "method_b"])
     effects = statistics.paired_effect(pairs, ["model_key", "metric", "method_a", "method_b"]).drop("delta_mean")
     return {
         "per_query": scores,
         "metrics": ir_metrics.at_k(scores, by).select(F.lit("gold").alias("dataset"), F.lit("document").alias("level"), "*"),
         "categories": ir_metrics.error_categories(d, rel, by, k),
         "errors": ir_metrics.shares(ir_metrics.error_categories(d, rel, by, k), by, "category"),
-        "intervals": statistics.bootstrap_ci(long, [*by, "metric"], "value", "query"),
+        "intervals": statistics.bootstrap_ci(long, [*by, "metric"], "value", "query", together=["metric"]),
         "comparisons": statistics.holm(p.join(effects, ["model_key", "metric", "method_a", "method_b"]), ["model_key", "metric"], "p_value", ["method_a", "method_b"]),
         "ablation": reporting.ablation_deltas(at, ["model_key"]),
     }

@@ -14,47 +14,80 @@ RESAMPLES = 10_000
 _BLOCK = 4_000_000
 
 
-def _bootstrap(values: np.ndarray, n: int, seed: int, alpha: float) -> tuple[float, float, float]:
-    """Mean and percentile interval; resamples are drawn in blocks of bounded size."""
-    rng = np.random.RandomState(seed)
-    rows = max(1, _BLOCK // max(1, len(values)))
-    means = np.concatenate([values[rng.randint(0, len(values), size=(min(rows, n - i), len(values)))].mean(axis=1) for i in range(0, n, rows)])
-    low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
-    return float(values.mean()), float(low), float(high)
+def _blocks(n: int, width: int) -> list[int]:
+    """Resamples by blocks of bounded size."""
+    rows = max(1, _BLOCK // max(1, width))
+    return [min(rows, n - i) for i in range(0, n, rows)]
 
 
-def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, order: str, n: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05) -> DataFrame:
+def _series(pdf: pd.DataFrame, keys: Sequence[str], order: str) -> list[tuple[tuple, pd.DataFrame]]:
+    """The groups of a frame, each sorted; a frame is a group where there are no keys."""
+    if not keys:
+        return [((), pdf.sort_values(order))]
+    return [(k if isinstance(k, tuple) else (k,), part.sort_values(order)) for k, part in pdf.groupby(list(keys), sort=True)]
+
+
+def _by_length(series: list[np.ndarray]) -> dict[int, list[int]]:
+    """Which series have which length: those of one length have the same draws."""
+    out: dict[int, list[int]] = {}
+    for i, x in enumerate(series):
+        out.setdefault(len(x), []).append(i)
+    return out
+
+
+def bootstrap_ci(df: DataFrame, by: Sequence[str], value: str, order: str, n: int = RESAMPLES, seed: int = SEED, alpha: float = 0.05, together: Sequence[str] = ()) -> DataFrame:
     """(by, mean, ci95_low, ci95_high, num_queries) per group, finite values only.
 
     A group is the per-query scores of one system and metric; its rows are sorted by
-    ``order``, so that the seed gives the same interval on any partitioning.
+    ``order``, so that the seed gives the same interval on any partitioning.  The draws
+    depend on seed and length alone: groups that differ in ``together`` only share a task,
+    and its draws.
     """
+    apart = [c for c in by if c not in together]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(dtype=float)
-        x = x[np.isfinite(x)]
-        mean, low, high = _bootstrap(x, n, seed, alpha) if len(x) else (np.nan, np.nan, np.nan)
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), mean, low, high, len(x)]], columns=[*by, "mean", "ci95_low", "ci95_high", "num_queries"])
+        found = _series(pdf, together, order)
+        xs = [part[value].to_numpy(dtype=float) for _, part in found]
+        xs = [x[np.isfinite(x)] for x in xs]
+        bounds = [(np.nan, np.nan)] * len(xs)
+        for length, members in _by_length(xs).items():
+            if length:
+                rng = np.random.RandomState(seed)
+                means: dict[int, list[np.ndarray]] = {i: [] for i in members}
+                for rows in _blocks(n, length):
+                    drawn = rng.randint(0, length, size=(rows, length))
+                    for i in members:
+                        means[i].append(xs[i][drawn].mean(axis=1))
+                for i in members:
+                    bounds[i] = tuple(np.percentile(np.concatenate(means[i]), [100 * alpha / 2, 100 * (1 - alpha / 2)]))
+        rows = [[*(part[c].iloc[0] for c in by), x.mean() if len(x) else np.nan, low, high, len(x)] for (_, part), x, (low, high) in zip(found, xs, bounds)]
+        return pd.DataFrame(rows, columns=[*by, "mean", "ci95_low", "ci95_high", "num_queries"])
 
     types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, order, value).groupBy(*by).applyInPandas(one, f"{types}, mean double, ci95_low double, ci95_high double, num_queries bigint")
+    return df.select(*by, order, value).groupBy(*apart).applyInPandas(one, f"{types}, mean double, ci95_low double, ci95_high double, num_queries bigint")
 
 
-def permutation_test(pairs: DataFrame, by: Sequence[str], a: str, b: str, order: str, n: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+def permutation_test(pairs: DataFrame, by: Sequence[str], a: str, b: str, order: str, n: int = RESAMPLES, seed: int = SEED, together: Sequence[str] = ()) -> DataFrame:
     """(by, delta_mean, p_value): two-sided sign-flip test, p = share of flips whose mean
-    difference is at least as large in absolute value."""
+    difference is at least as large in absolute value.  ``together`` as in ``bootstrap_ci``."""
+    apart = [c for c in by if c not in together]
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        d = pdf[a].to_numpy(dtype=float) - pdf[b].to_numpy(dtype=float)
-        rng = np.random.RandomState(seed)
-        seen = abs(d.mean())
-        rows = max(1, _BLOCK // max(1, len(d)))
-        hits = sum(int((np.abs((rng.choice([-1.0, 1.0], size=(min(rows, n - i), len(d))) * d).mean(axis=1)) >= seen - 1e-12).sum()) for i in range(0, n, rows))
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in by), float(d.mean()), hits / n]], columns=[*by, "delta_mean", "p_value"])
+        found = _series(pdf, together, order)
+        ds = [part[a].to_numpy(dtype=float) - part[b].to_numpy(dtype=float) for _, part in found]
+        hits = np.zeros(len(ds), dtype=np.int64)
+        for length, members in _by_length(ds).items():
+            rng = np.random.RandomState(seed)
+            d = np.array([ds[i] for i in members])
+            least = np.abs(d.mean(axis=1)) - 1e-12
+            for rows in _blocks(n, length):
+                flipped = rng.choice([-1.0, 1.0], size=(rows, length)) @ d.T / length
+                hits[members] += (np.abs(flipped) >= least).sum(axis=0)
+        rows = [[*(part[c].iloc[0] for c in by), float(d.mean()), h / n] for (_, part), d, h in zip(found, ds, hits)]
+        return pd.DataFrame(rows, columns=[*by, "delta_mean", "p_value"])
 
     types = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in by)
-    return pairs.select(*by, order, a, b).groupBy(*by).applyInPandas(one, f"{types}, delta_mean double, p_value double")
+    return pairs.select(*by, order, a, b).groupBy(*apart).applyInPandas(one, f"{types}, delta_mean double, p_value double")
 
 
 def method_pairs(scores: DataFrame, by: Sequence[str], method: str, query: str, value: str) -> DataFrame:

@@ -706,12 +706,12 @@ def holm_adjust(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     s = reporting.unpivot(_scores(spark, folder).where("k = 10"), [*SYSTEM, "query"], ["hit", "mrr", "ndcg"])
-    return _rounded(statistics.bootstrap_ci(s, [*SYSTEM, "metric"], "value", "query"))
+    return _rounded(statistics.bootstrap_ci(s, [*SYSTEM, "metric"], "value", "query", together=["method", "metric"]))
 
 
 @query()
 def permutation_p(spark: SparkSession, folder: str) -> DataFrame:
-    p = statistics.permutation_test(_pairs(spark, folder), PAIR, "a", "b", "query")
+    p = statistics.permutation_test(_pairs(spark, folder), PAIR, "a", "b", "query", together=["method_a", "method_b"])
     return _rounded(statistics.holm(p, ["model_key"], "p_value", ["method_a", "method_b"]))
 
 
@@ -720,7 +720,7 @@ def significance_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean NDCG of each system with the stars of its permutation test against BM25."""
     s = _scores(spark, folder).where("k = 10")
     pairs = statistics.method_pairs(s, ["model_key"], "method", "query", "ndcg").where("method_a = 'bm25' or method_b = 'bm25'")
-    tests = statistics.permutation_test(pairs, PAIR, "a", "b", "query")
+    tests = statistics.permutation_test(pairs, PAIR, "a", "b", "query", together=["method_a", "method_b"])
     return reporting.starred(s.groupBy(*SYSTEM).agg(F.avg("ndcg").alias("ndcg")), tests, "ndcg")
 
 

@@ -85,6 +85,19 @@ def test_seeded_statistics_do_not_depend_on_partitioning(spark):
     assert far.p_value == 0.0 and far.delta_mean == pytest.approx(-1)
 
 
+def test_groups_that_share_their_draws(spark):
+    """Together or apart, of equal and unequal lengths, with values that are not finite."""
+    rng = np.random.RandomState(1)
+    rows = [(m, x, q, float(rng.rand()), float(rng.rand())) for m in "ab" for x in "xyz" for q in range(40 if x == "z" else 55)] + [("a", "x", 99, float("inf"), 0.0)]
+    df = spark.createDataFrame(rows, "m string, x string, q int, a double, b double")
+    for f, values in ((statistics.bootstrap_ci, ("a",)), (statistics.permutation_test, ("a", "b"))):
+        d = df if f is statistics.bootstrap_ci else df.where("q < 99")
+        apart = sorted(map(tuple, f(d, ["m", "x"], *values, "q", 300).collect()))
+        shared = sorted(map(tuple, f(d.repartition(3), ["m", "x"], *values, "q", 300, together=["x"]).collect()))
+        every = sorted(map(tuple, f(d, ["m", "x"], *values, "q", 300, together=["m", "x"]).collect()))
+        assert apart == shared == every and len(apart) == 6
+
+
 def test_pairs_and_effects(spark):
     rows = [("x", m, q, v) for q in range(4) for m, v in (("a", 1.0), ("b", q / 4), ("c", 1.0))]
     pairs = statistics.method_pairs(spark.createDataFrame(rows, "k string, m string, q int, v double"), ["k"], "m", "q", "v")
