@@ -19,11 +19,12 @@ What keeps that from meeting every pair that shares a common phrase:
 * n-grams in very many sets are cut into tiles, so that no task holds all sets
   of one n-gram.
 
-The pairs left are compared on their whole sets.  Nothing is sampled or capped.
+The pairs left are compared on their whole sets, which are made and shuffled for classes
+with a candidate only.  Nothing is sampled or capped.
 
 The order need not be the exact frequency order (any order is right, a rare-first
-one is fast): it comes from a frequency sketch of fixed size over all documents,
-which is all that is sent to the driver and to the tasks.
+one is fast): it comes from a frequency sketch of fixed size over all documents.  That
+and, behind a check of their number, the ids with candidates are all that is broadcast.
 
 Nulls and texts under ``n`` words have no set, hence no pairs.  A row with a null
 id is left out.  Repeated ids: rows with one id must carry one text, else which
@@ -58,6 +59,8 @@ TILE_SETS = 20_000
 PAIRS_AT_ONCE = 1_000_000
 #: Keys of sets that a task remembers to leave out copies.
 SEEN = 1_000_000
+#: Identifiers of rows with candidates that may be broadcast (some 100 MB at most).
+BROADCAST_ROWS = 4_000_000
 #: Prefix n-grams that a fragment should hold, from which the number of fragments follows.
 FRAGMENT_ENTRIES = 2_000_000
 #: Share of a set by which its prefixes are longer than they must be.
@@ -144,39 +147,21 @@ def _levels(blocks: DataFrame) -> np.ndarray:
     return out
 
 
-def _order_step(n: int, clean: bool, sketch):
-    """Rows (k1, k2, size, id, tokens): the set in the global order, six bytes a token.
+def _pack(tokens: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Sets as binary values, six bytes a token; ``counts`` has no zeros."""
+    ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32) * 6
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(tokens.view(np.uint8).reshape(-1, 8)[:, :6].tobytes())])
 
-    Of equal sets a task sends on the first (and any that has a smaller id), so copies of
-    one text cost a row a task; the keys it remembers are bounded by ``SEEN``.
-    """
+
+def _set_step(n: int, clean: bool):
+    """Rows (k1, class_id, tokens) of texts."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(sketch.value, dtype=np.uint8)
-        seen: dict[tuple[int, int], int] = {}
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            tokens, counts = _sets(texts, n, clean)
-            k1, k2 = _class_keys(tokens, counts)
-            fresh = np.zeros(len(counts), dtype=bool)
-            for i in np.flatnonzero(counts).tolist():
-                key = (int(k1[i]), int(k2[i]))
-                if seen.get(key, ids[i] + 1) > ids[i]:
-                    fresh[i] = True
-                    seen[key] = ids[i]
-            if len(seen) > SEEN:
-                seen = {}
-            tokens, counts = tokens[np.repeat(fresh, counts)], np.where(fresh, counts, 0)
-            owner, _ = spread(counts)
-            rank = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
-            tokens = tokens[np.lexsort((rank, owner))] if len(tokens) else tokens
-            packed = tokens.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+            tokens, counts = _sets(b.column(1).to_pylist(), n, clean)
+            k1, _ = _class_keys(tokens, counts)
             some = np.flatnonzero(counts)
-            ends = np.concatenate(([0], np.cumsum(counts[some]))).astype(np.int32) * 6
-            yield pa.record_batch(
-                [pa.array(k1[some]), pa.array(k2[some]), pa.array(counts[some].astype(np.int32)), b.column(0).take(pa.array(some)), pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed)])],
-                names=["k1", "k2", "size", "id", "tokens"],
-            )
+            yield pa.record_batch([pa.array(k1[some]), b.column(0).take(pa.array(some)), _pack(tokens, counts[some])], names=["k1", "class_id", "tokens"])
 
     return step
 
@@ -213,66 +198,94 @@ def _signatures(tokens: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(len(counts), SIGNATURE_BITS), axis=1)
 
 
-def _segment_step(t: float, fragments: int, sketch):
+def _segment_step(n: int, clean: bool, t: float, fragments: int, sketch):
     """One row per set and fragment: the prefix n-grams that lie in the fragment.
 
-    A set goes by its first key here.
-
-    Fragments are intervals of the global order, cut so that they hold like
-    shares of the sketch's weight.
+    Of equal sets a task sends on one, so copies of one text cost no more than a set a task;
+    the keys it remembers are bounded by ``SEEN``.
     """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(sketch.value, dtype=np.uint8)
-        sizes_of_level = np.bincount(levels, minlength=256)
-        weight = sizes_of_level * np.exp2(np.arange(256) / 8.0)
-        weight[0] = 0
-        below = np.concatenate(([0], np.cumsum(weight))) / max(1.0, weight.sum())
-        often = np.exp2(np.arange(256) / 8.0)
+        seen: set[tuple[int, int]] = set()
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            tokens, counts = _unpack(b.column(2))  # the class id goes along unused, see near_duplicates
-            sign = _signatures(tokens, counts)
-            owner, place = spread(counts)
-            probe, index = _prefixes(t, counts)
-            pick = place < probe[owner]
-            tokens, owner, place = tokens[pick], owner[pick], place[pick]
-            level = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
-            within = (mix(tokens) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            fragment = np.minimum(fragments - 1, (fragments * (below[level] + within * (below[level + 1] - below[level]))).astype(np.int64))
-            # n-grams in very many sets go to the tiles (low, high) that hold their own tile
-            tiles = np.maximum(1, np.ceil(often[level] / TILE_SETS).astype(np.int64))
-            own = (mix(ids.astype(np.uint64))[owner] % tiles.astype(np.uint64)).astype(np.int64)
-            who, other = spread(tiles)
-            tokens, owner, place, fragment, own = (x[who] for x in (tokens, owner, place, fragment, own))
-            low, high = np.minimum(own, other), np.maximum(own, other)
-            group = np.where(tiles[who] > 1, mix(tokens ^ mix((low * 65_537 + high + 1).astype(np.uint64))) & TOKEN_MASK, tokens)
-            side = np.where(low == high, 2, (own == high).astype(np.int64))
-            home = np.where(tiles[who] > 1, (group % np.uint64(fragments)).astype(np.int64), fragment)
-            order = np.lexsort((home, owner))
-            group, owner, place, side, home = (x[order] for x in (group, owner, place, side, home))
-            head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (home[1:] != home[:-1])))) if len(owner) else np.empty(0, dtype=np.int64)
-            flags = side * 2 + (place < index[owner])
-            # 32 bits tell n-grams apart within a fragment; a clash adds a count, it never hides one
-            entry = np.empty((len(group), 2), dtype=np.uint32)
-            entry[:, 0] = (mix(group) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            entry[:, 1] = place * 8 + flags
-            ends = np.concatenate((head, [len(group)])).astype(np.int32) * 8
-            row = owner[head]
-            yield pa.record_batch(
-                [
-                    pa.array(home[head].astype(np.int32)),
-                    pa.array(ids[row]),
-                    pa.array(counts[row].astype(np.int32)),
-                    pa.array([x.tobytes() for x in sign[row]], pa.binary()),
-                    pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entry.tobytes())]),
-                ],
-                names=["fragment", "id", "size", "sign", "segment"],
-            )
+            tokens, counts = _sets(b.column(0).to_pylist(), n, clean)
+            k1, k2 = _class_keys(tokens, counts)
+            fresh = np.zeros(len(counts), dtype=bool)
+            for i in np.flatnonzero(counts).tolist():
+                key = (int(k1[i]), int(k2[i]))
+                if key not in seen:
+                    fresh[i] = True
+                    seen.add(key)
+            if len(seen) > SEEN:
+                seen = set()
+            tokens, k1, counts = tokens[np.repeat(fresh, counts)], k1[fresh], counts[fresh]
+            owner, _ = spread(counts)
+            rank = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
+            yield _segments(k1, tokens[np.lexsort((rank, owner))], counts, levels, t, fragments)
 
     return step
 
 
+def _segments(ids: np.ndarray, tokens: np.ndarray, counts: np.ndarray, levels: np.ndarray, t: float, fragments: int) -> pa.RecordBatch:
+    """The segments of sets in the global order; a set goes by its first key.
+
+    Fragments are intervals of the order, cut so that they hold like shares of the sketch's weight.
+    """
+    weight = np.bincount(levels, minlength=256) * np.exp2(np.arange(256) / 8.0)
+    weight[0] = 0
+    below = np.concatenate(([0], np.cumsum(weight))) / max(1.0, weight.sum())
+    often = np.exp2(np.arange(256) / 8.0)
+    sign = _signatures(tokens, counts)
+    owner, place = spread(counts)
+    probe, index = _prefixes(t, counts)
+    pick = place < probe[owner]
+    tokens, owner, place = tokens[pick], owner[pick], place[pick]
+    level = levels[(tokens & np.uint64(len(levels) - 1)).astype(np.int64)]
+    within = (mix(tokens) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    fragment = np.minimum(fragments - 1, (fragments * (below[level] + within * (below[level + 1] - below[level]))).astype(np.int64))
+    # n-grams in very many sets go to the tiles (low, high) that hold their own tile
+    tiles = np.maximum(1, np.ceil(often[level] / TILE_SETS).astype(np.int64))
+    own = (mix(ids.astype(np.uint64))[owner] % tiles.astype(np.uint64)).astype(np.int64)
+    who, other = spread(tiles)
+    tokens, owner, place, fragment, own = (x[who] for x in (tokens, owner, place, fragment, own))
+    low, high = np.minimum(own, other), np.maximum(own, other)
+    group = np.where(tiles[who] > 1, mix(tokens ^ mix((low * 65_537 + high + 1).astype(np.uint64))) & TOKEN_MASK, tokens)
+    side = np.where(low == high, 2, (own == high).astype(np.int64))
+    home = np.where(tiles[who] > 1, (group % np.uint64(fragments)).astype(np.int64), fragment)
+    order = np.lexsort((home, owner))
+    group, owner, place, side, home = (x[order] for x in (group, owner, place, side, home))
+    head = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (home[1:] != home[:-1])))) if len(owner) else np.empty(0, dtype=np.int64)
+    flags = side * 2 + (place < index[owner])
+    # 32 bits tell n-grams apart within a fragment; a clash adds a count, it never hides one
+    entry = np.empty((len(group), 2), dtype=np.uint32)
+    entry[:, 0] = (mix(group) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    entry[:, 1] = place * 8 + flags
+    ends = np.concatenate((head, [len(group)])).astype(np.int32) * 8
+    row = owner[head]
+    return pa.record_batch(
+        [
+            pa.array(home[head].astype(np.int32)),
+            pa.array(ids[row]),
+            pa.array(counts[row].astype(np.int32)),
+            pa.array([x.tobytes() for x in sign[row]], pa.binary()),
+            pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(entry.tobytes())]),
+        ],
+        names=["fragment", "id", "size", "sign", "segment"],
+    )
+
+
+def _distinct(rows: pa.Table) -> pa.Table:
+    """Segments without those that several tasks sent of equal sets."""
+    rows = rows.take(np.lexsort((rows["id"].to_numpy(), rows["fragment"].to_numpy())))
+    ids, fragment = rows["id"].to_numpy(), rows["fragment"].to_numpy()
+    again = np.flatnonzero((ids[1:] == ids[:-1]) & (fragment[1:] == fragment[:-1])) + 1
+    keep = np.ones(len(ids), dtype=bool)
+    for i in again.tolist():  # equal keys, so most likely equal sets
+        keep[i] = any(rows[c][i] != rows[c][i - 1] for c in ("size", "sign", "segment"))
+    return rows.filter(pa.array(keep)) if len(again) else rows
+
+
 def _overlap_step(t: float):
     """Partial overlaps (a, b, shared, least) of the fragments of one partition.
 
@@ -283,7 +296,7 @@ def _overlap_step(t: float):
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        rows = pa.Table.from_batches(parts).combine_chunks()
+        rows = _distinct(pa.Table.from_batches(parts).combine_chunks())
         ids = rows["id"].to_numpy()
         size = rows["size"].to_numpy().astype(np.int64)
         sign = np.frombuffer(b"".join(rows["sign"].to_pylist()), dtype=np.uint64).reshape(len(ids), -1)
@@ -386,29 +399,28 @@ def near_duplicates(
     if fragments is None:  # by the measured number of n-grams
         entries = rows.agg(F.sum("size")).first()[0] or 0
         fragments = max(partitions, -(-int(entries * min(1.0, 1 - threshold + EXTRA)) // FRAGMENT_ENTRIES))
-    # the sets are shuffled once, by k1; the fragments and both sides of the check read the
-    # same columns of it, so that the exchange is reused
-    classes = (
-        texts.mapInArrow(_order_step(n, clean, sketch), "k1 bigint, k2 bigint, size int, id bigint, tokens binary")
-        .where("k1 is not null")  # never so; the joins ask for it, and plans must be equal to share the exchange
-        .repartition(max(partitions, fragments), "k1")
-        .groupBy(*keys)
-        .agg(F.min_by("tokens", "id").alias("tokens"), F.min("id").alias("class_id"))
-        .select("k1", "class_id", "tokens")
-    )
+    # only prefixes are shuffled, with what a pair is judged by; whole sets follow for the
+    # classes that have a candidate
     overlaps = (
-        classes.mapInArrow(_segment_step(threshold, fragments, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
+        texts.select("text")
+        .mapInArrow(_segment_step(n, clean, threshold, fragments, sketch), "fragment int, id bigint, size int, sign binary, segment binary")
         .repartitionById(fragments, F.col("fragment"))
         .mapInArrow(_overlap_step(threshold), "a bigint, b bigint, shared int, least int")
     )
-    candidates = overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
-    left = classes.select(F.col("k1").alias("a"), F.col("class_id").alias("id_a"), F.col("tokens").alias("left"))
-    right = classes.select(F.col("k1").alias("b"), F.col("class_id").alias("id_b"), F.col("tokens").alias("right"))
+    candidates = cut(overlaps.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b"))
+    asked = candidates.select(F.explode(F.array("a", "b")).alias("k1")).distinct()
+    wanted = cut(smallest.join(asked, "k1", "left_semi").select(F.col("class_id").alias("id")))
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # the joins ask for keys that are not null; plans must be equal to share the exchange
+    sets = texts.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(_set_step(n, clean), "k1 bigint, class_id bigint, tokens binary").where("k1 is not null").repartition(partitions, "k1")
+    left = sets.select(F.col("k1").alias("a"), F.col("class_id").alias("id_a"), F.col("tokens").alias("left"))
+    right = sets.select(F.col("k1").alias("b"), F.col("class_id").alias("id_b"), F.col("tokens").alias("right"))
     pairs = (
         candidates.join(left, "a")
         .join(right, "b")
         .select("id_a", "id_b", "left", "right")
         .mapInArrow(_verify(threshold), "a bigint, b bigint, similarity double")
+        .distinct()  # a row with a repeated id is a set twice
     )
     return members, pairs
 
