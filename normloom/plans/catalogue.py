@@ -858,7 +858,27 @@ def explode_cited(spark: SparkSession, folder: str) -> DataFrame:
 # --- chunking -------------------------------------------------------------------------------------------------------
 
 
-@query()
+# units are sentences, or the words of one over the limit; a recursion over them keeps where
+# the open chunk begins and ends, and the bounds of the one that was closed
+BUDGET_SQL = f"""WITH RECURSIVE t AS (SELECT doc_id, {clean_sql("coalesce(text, '')")} AS w FROM documents),
+se AS (SELECT doc_id, unnest(string_split(regexp_replace(w, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(w, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM t WHERE length(w) > {vocab.CHUNK_CHARS}),
+sp AS (SELECT *, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 AS a FROM se),
+wo AS (SELECT doc_id, i, a, unnest(string_split(s, ' ')) AS x, generate_subscripts(string_split(s, ' '), 1) AS j FROM sp WHERE length(s) > {vocab.CHUNK_CHARS}),
+un AS (SELECT doc_id, i, 0 AS j, a, a + length(s) AS z, false AS apart FROM sp WHERE length(s) <= {vocab.CHUNK_CHARS}
+  UNION ALL SELECT doc_id, i, j, a + sum(length(x) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - length(x) - 1, a + sum(length(x) + 1) OVER (PARTITION BY doc_id, i ORDER BY j) - 1, j = 1 FROM wo),
+n AS (SELECT doc_id, a, z, apart, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM un),
+r AS (SELECT doc_id, n, CAST(0 AS HUGEINT) AS b, CAST(z AS HUGEINT) AS l, CAST(NULL AS HUGEINT) AS cb, CAST(NULL AS HUGEINT) AS cl FROM n WHERE n = 1
+  UNION ALL SELECT doc_id, n, CASE WHEN NOT closed THEN b WHEN apart OR l - b <= {vocab.CHUNK_OVERLAP} THEN a
+      ELSE low + CASE WHEN substr(w, CAST(low + 1 AS BIGINT), 1) = ' ' THEN 1 ELSE 0 END END, z, CASE WHEN closed THEN b END, CASE WHEN closed THEN l END
+    FROM (SELECT r.doc_id, u.n, r.b, r.l, u.a, u.z, u.apart, t.w, r.l > r.b AND (u.apart OR u.z - r.b > {vocab.CHUNK_CHARS}) AS closed,
+        r.l - {vocab.CHUNK_OVERLAP} + length(regexp_extract(substr(t.w, CAST(r.l - {vocab.CHUNK_OVERLAP} + 1 AS BIGINT), {vocab.CHUNK_OVERLAP}), '^(?s:.*?)[.!?] ')) AS low
+      FROM r JOIN n u ON u.doc_id = r.doc_id AND u.n = r.n + 1 JOIN t ON t.doc_id = r.doc_id)),
+c AS (SELECT doc_id, cb AS b, cl AS l FROM r WHERE cb IS NOT NULL UNION ALL SELECT doc_id, arg_max(b, n), arg_max(l, n) FROM r GROUP BY doc_id),
+p AS (SELECT c.doc_id, row_number() OVER (PARTITION BY c.doc_id ORDER BY l) AS part_no, substr(w, CAST(b + 1 AS BIGINT), CAST(l - b AS BIGINT)) AS part FROM c JOIN t USING (doc_id) UNION ALL SELECT doc_id, 1, w FROM t WHERE w <> '' AND length(w) <= {vocab.CHUNK_CHARS})
+SELECT doc_id, CAST(part_no AS INTEGER) AS part_no, CAST(length(part) AS INTEGER) AS part_len, md5(part) AS part_md5 FROM p"""
+
+
+@query(BUDGET_SQL)
 def budget_chunks(spark: SparkSession, folder: str) -> DataFrame:
     p = chunking.split_for_budget(parallel(table(spark, folder, "documents")), "doc_id", "text")
     return p.select(F.col("id").alias("doc_id"), "part_no", F.length("part").alias("part_len"), F.md5("part").alias("part_md5"))
