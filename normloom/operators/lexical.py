@@ -32,14 +32,19 @@ def corpus_stats(docs: DataFrame, text: str, groups: Sequence[str] = ()) -> Data
 def term_idf(post: DataFrame, stats: DataFrame, groups: Sequence[str] = (), epsilon: float = vocab.BM25_EPSILON) -> DataFrame:
     """(groups, term, df, idf): ln((N - df + 0.5) / (df + 0.5)); negative ones become epsilon
     times the mean over all terms."""
-    df = post.groupBy(*groups, "term").agg(F.count("*").alias("df"))
-    one = F.broadcast(stats)  # one row per group
-    raw = (df.join(one, list(groups)) if groups else df.crossJoin(one)).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.groupBy(*groups).agg(F.avg("raw_idf").alias("mean_idf"))
-    both = raw.join(F.broadcast(mean), list(groups)) if groups else raw.crossJoin(F.broadcast(mean))
+    keys, post, stats = _keyed(groups, post, stats)
+    df = post.groupBy(*keys, "term").agg(F.count("*").alias("df"))
+    raw = df.join(F.broadcast(stats), keys).withColumn("raw_idf", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row a group
+    mean = raw.groupBy(*keys).agg(F.avg("raw_idf").alias("mean_idf"))
+    both = raw.join(F.broadcast(mean), keys)
     return both.select(*groups, "term", "df", F.when(F.col("raw_idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
 
 
+def _keyed(groups: Sequence[str], *frames: DataFrame) -> tuple:
+    """The groups' columns and the frames; without groups all rows are one group."""
+    return (list(groups), *frames) if groups else (["_all"], *(df.withColumn("_all", F.lit(1)) for df in frames))
+
+
 def bm25_scores(
     docs: DataFrame, doc: str, text: str, queries: DataFrame, query: str, query_text: str, groups: Sequence[str] = (), k1: float = vocab.BM25_K1, b: float = vocab.BM25_B
 ) -> DataFrame:
@@ -53,7 +58,8 @@ def bm25_scores(
     idf = term_idf(post, stats, groups)
     asked = queries.select(F.col(query).alias("query"), F.explode(tokens(query_text)).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
     wanted = asked.select("term").distinct()
-    weights = idf.join(wanted, "term", "left_semi").join(F.broadcast(stats), list(groups)) if groups else idf.join(wanted, "term", "left_semi").crossJoin(F.broadcast(stats))
+    keys, idf, stats = _keyed(groups, idf, stats)
+    weights = idf.join(wanted, "term", "left_semi").join(F.broadcast(stats), keys)
     found = post.join(weights, [*groups, "term"]).withColumn(
         "part", F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avgdl")))
     )
@@ -179,10 +185,11 @@ def bm25_topk(docs: DataFrame, doc: str, text: str, queries: DataFrame, query: s
     if not fill:
         return hits
     hits = cut(hits)  # k rows a query, needed twice
-    last = docs.select(F.col(doc).alias("doc")).orderBy(F.col("doc").desc()).limit(2 * k)
-    asked_ids = queries.select(F.col(query).alias("query")).distinct()
-    # a bounded list of keys against the queries: 2 k rows a query
-    spare = asked_ids.crossJoin(F.broadcast(last)).join(hits.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
+    last = [r.doc for r in docs.select(F.col(doc).cast("bigint").alias("doc")).where("doc is not null").orderBy(F.col("doc").desc()).limit(2 * k).collect()]
+    if not last:
+        return hits
+    # a bounded list of keys for each query: 2 k rows a query
+    spare = queries.select(F.col(query).alias("query")).distinct().select("query", F.explode(F.lit(last)).alias("doc")).join(hits.select("query", "doc"), ["query", "doc"], "left_anti").withColumn("score", F.lit(0.0))
     return topk(hits.drop("rank").unionByName(spare), ["query"], "score", "doc", k)
 
 

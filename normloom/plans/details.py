@@ -78,8 +78,8 @@ def index_tables(spark: SparkSession, folder: str) -> DataFrame:
     stores.save_index(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text", path)
     index = stores.load_index(spark, path)
     cf = index["postings"].groupBy("term").agg(F.sum("tf").alias("cf"))
-    one = index["corpus_stats"].select("n_docs")  # a single row
-    return index["term_idf"].join(cf, "term").crossJoin(F.broadcast(one)).select("term", "df", F.round("idf", 9).alias("idf"), "n_docs", "cf")
+    n_docs = index["corpus_stats"].first()["n_docs"]
+    return index["term_idf"].join(cf, "term").select("term", "df", F.round("idf", 9).alias("idf"), F.lit(n_docs).alias("n_docs"), "cf")
 
 
 @query("SELECT count(*) AS n_vectors, CAST(64 AS INTEGER) AS min_dim, CAST(64 AS INTEGER) AS max_dim, true AS probe_ok, count(*) AS n_docs, true AS ok, CAST(1 AS INTEGER) AS made FROM chunks")
