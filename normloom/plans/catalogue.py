@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from normloom import jobs
 from normloom.functions import stem, vocab
 from normloom.functions import text as T
 from normloom.operators import chunking, classification, ir_metrics, judging, lexical, passages, ranking, reporting, statistics, vectors

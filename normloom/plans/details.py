@@ -15,10 +15,11 @@ from normloom.functions import text as T
 from normloom.functions import vocab
 from normloom.operators import chunking, ir_metrics, judging, lexical, ranking, reporting
 from normloom.plans.catalogue import (
-    BM25_CTE, DOCS_CTE, EXPORT_CTE, K, LABEL_SQL, METRICS_CTE, MODELS, PASSAGE_RELEVANCE, RUNS_CTE, SPLIT_CTE, SYSTEM,
-    _document_runs, _gold_relevance, _metrics, _query_runs, _rounded, _runs, _scores, clean_sql, norm_sql, query, tokens_sql,
+    AT_K_SQL, BM25_CTE, DOCS_CTE, EXPORT_CTE, K, LABEL_SQL, METRICS_CTE, MODELS, PASSAGE_RELEVANCE, PER_QUERY_CTE, ROUND_SQL, RUNS_CTE, SPLIT_CTE, SYSTEM,
+    _bm25, _document_runs, _gold_relevance, _merged, _metrics, _passage_relevance, _query_runs, _rounded, _runs, _scores, clean_sql, norm_sql, query, tokens_sql,
 )
 from normloom.sources import csv_records, csv_sources, stores
+from normloom.streaming import events as streams
 from normloom.tables import cut, job_folder, parallel, table
 
 
@@ -285,8 +286,6 @@ SELECT query_id, chunk_idx, CAST(place AS INTEGER) AS rank FROM ch WHERE place <
 @query(f"WITH {SPLIT_CTE}, {CHOSEN_SQL}")
 def select_constrained(spark: SparkSession, folder: str) -> DataFrame:
     """Coverage of both groups first, then by score, two chunks a document, no near-duplicates."""
-    from normloom.plans.catalogue import _merged
-
     return ranking.select_constrained(_merged(spark, folder), "query_id", "chunk_idx", K, 2, True)
 
 
@@ -385,16 +384,12 @@ def method_splade(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _unified_sql() -> str:
-    from normloom.plans.catalogue import AT_K_SQL, PER_QUERY_CTE, ROUND_SQL
-
     return f"WITH {BM25_CTE}, {PASSAGE_RELEVANCE}, {PER_QUERY_CTE.format(q='item_id', by='', runs='hits')}, m AS (SELECT k, {AT_K_SQL} FROM pq GROUP BY k) SELECT 'corpus' AS dataset, 'chunk' AS level, 'model' AS model_key, 'bm25' AS method, k, {ROUND_SQL}, num_queries, CAST(1 AS INTEGER) AS kept FROM m"
 
 
 @query(_unified_sql())
 def unified_evaluation(spark: SparkSession, folder: str) -> DataFrame:
     """Unified evaluation of BM25 over the documents, run twice: the second run keeps the first's step."""
-    from normloom.plans.catalogue import _passage_relevance
-
     blank = {c: F.lit("") for c in ("document", "article", "paragraph")}
     chunks = parallel(table(spark, folder, "documents")).select(F.col("doc_id").alias("chunk_idx"), F.col("doc_id").cast("string").alias("id"), "text").withColumns(blank)
     queries = table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit("").alias("source_snippet_original"))
@@ -506,8 +501,6 @@ def whitepaper_export(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"WITH {BM25_CTE} SELECT 'corpus' AS dataset, 'm' AS model_key, 'bm25' AS method, h.item_id AS query_id, i.text AS query, CAST(h.rank AS INTEGER) AS rank, round(h.score, 6) AS score, h.doc AS chunk_id, md5(d.text) AS text_md5 FROM hits h JOIN test_items i USING (item_id) JOIN documents d ON d.doc_id = h.doc WHERE h.rank <= {K}")
 def corpus_export(spark: SparkSession, folder: str) -> DataFrame:
-    from normloom.plans.catalogue import _bm25
-
     runs = _bm25(spark, folder, 20).select(F.col("item_id").alias("query_id"), F.col("doc").alias("chunk_id"), "rank", F.round(F.round("score", 9), 6).alias("score"))
     docs = table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     q = table(spark, folder, "test_items").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
@@ -534,8 +527,6 @@ def _job(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def _pq(rest: str) -> str:
-    from normloom.plans.catalogue import PER_QUERY_CTE
-
     return f"WITH {JOB_CTE}, {PER_QUERY_CTE.format(q='query_id', by='model_key, method,', runs='druns')}{rest}"
 
 
@@ -646,8 +637,6 @@ def missing_columns(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {PASSAGE_RELEVANCE} SELECT item_id, doc AS doc_id FROM rel")
 def passage_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a held-out passage verbatim."""
-    from normloom.plans.catalogue import _passage_relevance
-
     return _passage_relevance(spark, folder).toDF("item_id", "doc_id")
 
 
@@ -656,8 +645,6 @@ def passage_documents(spark: SparkSession, folder: str) -> DataFrame:
     "SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, s"
 )
 def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    from normloom.streaming import events as streams
-
     s = streams.sessions(table(spark, folder, "events"))
     return s.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
@@ -665,6 +652,4 @@ def user_sessions(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {RUNS_CTE} SELECT query_id, chunk_idx, max(scores) AS score FROM retrieval_results WHERE scores IS NOT NULL AND NOT isnan(scores) GROUP BY ALL")
 def best_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The streaming form of the best score of query and chunk, run as a batch."""
-    from normloom.streaming import events as streams
-
     return streams.best_scores(table(spark, folder, "retrieval_results"))
