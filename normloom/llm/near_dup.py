@@ -33,7 +33,6 @@ text counts is undefined.  Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections.abc import Iterator
 
@@ -43,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from normloom.functions.text import MARKS
-from normloom.llm.words import Words, flat_words, mix, spread, window_hashes
+from normloom.llm.words import flat_words, mix, spread, window_hashes
 from normloom.tables import cut
 
 #: n-grams are 48-bit numbers: with the place of its text in a batch one fits a
