@@ -65,6 +65,27 @@ def evidence_csv(spark: SparkSession, folder: str) -> DataFrame:
     return back.select(*rest, F.md5("text").alias("text_md5"), F.md5("article_text").alias("article_md5"))
 
 
+_LATIN = "[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*"
+
+
+@query(f"SELECT coalesce(section, '') AS section, md5(recommendation) AS text_md5 FROM recommendations WHERE trim(recommendation) <> '' AND regexp_full_match(concat(coalesce(section, ''), recommendation), '(?s){_LATIN}')")
+def encoded_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Recommendations of Latin letters delivered in an eight-bit encoding, told from UTF-8 by their content."""
+    path = job_folder(spark)
+    r = table(spark, folder, "recommendations").where("trim(recommendation) <> ''").where(F.concat(F.coalesce("section", F.lit("")), "recommendation").rlike(f"(?s)^{_LATIN}$"))
+    stores.write_csv(r.select("section", "recommendation"), path, encoding="iso-8859-1")
+    return csv_sources.load_recommendations(csv_sources.read_csv(spark, path)).select("section", F.md5("text").alias("text_md5"))
+
+
+@query(f"SELECT md5({clean_sql('text')}) AS line_md5, count(*) AS n FROM documents WHERE {clean_sql('text')} <> '' GROUP BY 1")
+def text_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as text files, a line each, and read as whole files."""
+    path = job_folder(spark)
+    table(spark, folder, "documents").select(T.clean_text("text").alias("value")).where("value <> ''").write.text(path)
+    lines = csv_sources.read_files(spark, path, "*.txt").select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''")
+    return lines.groupBy(F.md5("line").alias("line_md5")).agg(F.count("*").alias("n"))
+
+
 @query(f"WITH {METRICS_CTE} SELECT dataset, level, model_key, method, k, round(ndcg, 6) AS ndcg, num_queries::DOUBLE AS num_queries FROM metrics")
 def metrics_csv(spark: SparkSession, folder: str) -> DataFrame:
     path = job_folder(spark)

@@ -146,12 +146,12 @@ def judge_export(df: DataFrame) -> DataFrame:
     return df.select("recommendation", "predicted_label", "label_score", "justification_score", "evidence_score", "completeness_score", "overall_score", "reasoning")
 
 
-def write_csv(df: DataFrame, path: str, skip_empty: bool = False, separator: str = ",") -> bool:
+def write_csv(df: DataFrame, path: str, skip_empty: bool = False, separator: str = ",", encoding: str = "UTF-8") -> bool:
     """CSV with a header and doubled quotes, values as they are; with ``skip_empty`` no rows
     give no file."""
     if skip_empty and df.isEmpty():
         return False
-    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("sep", separator).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("sep", separator).option("encoding", encoding).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return True
 
 
