@@ -68,12 +68,12 @@ def evidence_csv(spark: SparkSession, folder: str) -> DataFrame:
 _LATIN = "[\\x{00}-\\x{7f}\\x{a0}-\\x{ff}]*"
 
 
-@query(f"SELECT coalesce(section, '') AS section, md5(recommendation) AS text_md5 FROM recommendations WHERE trim(recommendation) <> '' AND regexp_full_match(concat(coalesce(section, ''), recommendation), '(?s){_LATIN}')")
+@query(f"SELECT coalesce(source, '') AS section, md5(text) AS text_md5 FROM documents WHERE trim(text) <> '' AND regexp_full_match(concat(coalesce(source, ''), text), '(?s){_LATIN}')")
 def encoded_csv(spark: SparkSession, folder: str) -> DataFrame:
-    """Recommendations of Latin letters delivered in an eight-bit encoding, told from UTF-8 by their content."""
+    """Texts of Latin letters delivered in an eight-bit encoding, told from UTF-8 by their content."""
     path = job_folder(spark)
-    r = table(spark, folder, "recommendations").where("trim(recommendation) <> ''").where(F.concat(F.coalesce("section", F.lit("")), "recommendation").rlike(f"(?s)^{_LATIN}$"))
-    stores.write_csv(r.select("section", "recommendation"), path, encoding="iso-8859-1")
+    d = table(spark, folder, "documents").where("trim(text) <> ''").where(F.concat(F.coalesce("source", F.lit("")), "text").rlike(f"(?s)^{_LATIN}$"))
+    stores.write_csv(d.select(F.col("source").alias("section"), F.col("text").alias("recommendation")), path, encoding="iso-8859-1")
     return csv_sources.load_recommendations(csv_sources.read_csv(spark, path)).select("section", F.md5("text").alias("text_md5"))
 
 
